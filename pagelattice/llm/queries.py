@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pagelattice.llm import sharding
+from pagelattice.llm import mixing, sharding, simhash
 
 
 def queries() -> dict:
-    return {"op3_sharding": sharding.op3_sharding}
+    return {
+        "op3_sharding": sharding.op3_sharding,
+        "op4_simhash": simhash.op4_simhash,
+        "op7_mixing": mixing.op7_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
