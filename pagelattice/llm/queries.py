@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pagelattice.llm import mixing, sharding, simhash
+from pagelattice.llm import mixing, sentencepieces, sharding, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": sentencepieces.op1_sentencepiece,
         "op3_sharding": sharding.op3_sharding,
         "op4_simhash": simhash.op4_simhash,
         "op7_mixing": mixing.op7_mixing,
+        "op9_token_counts": token_counts.op9_token_counts,
     }
 
 
