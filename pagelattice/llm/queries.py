@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelattice.llm import mixing, sentencepieces, sharding, simhash, token_counts
+from pagelattice.llm import media, mixing, secrets, sentencepieces, sharding, simhash, token_counts
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_sentencepiece": sentencepieces.op1_sentencepiece,
         "op3_sharding": sharding.op3_sharding,
         "op4_simhash": simhash.op4_simhash,
+        "op6_secrets": secrets.op6_secrets,
         "op7_mixing": mixing.op7_mixing,
+        "op8_media": media.op8_media,
         "op9_token_counts": token_counts.op9_token_counts,
     }
 
