@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pagelattice.llm import media, mixing, secrets, sentencepieces, sharding, simhash, token_counts
+from pagelattice.llm import embed_dedup, media, mixing, secrets, sentencepieces, sharding, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": sentencepieces.op1_sentencepiece,
+        "op10_embed_dedup": embed_dedup.op10_embed_dedup,
         "op3_sharding": sharding.op3_sharding,
         "op4_simhash": simhash.op4_simhash,
         "op6_secrets": secrets.op6_secrets,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.OP3_SQL}
+    return {"op3_sharding": sharding.OP3_SQL, "op10_embed_dedup": embed_dedup.OP10_SQL}
