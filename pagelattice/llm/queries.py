@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelattice.llm import embed_dedup, media, mixing, secrets, sentencepieces, sharding, simhash, token_counts
+from pagelattice.llm import embed_dedup, media, mixing, secrets, sentencepieces, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op10_embed_dedup": embed_dedup.op10_embed_dedup,
         "op3_sharding": sharding.op3_sharding,
         "op4_simhash": simhash.op4_simhash,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_secrets": secrets.op6_secrets,
         "op7_mixing": mixing.op7_mixing,
         "op8_media": media.op8_media,
