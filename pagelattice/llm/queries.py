@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pagelattice.llm import embed_dedup, media, mixing, secrets, sentencepieces, sharding, simhash, token_counts, toxicity
+from pagelattice.llm import embed_dedup, html_text, media, mixing, secrets, sentencepieces, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": sentencepieces.op1_sentencepiece,
         "op10_embed_dedup": embed_dedup.op10_embed_dedup,
+        "op2_html_text": html_text.op2_html_text,
         "op3_sharding": sharding.op3_sharding,
         "op4_simhash": simhash.op4_simhash,
         "op5_toxicity": toxicity.op5_toxicity,
