@@ -144,18 +144,19 @@ def near_duplicates(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its near-duplicate component.
 
-    Rows with a null id cannot be told apart and stay. Rows that repeat a kept id stay
-    only once each distinct content; columns are those of ``docs``.
+    Rows with a null id cannot be told apart and stay. Of rows that repeat a kept
+    id one of each text stays. The columns are those of ``docs``.
     """
     kept = (
         near_duplicates(docs, id_col=id_col, text_col=text_col, **params)
         .where(F.col("doc_id") == F.col("component_id"))
-        .select(F.col("doc_id").alias("__kept"))
-        .distinct()
-    )
-    return docs.join(kept, docs[id_col].cast("long") == kept["__kept"], "left_semi").unionByName(
-        docs.where(F.col(id_col).isNull())
+        .groupBy(F.col("doc_id").alias("__kept"))
+        .agg(F.count(F.lit(1)).alias("__rows"))
     )
+    same = F.col(id_col).cast("long") == F.col("__kept")
+    once = docs.join(kept.where("__rows = 1"), same, "left_semi")
+    again = docs.join(kept.where("__rows > 1"), same, "left_semi").dropDuplicates([id_col, text_col])
+    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
