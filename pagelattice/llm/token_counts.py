@@ -9,6 +9,7 @@ over its characters, without backtracking and without building its pieces.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -117,10 +118,11 @@ def count_rows(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_i
     ignored.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary(load_model() if model is None else model))  # a vocabulary
+    model = load_model() if model is None else model
+    key = zlib.crc32(model)
+    shared = spark.sparkContext.broadcast(vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.id
         if key not in _COUNTERS:
             _COUNTERS.clear()
             _COUNTERS[key] = Counter(Automaton(*shared.value))
