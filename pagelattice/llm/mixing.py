@@ -104,6 +104,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     keep_columns: bool = False,
+    position: str = "__position",
 ) -> DataFrame:
     """Give every row its place in a sequence that follows the target weights.
 
@@ -114,7 +115,7 @@ def mix(
 
     Returns ``doc_id, source, block, slot, release, deadline, phase, position``
     (release and deadline in slots; position gapless from 0), or with
-    ``keep_columns`` the columns of ``docs`` and ``__position``. Nothing is dropped
+    ``keep_columns`` the columns of ``docs`` and ``position``. Nothing is dropped
     or repeated: repeated rows keep a place each, null ids and texts are ordinary
     values, an empty table gives no rows.
     """
@@ -161,7 +162,7 @@ def mix(
         missing = F.aggregate(table, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["t"] < F.col("__slot"), x["n"]).otherwise(F.lit(0)))
     timed = timed.withColumn("__position", F.col("__slot") * F.lit(block_rows) + F.expr(f"__rank % {block_rows}L") - missing)
     if keep_columns:
-        return timed.select("__row.*", "__position")
+        return timed.select("__row.*", F.col("__position").alias(position))
     return timed.select(
         F.col("__id").alias("doc_id"),
         F.col("__source").alias("source"),
@@ -190,13 +191,16 @@ def _short_blocks(counts: dict, block_rows: int, phases: list, slots_of: list) -
 def in_mixed_order(docs: DataFrame, **params) -> DataFrame:
     """The rows and columns of ``docs``, laid out over partitions in the mixed order."""
     spark = docs.sparkSession
-    placed = mix(docs, keep_columns=True, **params)
+    at = "__position"
+    while at.lower() in (c.lower() for c in docs.columns):
+        at += "_"
+    placed = mix(docs, keep_columns=True, position=at, **params)
     total = docs.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
-        placed.repartitionById(parts, F.expr(f"cast((__position * {parts}L) div {max(total, 1)}L as int)"))
-        .sortWithinPartitions("__position")
-        .drop("__position")
+        placed.repartitionById(parts, F.expr(f"cast(({at} * {parts}L) div {max(total, 1)}L as int)"))
+        .sortWithinPartitions(at)
+        .drop(at)
     )
 
 

@@ -153,7 +153,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy(F.col("doc_id").alias("__kept"))
         .agg(F.count(F.lit(1)).alias("__rows"))
     )
-    same = F.col(id_col).cast("long") == F.col("__kept")
+    same = docs[id_col].cast("long") == kept["__kept"]
     once = docs.join(kept.where("__rows = 1"), same, "left_semi")
     again = docs.join(kept.where("__rows > 1"), same, "left_semi").dropDuplicates([id_col, text_col])
     return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
