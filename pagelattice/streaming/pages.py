@@ -30,5 +30,5 @@ def per_batch(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], out
 
 def windowed_counts(stream: DataFrame, at: str, key: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """``window_start, key, n`` of rows in tumbling windows; rows later than the watermark are left out."""
-    counted = stream.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+    counted = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("w.start").alias("window_start"), key, "n")
