@@ -13,10 +13,7 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"{LOCAL_CHECKPOINTS}/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or f"{LOCAL_CHECKPOINTS}/{spark.sparkContext.applicationId}").rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
