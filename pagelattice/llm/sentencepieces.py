@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 300_000
 CACHE_KEY = 64
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -105,6 +105,8 @@ class Codec:
         self.unk_score = min(self.scores[i] for i in self.ids.values()) - 10.0
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == BYTE}
         self.longest = max(map(len, self.ids))
+        #: Neighbours within pieces: a path has a boundary between any two other characters.
+        self.linked = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         #: No piece crosses from a word into the next one's space / holds a line feed.
         self.word_bounded = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.line_bounded = not any("\n" in p for p in self.ids if len(p) > 1)
@@ -212,6 +214,38 @@ class Codec:
                     size[0] = 0
         yield from committed(end)
 
+    def _short(self, text: str) -> tuple[int, ...]:
+        """The ids of a short BPE text: the same lattice without a window."""
+        trie, pairs, end = self.trie, self._pairs, len(text)
+        arc, size = [-2] * (end + 1), [0] * (end + 1)
+        arc[0] = -1
+        for j in range(end):
+            left = arc[j] << 32
+            node, i = trie, j
+            while i < end:
+                node = node.get(text[i])
+                if node is None:
+                    break
+                i += 1
+                if arc[i] == -2:
+                    piece = node.get(0)
+                    if piece is not None:
+                        ok = pairs.get(left | piece)
+                        if ok is None:
+                            ok = self._compatible(arc[j], piece)
+                        if ok:
+                            arc[i], size[i] = piece, i - j
+            if arc[j + 1] == -2 and text[j] not in self.single:
+                arc[j + 1], size[j + 1] = -1, 1
+        out: list[int] = []
+        while end:
+            if arc[end] >= 0:
+                out.append(arc[end])
+            else:
+                out += reversed(self._spell(text[end - 1], False))
+            end -= size[end]
+        return tuple(reversed(out))
+
     # -- whole texts ---------------------------------------------------------------
 
     def encode(self, text: str | None) -> list[int]:
@@ -275,7 +309,17 @@ class _Words(RecentCache):
         self.codec, self.lead = codec, lead
 
     def compute(self, word: str) -> tuple[int, ...]:
-        return tuple(self.codec._stream(self.lead + word))
+        codec, text = self.codec, self.lead + word
+        if len(text) > CACHE_KEY or codec.kind != BPE or not codec.byte_fallback:
+            return tuple(codec._stream(text))
+        linked = codec.linked
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in linked]
+        if not cuts:
+            return codec._short(text)
+        bare, out = codec._bare, list(self[text[len(self.lead) : cuts[0]]] if cuts[0] >= len(self.lead) else ())
+        for a, b in zip(cuts, [*cuts[1:], len(text)]):
+            out += bare[text[a:b]]
+        return tuple(out)
 
 
 _CODECS: dict[int, Codec] = {}
