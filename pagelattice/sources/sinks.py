@@ -6,7 +6,8 @@ import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 LOGGER = "pagelattice"
 
@@ -50,3 +51,9 @@ def rasterize_pages(documents: DataFrame, dpi: int = 150, renderer: Callable[[by
                 yield pd.DataFrame({"path": [path] * len(images), "page_index": range(len(images)), "image": images})
 
     return documents.select("path", "content").mapInPandas(run, "path string, page_index long, image binary")
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` with a row count that is gathered as it runs, without another pass."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

@@ -239,3 +239,22 @@ def test_against_sql(spark, sf, name):
     order = [d[0] for d in res.description]
     want = sorted((tuple(r) for r in res.fetchall()), key=str)
     assert sorted((tuple(r[c] for c in order) for r in df.collect()), key=str) == want
+
+
+def test_command_line(spark, sf, capsys):
+    from pagelattice.__main__ import main
+
+    assert main(["--tables", sf, "--page", "3", "--final-stage", "layer_separation"], spark) == 0
+    shown = capsys.readouterr().out.splitlines()
+    assert shown[0] == "reader: ok" and " words: " in shown[1] and shown[-1] == "layer_separation: ok"
+    with pytest.raises(SystemExit):
+        main(["--tables", sf, "--final-stage", "nothing"], spark)
+
+
+def test_schemas_and_observed_counts(spark):
+    from pagelattice import schemas
+
+    assert spark.createDataFrame([], schemas.PATHS).columns[:4] == ["doc_path", "page_index", "seq", "item_index"]
+    df, seen = sinks.observed(spark.range(7), "seven")
+    df.collect()
+    assert seen.get["rows"] == 7
