@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions import geometry as G
 from pagelattice.operators.components import connected_components
-from pagelattice.operators.joins import dimension_pairs, overlap_pairs, spatial_pairs
+from pagelattice.operators.joins import dimension_links, overlap_pairs, spatial_pairs
 
 BUCKET = ["page_index", "layer_key", "color_key"]
 PAIRWISE_CAP = 4000
@@ -113,7 +113,7 @@ def group_overlapping(
 def cluster_by_dimension(groups: DataFrame, tolerance: float = 0.35, bucket: list[str] = BUCKET, cap: int | None = PAIRWISE_CAP) -> DataFrame:
     """Merges whole groups of similar width and height, wherever they are."""
     boxes = group_boxes(groups, bucket)
-    return _relabel(groups, _capped(boxes, lambda b: dimension_pairs(b, bucket, "group_id", tolerance), "group_id", bucket, cap), "group_id", bucket)
+    return _relabel(groups, _capped(boxes, lambda b: dimension_links(b, bucket, "group_id", tolerance), "group_id", bucket, cap), "group_id", bucket)
 
 
 def cluster_by_item_path_count(groups: DataFrame, max_gap: float = 2, bucket: list[str] = BUCKET) -> DataFrame:
@@ -132,9 +132,9 @@ def cluster_by_item_bbox(groups: DataFrame, tolerance: float = 0.35, bucket: lis
         w = Window.partitionBy(*bucket)
         drawings = drawings.withColumn("__all", F.sum("__n").over(w)).withColumn("__first", F.min("__lead").over(w))
         one = drawings.where(F.col("__all") > cap).select(*bucket, F.col("__first").alias("a"), F.col("__lead").alias("b")).where("a < b")
-        pairs = dimension_pairs(drawings.where(F.col("__all") <= cap), bucket, "__lead", tolerance).unionByName(one)
+        pairs = dimension_links(drawings.where(F.col("__all") <= cap), bucket, "__lead", tolerance).unionByName(one)
     else:
-        pairs = dimension_pairs(drawings, bucket, "__lead", tolerance)
+        pairs = dimension_links(drawings, bucket, "__lead", tolerance)
     return _relabel(led, pairs, "__lead", bucket).drop("__lead")
 
 

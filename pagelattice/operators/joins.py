@@ -76,31 +76,65 @@ def overlap_pairs(boxes: DataFrame, keys: list[str], node: str, tolerance: Colum
     return pairs.select(*keys, F.col(f"l_{node}").alias("a"), F.col(f"r_{node}").alias("b"))
 
 
+def _banded(boxes: DataFrame, keys: list[str], node: str, tolerance: float) -> DataFrame:
+    """``keys, n, w, h`` and the sizes' bands on a logarithmic scale, as wide as the tolerance reaches."""
+    sized = boxes.select(*keys, F.col(node).alias("n"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
+    if tolerance >= 1.0:
+        return sized.withColumn("__w", F.lit(0).cast("long")).withColumn("__h", F.lit(0).cast("long"))
+    step = max(-math.log1p(-tolerance), 1e-3) if tolerance > 0 else 1e-3
+    for c in ("w", "h"):
+        sized = sized.withColumn(f"__{c}", F.floor(F.log(F.greatest(F.col(c), F.lit(1e-6))) / step))
+    return sized
+
+
+def _close(p: str | Column, q: str | Column, tolerance: float) -> Column:
+    p, q = (F.col(x) if isinstance(x, str) else x for x in (p, q))
+    return F.abs(p - q) <= F.lit(float(tolerance)) * F.greatest(p, q, F.lit(1e-6))
+
+
 def dimension_pairs(boxes: DataFrame, keys: list[str], node: str, tolerance: float) -> DataFrame:
     """Pairs whose widths and heights differ by at most ``tolerance`` relative to the larger.
 
     Sizes within the tolerance lie in the same or neighbouring bands of a logarithmic
     scale, which are the join keys; the exact test follows.
     """
-    sized = boxes.select(*keys, F.col(node).alias("n"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
-    banded = tolerance < 1.0
-    if banded:
-        step = max(-math.log1p(-tolerance), 1e-3) if tolerance > 0 else 1e-3
-        for c in ("w", "h"):
-            sized = sized.withColumn(f"__{c}", F.floor(F.log(F.greatest(F.col(c), F.lit(1e-6))) / step))
-    else:
-        sized = sized.withColumn("__w", F.lit(0)).withColumn("__h", F.lit(0))
+    sized = _banded(boxes, keys, node, tolerance)
     left = sized.select(*keys, F.col("n").alias("a"), F.col("w").alias("wa"), F.col("h").alias("ha"), "__w", "__h")
     right = sized.select(*keys, F.col("n").alias("b"), F.col("w").alias("wb"), F.col("h").alias("hb"), "__w", "__h")
-    if banded:
+    if tolerance < 1.0:
         for c in ("__w", "__h"):
             right = right.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+    near = (F.col("a") < F.col("b")) & _close("wa", "wb", tolerance) & _close("ha", "hb", tolerance)
+    return left.join(right, [*keys, "__w", "__h"]).where(near).select(*keys, "a", "b")
+
 
-    def close(p: str, q: str) -> Column:
-        return F.abs(F.col(p) - F.col(q)) <= F.lit(float(tolerance)) * F.greatest(F.col(p), F.col(q), F.lit(1e-6))
+def dimension_links(boxes: DataFrame, keys: list[str], node: str, tolerance: float) -> DataFrame:
+    """Edges ``keys, a, b`` (a < b) with the components of :func:`dimension_pairs`, linear in the boxes.
 
-    pairs = left.join(right, [*keys, "__w", "__h"]).where((F.col("a") < F.col("b")) & close("wa", "wb") & close("ha", "hb"))
-    return pairs.select(*keys, "a", "b")
+    A cell of bands whose extreme sizes are within the tolerance is one class, joined to
+    its smallest node; of other cells (sizes about zero) every distinct size is a class.
+    Distinct sizes of neighbouring cells are compared, and a pair of classes is one edge.
+    """
+    cell = [*keys, "__w", "__h"]
+    sized = _banded(boxes, keys, node, tolerance)
+    sizes = sized.groupBy(*cell, "w", "h").agg(F.min("n").alias("lead"))
+    cells = sizes.groupBy(*cell).agg(
+        F.min("lead").alias("cell_lead"),
+        (_close(F.min("w"), F.max("w"), tolerance) & _close(F.min("h"), F.max("h"), tolerance)).alias("whole"),
+    )
+    classes = sizes.join(cells, cell).select(*cell, "w", "h", "whole", F.when(F.col("whole"), F.col("cell_lead")).otherwise(F.col("lead")).alias("rep"))
+    stars = sized.join(classes, [*cell, "w", "h"]).select(*keys, F.col("rep").alias("a"), F.col("n").alias("b")).where("a < b")
+    ahead = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    itself = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))
+    left = classes.select(*cell, F.col("w").alias("wa"), F.col("h").alias("ha"), F.col("rep").alias("ra"))
+    probes = F.when(F.col("whole"), F.array(*ahead)).otherwise(F.array(itself, *ahead))
+    right = classes.withColumn("o", F.explode(probes)).select(
+        *keys, (F.col("__w") + F.col("o.x")).alias("__w"), (F.col("__h") + F.col("o.y")).alias("__h"),
+        F.col("w").alias("wb"), F.col("h").alias("hb"), F.col("rep").alias("rb"),
+    )
+    near = (F.col("ra") != F.col("rb")) & _close("wa", "wb", tolerance) & _close("ha", "hb", tolerance)
+    met = left.join(right, cell).where(near).select(*keys, F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    return stars.unionByName(met)
 
 
 def match_spans(words: DataFrame, spans: DataFrame, page: str = "page_index", cell: float = CELL) -> DataFrame:

@@ -114,6 +114,26 @@ def test_dimension_bands_miss_nothing(spark):
         assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if near(boxes[i], boxes[j])}
 
 
+def test_dimension_links_have_the_components_of_the_pairs(spark):
+    boxes = [(0, 0, (i * i) % 97 * 0.37, (i * 31) % 53 * 0.61) for i in range(60)]
+    boxes += [(0, 0, 0, 5), (0, 0, 0, 5), (0, 0, 2e-7, 5), (0, 0, 9e-7, 5), (0, 0, 1.2e-6, 5), (0, 0, 0, 0), (0, 0, 500, 500)]
+    df = make(spark, boxes)
+    for tol in (0.0, 0.35, 1.0):
+
+        def roots(edges):
+            label = list(range(len(boxes)))
+            for _ in label:
+                for r in edges:
+                    label[r.a] = label[r.b] = min(label[r.a], label[r.b])
+            return label
+
+        links = joins.dimension_links(df, clustering.BUCKET, "path_id", tol).collect()
+        assert all(r.a < r.b for r in links)
+        assert roots(links) == roots(joins.dimension_pairs(df, clustering.BUCKET, "path_id", tol).collect())
+    copies = make(spark, [(i, i, i + 3, i + 4) for i in range(200)])
+    assert joins.dimension_links(copies, clustering.BUCKET, "path_id", 0.35).count() == 199
+
+
 def test_overlap(spark):
     p = pages(spark)
     over = start(make(spark, [(0, 0, 10, 10), (5, 5, 15, 15), (100, 100, 110, 110)]))
