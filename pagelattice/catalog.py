@@ -312,7 +312,10 @@ def _geometry_points(spark, sf):
     )
 
 
-@register("item_metadata")
+@register("item_metadata", _with("paths", """
+SELECT page_index, path_id, concat_ws(chr(10), 'kind: ' || kind, 'shape: path',
+  'bbox: ' || concat_ws(', ', round_even(x0, 2), round_even(y0, 2), round_even(x1, 2), round_even(y1, 2)),
+  'fill_rule: ' || fill_rule, 'label: ' || layer) AS shown FROM paths"""))
 def _item_metadata(spark, sf):
     items = X.paths(spark, sf).select(
         "page_index", "path_id", F.col("kind").alias("item_kind"), "x0", "y0", "x1", "y1", F.col("layer").alias("label"),
