@@ -7,17 +7,26 @@ blocks the one with the earliest deadline runs. On one processor this meets ever
 window, so at any slot every source is less than one block from its target share
 (Baruah et al., "Proportionate Progress", 1996).
 
-With whole-number shares the schedule repeats after as many slots as the shares sum
-to, so the control plane simulates one period and the rows find their slots by
-arithmetic and two joins with tables bounded by ``MAX_SOURCES`` and ``RESOLUTION``.
-When a source runs out, the remaining ones go on with their weights rescaled (a new
-phase); every row is emitted once.
+Weights are taken as exact rational numbers, so the deviation does not grow with the
+rows. When a source runs out, the weights of the remaining ones are rescaled (a new
+phase): progress is counted in a virtual time v in which every source of weight w has
+been due w * v blocks, and slot sum(min(w * v, blocks)) belongs to v. Windows follow from
+it by whole-number arithmetic; as the fluid schedule fills every slot and keeps every
+window, earliest deadline first keeps them too, over all phases. The control plane lays
+out one entry per block, not per row, and the rows find theirs by a join.
 """
 
 from __future__ import annotations
 
 import heapq
-
+from array import array
+from bisect import bisect_right
+from fractions import Fraction
+from itertools import accumulate
+from math import lcm
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +74,9 @@ def pfair_period(shares: dict[str, int]) -> list[str]:
 
 
 def schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int = RESOLUTION) -> tuple[list, list]:
-    """Phases and period tables for the given numbers of blocks.
+    """Phases and period tables for the given numbers of blocks, by whole-number shares.
+
+    The rounded shares drift from the weights as the blocks grow; ``mix`` uses ``timetable``.
 
     Returns rows ``(source, phase, first, last, share, period, slot0)`` - the blocks
     first..last-1 of the source fall into the phase - and ``(source, phase, residue,
@@ -94,12 +105,71 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int
     return phases, slots_of
 
 
+def exact_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of ``weights``."""
+    if any(w <= 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = lcm(*(x.denominator for x in exact.values()))
+    return {s: x.numerator * (unit // x.denominator) for s, x in exact.items()}
+
+
+def timetable(blocks: dict[str, int], weights: dict[str, float]) -> tuple[list[str], dict[str, array]]:
+    """The sources, and columns ``source`` (its index), ``block, release, deadline, phase`` by slot.
+
+    Every block has a slot in its window, so before the first source ends, and after
+    every end against the rescaled weights, no source is a whole block off its target.
+    """
+    whole = exact_weights({s: weights[s] for s, n in blocks.items() if n})
+    names = sorted(whole)
+    weight, count = [whole[s] for s in names], [blocks[s] for s in names]
+    ending: dict[Fraction, list[int]] = {}
+    for i, (n, w) in enumerate(zip(count, weight)):
+        ending.setdefault(Fraction(n, w), []).append(i)
+    ends = sorted(ending)  # in virtual time; phase p lasts until ends[p]
+    gone = [0, *accumulate(sum(count[i] for i in ending[e]) for e in ends)]
+    left = [sum(weight) - x for x in (0, *accumulate(sum(weight[i] for i in ending[e]) for e in ends))]
+    out = {c: array("q") for c in ("source", "block", "release", "deadline", "phase")}
+    coming = [(0, i, 0, 0) for i in range(len(names))]  # release, source, block, phase
+    ready: list[tuple] = []
+    for t in range(sum(count)):
+        while coming and coming[0][0] <= t:
+            release, i, k, phase = heapq.heappop(coming)
+            w, after = weight[i], phase
+            if (k + 1) * ends[phase].denominator >= ends[phase].numerator * w:
+                after = bisect_right(ends, Fraction(k + 1, w), phase)
+            slots, part = divmod((k + 1) * left[after], w)
+            following = gone[after] + slots
+            heapq.heappush(ready, (following + (part > 0), i, k, release, phase, following, after))
+        deadline, i, k, release, phase, following, after = heapq.heappop(ready)
+        for c, x in zip(out.values(), (i, k, release, deadline, phase)):
+            c.append(x)
+        if k + 1 < count[i]:
+            heapq.heappush(coming, (following, i, k + 1, after))
+    return names, out
+
+
+def _slots(counts: dict[str, int], weights: dict[str, float], block_rows: int) -> pa.Table:
+    """The timetable as a table, with the position of each block's first row."""
+    names, at = timetable({s: -(-n // block_rows) for s, n in counts.items()}, weights)
+    source, block, release, deadline, phase = (np.frombuffer(c, np.int64) if c else np.empty(0, np.int64) for c in at.values())
+    rows = np.minimum(np.array([counts[s] for s in names], np.int64)[source] - block * block_rows, block_rows)
+    columns = {
+        "__block": block,
+        "__slot": np.arange(len(rows)),
+        "__release": release,
+        "__deadline": deadline,
+        "__phase": phase.astype(np.int32),
+        "__start": np.cumsum(rows) - rows,
+    }
+    return pa.table({"__source": pa.array(names, pa.string()).take(pa.array(source)), **columns})
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     block_rows: int = BLOCK_ROWS,
     seed: str = SEED,
-    resolution: int = RESOLUTION,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -137,30 +207,14 @@ def mix(
         raise ValueError(f"more than {MAX_SOURCES} sources: give weights, which join the others in one stratum")
     weigh = {s: (weights.get(s, 1.0) if weights else n**TEMPERATURE) for s, n in counts.items()}
     total = sum(counts.values())
-    phases, slots_of = schedule({s: -(-n // block_rows) for s, n in counts.items()}, weigh, resolution)
     buckets = bucket_count(total)
     rows = rows.withColumn("__b", F.shiftright(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * F.lit(buckets), 32).cast("int"))
     ranked = bucketed_rank(rows, ["__source"], "__b", ["__h", "__id"], "__rank").withColumn(
         "__block", F.expr(f"__rank div {block_rows}L")
     )
-    plan = spark.createDataFrame(
-        phases, "__source string, __phase int, __first long, __last long, __share long, __period long, __slot0 long"
-    )
-    place = spark.createDataFrame(slots_of, "__source string, __phase int, __residue long, __offset long")
-    # both tables are bounded by MAX_SOURCES and the resolution, whatever the rows
-    timed = ranked.join(
-        F.broadcast(plan.withColumnRenamed("__source", "__s")),
-        (F.col("__source") == F.col("__s")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__last")),
-    ).withColumn("__residue", F.expr("(__block - __first) % __share"))
-    timed = timed.join(F.broadcast(place), ["__source", "__phase", "__residue"]).withColumn(
-        "__slot", F.expr("__slot0 + ((__block - __first) div __share) * __period + __offset")
-    )
-    short = _short_blocks(counts, block_rows, phases, slots_of)
-    missing = F.lit(0).cast("long")
-    if short:
-        table = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(n).cast("long").alias("n")) for t, n in short])
-        missing = F.aggregate(table, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["t"] < F.col("__slot"), x["n"]).otherwise(F.lit(0)))
-    timed = timed.withColumn("__position", F.col("__slot") * F.lit(block_rows) + F.expr(f"__rank % {block_rows}L") - missing)
+    # one row a block: Spark chooses the join, as the table grows with the documents
+    plan = spark.createDataFrame(_slots(counts, weigh, block_rows))
+    timed = ranked.join(plan, ["__source", "__block"]).withColumn("__position", F.col("__start") + F.expr(f"__rank % {block_rows}L"))
     if keep_columns:
         return timed.select("__row.*", F.col("__position").alias(position))
     return timed.select(
@@ -168,26 +222,13 @@ def mix(
         F.col("__source").alias("source"),
         F.col("__block").alias("block"),
         F.col("__slot").alias("slot"),
-        F.expr("__slot0 + ((__block - __first) * __period) div __share").alias("release"),
-        F.expr("__slot0 + ((__block - __first + 1) * __period + __share - 1) div __share").alias("deadline"),
+        F.col("__release").alias("release"),
+        F.col("__deadline").alias("deadline"),
         F.col("__phase").alias("phase"),
         F.col("__position").alias("position"),
     )
 
 
-def _short_blocks(counts: dict, block_rows: int, phases: list, slots_of: list) -> list[tuple[int, int]]:
-    """(slot, missing rows) of each source's last block, where it is not full."""
-    offsets = {(s, p, k): t for s, p, k, t in slots_of}
-    final = {s: x for x in sorted(phases, key=lambda x: x[1]) for s in [x[0]]}
-    out = []
-    for s, (_, phase, first, last, share, period, slot0) in final.items():
-        missing = -counts[s] % block_rows
-        if missing:
-            k = last - 1 - first
-            out.append((slot0 + k // share * period + offsets[s, phase, k % share], missing))
-    return sorted(out)
-
-
 def in_mixed_order(docs: DataFrame, **params) -> DataFrame:
     """The rows and columns of ``docs``, laid out over partitions in the mixed order."""
     spark = docs.sparkSession

@@ -82,3 +82,31 @@ def test_too_many_sources(spark):
     docs = spark.range(400).selectExpr("id as doc_id", "'x' as text", "cast(id as string) as source")
     with pytest.raises(ValueError):
         mixing.mix(docs)
+
+
+@pytest.mark.parametrize("hot", [1 / 3, 0.5])
+def test_deviation_is_against_the_given_weights(spark, hot):
+    """A hot source among 99 or 255 others keeps its given weight, not a rounded share."""
+    others = 99 if hot < 0.5 else 255
+    docs = spark.range(3000 + 12 * others).selectExpr(
+        "id as doc_id", "cast(id as string) as text", f"if(id < 3000, 'hot', concat('s', id % {others})) as source"
+    )
+    weights = {"hot": hot, **{f"s{i}": (1 - hot) / others for i in range(others)}}
+    rows = mixing.mix(docs, weights, block_rows=1).collect()
+    _check(rows, 3000 + 12 * others)
+    seen, total = Counter(), sum(weights.values())
+    for t, r in enumerate(sorted(rows, key=lambda r: r.position)[:1700], 1):
+        seen[r.source] += 1
+        if t % 50 == 0:
+            assert all(abs(seen[s] - t * w / total) < 1 + 1e-9 for s, w in weights.items())
+
+
+def test_timetable_keeps_tiny_weights_over_many_blocks():
+    """Deviation stays under a block at every slot of a long schedule."""
+    weights = {"hot": 1.0, "cold": 0.37, "tiny": 1e-5}
+    names, at = mixing.timetable({"hot": 150_000, "cold": 60_000, "tiny": 2}, weights)
+    total, seen = sum(weights.values()), [0] * 3
+    for t, i in enumerate(at["source"][:190_000], 1):
+        seen[i] += 1
+        assert all(abs(n - t * weights[s] / total) < 1 + 1e-6 for n, s in zip(seen, names))
+    assert Counter(at["source"]) == Counter({names.index("hot"): 150_000, names.index("cold"): 60_000, names.index("tiny"): 2})
