@@ -175,13 +175,15 @@ def mix(
     source_col: str = "source",
     keep_columns: bool = False,
     position: str = "__position",
+    max_sources: int | None = MAX_SOURCES,
 ) -> DataFrame:
     """Give every row its place in a sequence that follows the target weights.
 
     ``weights`` maps sources to positive numbers; sources it lacks share the stratum
     of the key ``""`` (weight 1 unless given). Without ``weights`` every source counts
     rows ** ``TEMPERATURE``. A null source is in the stratum of the empty one. More
-    than ``MAX_SOURCES`` strata raise ``ValueError``.
+    than ``max_sources`` strata raise ``ValueError``; None, as in the registered query
+    and the pipeline, mixes any number of sources, each to its own weight.
 
     Returns ``doc_id, source, block, slot, release, deadline, phase, position``
     (release and deadline in slots; position gapless from 0), or with
@@ -202,9 +204,10 @@ def mix(
     )
     if not keep_columns:
         rows = materialize(rows, "mix")
-    counts = {r["__source"]: r["n"] for r in rows.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: give weights, which join the others in one stratum")
+    found = rows.groupBy("__source").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["__source"]: r["n"] for r in (found if max_sources is None else found.limit(max_sources + 1)).collect()}
+    if max_sources is not None and len(counts) > max_sources:
+        raise ValueError(f"more than {max_sources} sources: pass max_sources=None to mix them all")
     weigh = {s: (weights.get(s, 1.0) if weights else n**TEMPERATURE) for s, n in counts.items()}
     total = sum(counts.values())
     buckets = bucket_count(total)
@@ -235,7 +238,7 @@ def in_mixed_order(docs: DataFrame, **params) -> DataFrame:
     at = "__position"
     while at.lower() in (c.lower() for c in docs.columns):
         at += "_"
-    placed = mix(docs, keep_columns=True, position=at, **params)
+    placed = mix(docs, keep_columns=True, position=at, **{"max_sources": None, **params})
     total = docs.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
@@ -246,4 +249,4 @@ def in_mixed_order(docs: DataFrame, **params) -> DataFrame:
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_sources=None)

@@ -110,3 +110,18 @@ def test_timetable_keeps_tiny_weights_over_many_blocks():
         seen[i] += 1
         assert all(abs(n - t * weights[s] / total) < 1 + 1e-6 for n, s in zip(seen, names))
     assert Counter(at["source"]) == Counter({names.index("hot"): 150_000, names.index("cold"): 60_000, names.index("tiny"): 2})
+
+
+def test_queries_mix_any_number_of_sources(spark, tmp_path):
+    """700 sources, unweighted and each to a weight of its own."""
+    docs = spark.range(2800).selectExpr("id as doc_id", "cast(id as string) as text", "'en' as lang", "concat('s', id % 700) as source", "1L as n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = mixing.op7_mixing(spark, str(tmp_path)).collect()
+    _check(rows, 2800)
+    assert len({r.source for r in rows}) == 700
+    assert mixing.in_mixed_order(docs).count() == 2800
+    weights = {f"s{i}": 1 + i % 3 for i in range(700)}
+    listed = sorted(mixing.mix(docs, weights, block_rows=1, max_sources=None).collect(), key=lambda r: r.position)
+    _check(listed, 2800)
+    first = Counter(weights[r.source] for r in listed[:1399])  # a slot before every weight has its whole share
+    assert {w: round(n / len([x for x in weights.values() if x == w])) for w, n in first.items()} == {1: 1, 2: 2, 3: 3}
