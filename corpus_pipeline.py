@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.llm import mixing, secrets, sentencepieces, simhash, toxicity
+from pagelattice.llm import mixing, near_copies, secrets, sentencepieces, toxicity
 from pagelattice.runtime import materialize
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each SimHash component."""
-    return simhash.keep_first(docs)
+    """Keeps the document of smallest id of each component of five-word-shingle similarity 0.8 or more."""
+    return near_copies.keep_first(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

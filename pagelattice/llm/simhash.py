@@ -147,9 +147,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id cannot be told apart and stay. Of rows that repeat a kept
     id one of each text stays. The columns are those of ``docs``.
     """
+    return least_of_each(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **params), id_col, text_col)
+
+
+def least_of_each(docs: DataFrame, near: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near`` (``doc_id, component_id``) names by their component's id, as in ``keep_first``."""
     kept = (
-        near_duplicates(docs, id_col=id_col, text_col=text_col, **params)
-        .where(F.col("doc_id") == F.col("component_id"))
+        near.where(F.col("doc_id") == F.col("component_id"))
         .groupBy(F.col("doc_id").alias("__kept"))
         .agg(F.count(F.lit(1)).alias("__rows"))
     )
