@@ -35,8 +35,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, decoded again as a check."""
-    return sentencepieces.encode_rows(docs)
+    """Token ids of every document, decoded again as a check, in the mixture's order with its ``position``."""
+    placed = mixing.read_in_order(docs)
+    return mixing.laid_out(sentencepieces.encode_rows(placed, keep=("position",)), "position", docs.count())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

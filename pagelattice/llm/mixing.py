@@ -27,7 +27,8 @@ from math import lcm
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.operators.ranking import bucket_count, bucketed_rank
@@ -239,13 +240,32 @@ def in_mixed_order(docs: DataFrame, **params) -> DataFrame:
     while at.lower() in (c.lower() for c in docs.columns):
         at += "_"
     placed = mix(docs, keep_columns=True, position=at, **{"max_sources": None, **params})
-    total = docs.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        placed.repartitionById(parts, F.expr(f"cast(({at} * {parts}L) div {max(total, 1)}L as int)"))
-        .sortWithinPartitions(at)
-        .drop(at)
-    )
+    return laid_out(placed, at, docs.count()).drop(at)
+
+
+def laid_out(placed: DataFrame, position: str, total: int) -> DataFrame:
+    """Equal runs of the sequence, one to a partition, in order between and within them."""
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = F.expr(f"cast((`{position}` * {parts}L) div {max(total, 1)}L as int)")
+    return placed.repartitionById(parts, run).sortWithinPartitions(position)
+
+
+def read_in_order(docs: DataFrame, position: str = "position") -> DataFrame:
+    """Files that hold ``in_mixed_order`` rows, with the place of each row in the sequence.
+
+    Spark deals files to tasks by size, so the sequence is taken from the part numbers
+    in the file names and the rows' indexes in the files.
+    """
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    try:
+        rows = docs.select("*", name.alias("__file"), row.alias("__row"))
+    except AnalysisException:  # not read from files
+        rows = materialize(docs, "mix").select("*", name.alias("__file"), row.alias("__row"))
+    part = F.regexp_extract("__file", r"^part-(\d+)", 1).try_cast("long")
+    before = Window.partitionBy().orderBy(part, "__file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("__file").agg((F.max("__row") + 1).alias("__n"))  # one row a file
+    files = files.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return rows.join(F.broadcast(files), "__file").withColumn(position, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

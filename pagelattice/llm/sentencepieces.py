@@ -342,8 +342,8 @@ def load_model(path: str = MODEL_PATH) -> bytes:
 _SLICE = 512
 
 
-def encode_rows(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids, decoded_crc32, round_trip)`` per row of ``docs``.
+def encode_rows(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, n_tokens, ids, decoded_crc32, round_trip)`` and the columns ``keep`` per row of ``docs``.
 
     The ids are decoded again: ``decoded_crc32`` is the CRC-32 of the decoded UTF-8
     text and ``round_trip`` whether it equals the input (texts that hold U+2581
@@ -375,12 +375,14 @@ def encode_rows(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))),
                         pa.array(crcs, pa.int64()),
                         pa.array(same, pa.bool_()),
+                        *batch.columns[2:],
                     ],
-                    names=["doc_id", "n_tokens", "ids", "decoded_crc32", "round_trip"],
+                    names=["doc_id", "n_tokens", "ids", "decoded_crc32", "round_trip", *keep],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_crc32 long, round_trip boolean")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_crc32 long, round_trip boolean" + more)
 
 
 def decode_rows(encoded: DataFrame, model: bytes | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 
 from pagelattice.llm import mixing
+from pagelattice.runtime import materialize
 
 
 @pytest.mark.parametrize("shares", [{"a": 1}, {"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 500, "b": 333, "c": 100, "d": 66, "e": 1}, {chr(97 + i): i + 1 for i in range(20)}])
@@ -125,3 +126,13 @@ def test_queries_mix_any_number_of_sources(spark, tmp_path):
     _check(listed, 2800)
     first = Counter(weights[r.source] for r in listed[:1399])  # a slot before every weight has its whole share
     assert {w: round(n / len([x for x in weights.values() if x == w])) for w, n in first.items()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_order_survives_files_of_unequal_size(spark):
+    """Later files are larger, so Spark reads them first; the sequence is that of ``mix`` all the same."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id < 600, 'x', repeat(uuid(), 20)) as text", "if(id < 600, 'cold', 'hot') as source")
+    docs = materialize(docs, "t")
+    want = {r.doc_id: r.position for r in mixing.mix(docs, {"cold": 9, "hot": 1}).collect()}
+    written = materialize(mixing.in_mixed_order(docs, weights={"cold": 9, "hot": 1}), "t")
+    assert {r.doc_id: r.position for r in mixing.read_in_order(written).collect()} == want
+    assert [r.doc_id for r in written.collect()] != sorted(want, key=want.get)

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from pagelattice.llm import secrets, sentencepieces, simhash, toxicity
+from pagelattice.llm import mixing, secrets, sentencepieces, simhash, toxicity
 from pagelattice.runtime import materialize, shared_dir
 
 
@@ -89,3 +89,13 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == (named or f"/tmp/checkpoints/{spark.sparkContext.applicationId}")
     out = materialize(spark.range(3), "t")
     assert out.count() == 3 and all(f"{shared_dir(spark)}/scratch/t-" in f for f in out.inputFiles())
+
+
+def test_run_is_in_the_mixed_order(spark, sf, stages):
+    """Rows and positions of the result follow the schedule of the redacted documents."""
+    before = spark.createDataFrame(stages[0][3], "doc_id long, text string, lang string, source string, n_chars long")
+    placed = mixing.mix(before, max_sources=None).collect()
+    want = [r.doc_id for r in sorted(placed, key=lambda r: r.position)]
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert [r.position for r in rows] == list(range(len(want)))
+    assert [r.doc_id for r in rows] == want
