@@ -1,11 +1,22 @@
 """Near duplicates by the Jaccard similarity of word shingles, for the corpus pipeline.
 
-Two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 elements of each in
-any common order (prefix filtering; Chaudhuri et al., "A Primitive Operator for Similarity
-Joins in Data Cleaning", ICDE 2006). The order here is that of 64-bit shingle hashes, so
-a prefix needs no counts of the corpus. Documents that share a prefix hash are candidates,
-the differences seen within both prefixes reject most, and the rest are verified on all
-shingles before they are linked.
+Candidates come from two searches, and every one is verified on all shingles at a
+similarity of 0.8 before it is linked:
+
+* SimHash fingerprints of the same shingles, searched by pigeonring chains
+  (``simhash.near_pairs``), find most near copies but by far not all: two of 64 bits are a
+  narrower limit than a similarity of 0.8.
+* Two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 elements of each in
+  any common order (prefix filtering; Chaudhuri et al., "A Primitive Operator for Similarity
+  Joins in Data Cleaning", ICDE 2006), at places that leave room for the overlap they need.
+  This search is complete. Its order puts the commonest shingles last, so that passages
+  which many documents share seldom lie in a prefix; any order gives the same links.
+
+Documents that share a prefix shingle are not all paired. Each is compared to one pivot of
+the shingle first, then, while that joins components, to further pivots. At last all pairs
+are compared that share a prefix shingle and are still in different components. A pair within
+one component cannot change the result, so components are those of all links, while a
+group of copies costs links in its size and not its square.
 """
 
 from __future__ import annotations
@@ -15,34 +26,74 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.simhash import least_of_each
+from pagelattice.llm import simhash
 from pagelattice.operators.components import connected_components
 from pagelattice.runtime import discard, materialize
 
 SHINGLE = 5
 SEED = 42
-#: All pairs that share a hash are compared up to so many sets; beyond, each set with the
-#: first ``PIVOTS`` of each of ``SALTS`` parts, so a group of copies gives links in its size.
-ALL_PAIRS = 8
-SALTS = 4
-PIVOTS = 2
+#: Bound of the list of common shingles that is sent to the executors; it shapes the order only.
+HOT = 1 << 16
+#: A shingle is common from so many documents on, and from this share of all of them.
+HOT_LEAST, HOT_SHARE = 32, 1 << 14
+#: Common shingles are dealt into so many parts, each with a pivot of its own.
+SALTS = 32
+#: All pairs across components are made once there are so few of them for each shared shingle;
+#: before that, for so many turns at most and while a share of them links, members are
+#: compared to more pivots, of so many orders.
+PAIRS_A_TOKEN, TURNS, ORDERS, YIELD = 8, 4, 16, 0.05
+_HELD = 1 << 20
+_ALL = (1 << 63) - 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; shorter texts are one shingle, wordless ones have none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+class _Words(dict):
+    """64-bit hashes of words, kept up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        found = xxhash.xxh64_intdigest(word, SEED)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
+_WORDS = _Words()
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the word shingles in order; shorter texts are one shingle, wordless ones have none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space only
     if not words:
-        return np.empty(0, np.int64)
-    grams = zip(*(words[i:] for i in range(shingle))) if len(words) > shingle else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams), np.uint64).view(np.int64))
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - shingle + 1)
+    out = np.full(n, np.uint64(min(len(words), shingle)), np.uint64)
+    for k in range(min(len(words), shingle)):
+        out = out * _STEP + h[k : k + n]
+    out ^= out >> np.uint64(32)
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles, as signed longs."""
+    return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
 def _prefix(n: int) -> int:
-    """How many least hashes of ``n`` are enough at similarity 0.8; a few more of short sets."""
-    return max(n - (4 * n + 4) // 5 + 1, min(n, 8)) if n else 0
+    """How many first elements of ``n`` are enough at similarity 0.8."""
+    return n - (4 * n + 4) // 5 + 1 if n else 0
+
+
+def _kinds(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
 
 
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
@@ -51,57 +102,179 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that several documents of a bounded run share, with how many do."""
+    held: list[np.ndarray] = []
+
+    def counted() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h[n > 2]), pa.array(n[n > 2].astype(np.int64))], names=["h", "n"])
+
+    size = 0
     for batch in batches:
-        sets = [shingles(x.as_py()) for x in batch.column(1)]
-        kinds = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        columns = [batch.column(0), pa.array(kinds), pa.array([len(s) for s in sets], pa.int64()), _lists([s[: _prefix(len(s))] for s in sets])]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "kind", "n", "sketch"])
+        for text in batch.column(0):
+            held.append(shingles(text.as_py()))
+            size += len(held[-1])
+            if size >= _HELD:
+                yield counted()
+                size = 0
+    yield counted()
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """The commonest shingles of the column ``text``, rarest first, ``HOT`` at most; runs of all documents are counted."""
+    counts = texts.select("text").mapInArrow(_repeated, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    least = max(HOT_LEAST, texts.count() // HOT_SHARE)
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(HOT)
+    return np.array([r["h"] for r in top.collect()][::-1], np.int64)
+
+
+def _sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
+    """``(id, kind, n, fp, sketch, hot, cover)``: a set's hash, size, fingerprint and prefix, whose last ``hot``
+    elements are common ones; it holds all of the set's other elements up to ``cover``."""
+    order = np.argsort(common)
+    shared = texts.sparkSession.sparkContext.broadcast((common[order], order))  # at most HOT entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
+        for batch in batches:
+            sets, fps, sketch, hot, cover = [], [], [], [], []
+            for text in batch.column(1):
+                s = shingle_hashes(text.as_py())
+                fps.append(simhash.majority(s))
+                s = np.unique(s.view(np.int64))
+                at = np.searchsorted(known, s)
+                is_common = known[np.minimum(at, len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+                cold, want = s[~is_common], _prefix(len(s))
+                sets.append(s)
+                if want <= len(cold):
+                    sketch.append(cold[:want])
+                    hot.append(0)
+                    cover.append(int(cold[want - 1]) if want else _ALL)
+                else:
+                    last = s[is_common]
+                    last = last[np.argsort(rank[at[is_common]])][: want - len(cold)]
+                    sketch.append(np.concatenate([cold, last]))
+                    hot.append(len(last))
+                    cover.append(_ALL)
+            columns = [
+                batch.column(0), _kinds(sets), pa.array([len(s) for s in sets], pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)),
+                _lists(sketch), pa.array(hot, pa.int32()), pa.array(cover, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "kind", "n", "fp", "sketch", "hot", "cover"])
+
+    return texts.mapInArrow(run, "id long, kind long, n int, fp long, sketch array<long>, hot int, cover long")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(x.as_py()) for x in batch.column(0)]
-        kinds = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), _lists(sets)], names=["kind", "grams"])
-
-
-def candidate_pairs(kinds: DataFrame) -> DataFrame:
-    """Pairs ``(a, b, na, nb)`` of ``(kind, n, sketch)`` that their sketches do not tell apart."""
-    tokens = kinds.select("kind", "n", F.explode("sketch").alias("h"))
-    often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    few = F.col("m") <= ALL_PAIRS
-    shared = tokens.join(often, "h").withColumn("salt", F.when(few, 0).otherwise(F.pmod("kind", F.lit(SALTS))))
-    shared = materialize(shared.withColumn("r", F.row_number().over(Window.partitionBy("h", "salt").orderBy("kind"))), "copies")
-    pivots = shared.where(F.col("r") <= F.when(few, ALL_PAIRS).otherwise(PIVOTS)).select("h", F.col("kind").alias("p"), F.col("n").alias("np"))
-    close = (F.col("kind") != F.col("p")) & (5 * F.col("n") >= 4 * F.col("np")) & (5 * F.col("np") >= 4 * F.col("n"))
-    first = F.col("kind") < F.col("p")
-    pairs = (
-        shared.join(pivots, "h")
-        .where(close)
-        .select(F.least("kind", "p").alias("a"), F.greatest("kind", "p").alias("b"), F.when(first, F.col("n")).otherwise(F.col("np")).alias("na"), F.when(first, F.col("np")).otherwise(F.col("n")).alias("nb"))
-        .distinct()
-    )
-    sketch = kinds.select("kind", "sketch")
-    both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
-    last = F.least(F.element_at("sa", -1), F.element_at("sb", -1))
+    for whole in batches:
+        for start in range(0, whole.num_rows, 512):
+            sets = [shingles(x.as_py()) for x in whole.column(0).slice(start, 512)]
+            yield pa.RecordBatch.from_arrays([_kinds(sets), _lists(sets)], names=["kind", "grams"])
+
+
+def shared_tokens(kinds: DataFrame) -> DataFrame:
+    """``(h, part, kind, n, at, pivot)`` of prefix elements that more than one kind has; written once."""
+    exploded = kinds.select("kind", "n", "hot", F.size("sketch").alias("m"), F.posexplode("sketch").alias("at", "h"))
+    is_hot = F.col("at") >= F.col("m") - F.col("hot")
+    tokens = exploded.select("h", F.when(is_hot, F.pmod("kind", F.lit(SALTS))).otherwise(-1).cast("int").alias("part"), "kind", "n", "at")
+    tokens = tokens.repartition("h", "part")  # counted and joined in this one layout
+    found = tokens.groupBy("h", "part").agg(F.count(F.lit(1)).alias("m"), F.min("kind").alias("pivot"))
+    found = found.where((F.col("m") > 1) | (F.col("part") >= 0)).drop("m")
+    return materialize(tokens.join(found, ["h", "part"]).select("h", "part", "kind", "n", "at", "pivot"), "copies")
+
+
+def pivot_pairs(shared: DataFrame) -> DataFrame:
+    """Each kind with the pivot of its shingle's part, and the parts' pivots with the first one."""
+    own = shared.select(F.col("pivot").alias("a"), F.col("kind").alias("b"))
+    parts = shared.where("part >= 0").select("h", "pivot").distinct()
+    first = parts.groupBy("h").agg(F.min("pivot").alias("a"))
+    return own.unionByName(parts.join(first, "h").select("a", F.col("pivot").alias("b"))).where("a <> b").distinct()
+
+
+def fingerprint_pairs(kinds: DataFrame) -> DataFrame:
+    """Kinds whose fingerprints lie on one pigeonring chain; equal fingerprints are paired with one of them."""
+    of = kinds.groupBy("fp").agg(F.min("kind").alias("first"))
+    near = simhash.near_pairs(of.select("fp"))
+    equal = kinds.join(of, "fp").select(F.col("first").alias("a"), F.col("kind").alias("b"))
+    apart = near.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return equal.unionByName(apart).where("a <> b").distinct()
+
+
+def open_tokens(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(h, kind, n, at, component, largest, outside, members)`` of shingles whose members are in several components.
+
+    ``largest`` is the component with most of the shingle's members, ``outside`` the number of the others.
+    """
+    own = shared.join(comps.withColumnRenamed("node", "kind"), "kind", "left").withColumn("component", F.coalesce("component", "kind"))
+    own = own.select("h", "kind", "n", "at", "component")
+    sizes = own.groupBy("h", "component").agg(F.count(F.lit(1)).alias("m"))
+    top = sizes.groupBy("h").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"), F.count(F.lit(1)).alias("k"))
+    top = top.where("k > 1").select("h", F.col("top.component").alias("largest"), (F.col("members") - F.col("top.m")).alias("outside"), "members")
+    return materialize(own.join(top, "h"), "copies")
+
+
+def more_pivot_pairs(opened: DataFrame, turn: int) -> DataFrame:
+    """Members outside a shingle's largest component with a pivot inside it, another one each turn."""
+    order = F.xxhash64("kind", F.pmod("h", F.lit(ORDERS)), F.lit(turn))
+    pivots = opened.where("component = largest").groupBy("h").agg(F.min_by("kind", order).alias("p"))
+    out = opened.where("component <> largest").join(pivots, "h")
+    return out.select(F.least("kind", "p").alias("a"), F.greatest("kind", "p").alias("b")).distinct()
+
+
+def cross_pairs(opened: DataFrame) -> DataFrame:
+    """Pairs of kinds that share a shingle, are in different components and may overlap enough.
+
+    Of a shingle's members those outside its largest component are paired with all others.
+    """
+    x = opened.where("component <> largest").select("h", F.col("kind").alias("a"), F.col("n").alias("na"), F.col("at").alias("xa"), F.col("component").alias("ca"))
+    y = opened.select("h", F.col("kind").alias("b"), F.col("n").alias("nb"), F.col("at").alias("xb"), F.col("component").alias("cb"), "largest")
+    need = F.ceil((F.col("na") + F.col("nb")) * 4 / 9)
+    fits = (F.col("na") - F.col("xa") >= need) & (F.col("nb") - F.col("xb") >= need)
+    once = (F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b"))
+    met = x.join(y, "h").where((F.col("ca") != F.col("cb")) & once & fits)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def plausible(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``(a, b, na, nb)`` of the pairs whose sizes and prefixes leave a similarity of 0.8 open."""
+    side = kinds.select("kind", "n", F.slice("sketch", F.lit(1), F.size("sketch") - F.col("hot")).alias("s"), "cover")
+    both = pairs.join(side.toDF("a", "na", "sa", "ca"), "a").join(side.toDF("b", "nb", "sb", "cb"), "b")
+    last = F.least("ca", "cb")
     known = F.size(F.filter("sa", lambda x: x <= last)) + F.size(F.filter("sb", lambda x: x <= last))
     differ = known - 2 * F.size(F.array_intersect("sa", "sb"))
-    return both.where(9 * differ <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb")
+    close = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
+    return both.where(close & (9 * differ <= F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+
+
+class _Verifier:
+    """Checks pairs on all shingles; the sets of kinds are read from the documents once each."""
+
+    def __init__(self, docs: DataFrame, narrow: DataFrame, id_col: str, text_col: str) -> None:
+        self.docs, self.narrow, self.id_col, self.text_col = docs, narrow, id_col, text_col
+        self.sets: DataFrame | None = None
+        self.tables: list[DataFrame] = []
 
+    def _read(self, wanted: DataFrame) -> None:
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("kind"), "kind", "left_anti")
+        wanted = materialize(wanted, "copies")
+        # one document of each kind; of repeated ids and null ones all are read
+        ids = self.narrow.join(wanted, "kind", "left_semi").groupBy("kind").agg(F.min("id").alias("id"))
+        ids = materialize(ids.where("id is not null").select(F.col("id").alias("__id")).distinct(), "copies")
+        named = self.docs.join(ids, F.col(self.id_col).cast("long") == F.col("__id"), "left_semi")
+        texts = named.unionByName(self.docs.where(F.col(self.id_col).isNull())).select(F.col(self.text_col).cast("string").alias("text"))
+        sets = texts.mapInArrow(_whole, "kind long, grams array<long>").join(wanted, "kind", "left_semi").dropDuplicates(["kind"])
+        self.tables.append(materialize(sets, "copies"))
+        self.sets = self.tables[-1] if self.sets is None else self.sets.unionByName(self.tables[-1])
 
-def similar_pairs(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs ``(a, b)`` of kinds whose shingle sets have a similarity of 0.8 or more."""
-    kinds = prints.where("n > 0").groupBy("kind").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    pairs = materialize(candidate_pairs(kinds), "copies")
-    wanted = pairs.select(F.col("a").alias("kind")).union(pairs.select("b")).distinct()
-    # one document of each kind; of repeated ids and null ones all are read
-    ids = prints.join(wanted, "kind", "left_semi").groupBy("kind").agg(F.min("id").alias("id"), F.count("id").alias("named"))
-    named = docs.join(ids.where("named > 0").select(F.col("id").alias("__id")).distinct(), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
-    texts = named.unionByName(docs.where(F.col(id_col).isNull())).select(F.col(text_col).cast("string").alias("text"))
-    sets = materialize(texts.mapInArrow(_whole, "kind long, grams array<long>"), "copies").dropDuplicates(["kind"])
-    both = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
-    return both.where(9 * F.size(F.array_intersect("ga", "gb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``(a, b, na, nb)`` whose shingle sets have a similarity of 0.8 or more, as ``(a, b)``."""
+        self._read(pairs.select(F.col("a").alias("kind")).union(pairs.select("b")).distinct())
+        both = pairs.join(self.sets.toDF("a", "ga"), "a").join(self.sets.toDF("b", "gb"), "b")
+        same = F.size(F.array_intersect("ga", "gb"))
+        return materialize(both.where(9 * same >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "copies")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,9 +284,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are equal to each other and to nothing else.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = materialize(texts.mapInArrow(_sketch, "id long, kind long, n long, sketch array<long>"), "copies")
-    comps = connected_components(similar_pairs(docs, prints, id_col, text_col), "a", "b")
+    prints = materialize(_sketches(texts, common_shingles(texts)), "copies")
+    columns = ("n", "fp", "sketch", "hot", "cover")
+    kinds = materialize(prints.where("n > 0").groupBy("kind").agg(*[F.first(c).alias(c) for c in columns]), "copies")
     narrow = prints.select("id", "kind")
+    shared = shared_tokens(kinds)
+    check = _Verifier(docs, narrow, id_col, text_col)
+    links = check.links(materialize(plausible(pivot_pairs(shared).union(fingerprint_pairs(kinds)).distinct(), kinds), "copies"))
+    comps = materialize(connected_components(links, "a", "b"), "copies")
+    few = PAIRS_A_TOKEN * shared.count()
+    for turn in range(TURNS + 1):
+        opened = open_tokens(shared, comps)
+        cost = opened.groupBy("h").agg(F.first(F.col("outside") * F.col("members")).alias("c")).agg(F.sum("c")).first()[0] or 0
+        if cost <= few or turn == TURNS:
+            break
+        pairs = materialize(plausible(more_pivot_pairs(opened, turn), kinds), "copies")
+        links = check.links(pairs)
+        found = links.count()
+        comps = materialize(connected_components(comps.toDF("a", "b").unionByName(links), "a", "b"), "copies")
+        if found < YIELD * pairs.count():
+            opened = open_tokens(shared, comps) if found else opened
+            break
+    links = check.links(materialize(plausible(cross_pairs(opened), kinds), "copies"))
+    comps = connected_components(comps.toDF("a", "b").unionByName(links), "a", "b")
     named = (
         narrow.groupBy("kind")
         .agg(F.min("id").alias("least_id"))
@@ -123,10 +316,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_kind = named.join(least, "component").select("kind", "component_id")
     out = materialize(narrow.join(of_kind, "kind").select(F.col("id").alias("doc_id"), "component_id"), "copies")
-    discard(prints)
+    for done in (prints, kinds, shared, *check.tables):
+        discard(done)
     return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; other rules as in ``simhash.keep_first``."""
-    return least_of_each(docs, near_copies(docs, id_col, text_col), id_col, text_col)
+    return simhash.least_of_each(docs, near_copies(docs, id_col, text_col), id_col, text_col)

@@ -50,6 +50,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of given unsigned 64-bit hashes; none give zero."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + _CHUNK])
+        counts += np.add.reduce(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1)
@@ -145,22 +154,25 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` whose id is the smallest of its near-duplicate component.
 
     Rows with a null id cannot be told apart and stay. Of rows that repeat a kept
-    id one of each text stays. The columns are those of ``docs``.
+    id one of each text stays, the first by all columns. The columns are those of ``docs``.
     """
     return least_of_each(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **params), id_col, text_col)
 
 
 def least_of_each(docs: DataFrame, near: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near`` (``doc_id, component_id``) names by their component's id, as in ``keep_first``."""
-    kept = (
-        near.where(F.col("doc_id") == F.col("component_id"))
-        .groupBy(F.col("doc_id").alias("__kept"))
-        .agg(F.count(F.lit(1)).alias("__rows"))
-    )
-    same = docs[id_col].cast("long") == kept["__kept"]
-    once = docs.join(kept.where("__rows = 1"), same, "left_semi")
-    again = docs.join(kept.where("__rows > 1"), same, "left_semi").dropDuplicates([id_col, text_col])
-    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` that ``near`` (``doc_id, component_id``) names by their component's id, as in ``keep_first``.
+
+    The ids that go, and those of several rows, are anti-joined: texts move only where these are many.
+    """
+    ids = near.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id"))
+    ids = ids.agg(F.count(F.lit(1)).alias("__rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("__kept"))
+    apart = materialize(ids.where((F.col("__rows") > 1) | ~F.col("__kept")).select("__id", (F.col("__kept") & (F.col("__rows") > 1)).alias("__again")), "apart")
+    same = docs[id_col].cast("long") == apart["__id"]
+    once = docs.join(apart, same, "left_anti")  # rows with a null id among them
+    again = docs.join(apart.where("__again"), same, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = again.groupBy(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return once.unionByName(again)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from pagelattice.llm import mixing, secrets, sentencepieces, simhash, toxicity
+from pagelattice.llm import mixing, secrets, sentencepieces, toxicity
 from pagelattice.runtime import materialize, shared_dir
+from test_near_copies import kept_by_all_pairs as all_pairs
 
 
 @pytest.fixture(scope="module")
@@ -38,17 +39,8 @@ def test_toxicity(spark, sf, stages):
 
 def test_simhash(stages):
     before, after = stages[0][1], stages[0][2]
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in before}
-    kept = {r.doc_id for r in after}
-    group = {i: i for i in prints}
-    changed = True
-    while changed:
-        changed = False
-        for i in prints:
-            for j in prints:
-                if bin(prints[i] ^ prints[j]).count("1") <= 2 and group[j] < group[i]:
-                    group[i], changed = group[j], True
-    assert kept == {i for i, g in group.items() if i == g}
+    kept, links = all_pairs([(r.doc_id, r.text) for r in before])
+    assert links and kept == {r.doc_id for r in after}
 
 
 def test_secrets_and_mixing(stages):
