@@ -30,10 +30,13 @@ BLOCK_ROWS = 2048
 #: Bound of the pivot sample over all labels: it is sent to every executor.
 MAX_PIVOTS = 8192
 LEAF = 64
-_SLACK = 1e-9
+#: Above the error of distances taken from dot products.
+_SLACK = 1e-7
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component is divided out first, so no square overflows or vanishes."""
+    rows = rows / np.abs(rows).max(axis=1, initial=0.0)[:, None]
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
@@ -52,6 +55,8 @@ class CoverTree:
         self.children: list[np.ndarray | None] = []
         if len(rows):
             self._grow(0, np.arange(len(rows)), 2.0)
+        self.centres, self.radii = np.array(self.centre, np.int64), np.array(self.radius)
+        self.size = np.array([len(m) for m in self.members], np.int64)
 
     def _add(self, centre: int, members: np.ndarray) -> int:
         self.centre.append(centre)
@@ -62,7 +67,12 @@ class CoverTree:
         return len(self.centre) - 1
 
     def _grow(self, centre: int, members: np.ndarray, scale: float) -> None:
-        """Open nodes level by level: the net of the next radius holds the parent's centre."""
+        """Open nodes level by level: the net of the next radius holds the parent's centre.
+
+        Distances are taken from differences, which stay exact for vectors that dot products
+        cannot tell apart. The radius of an opened node is above the next scale, so it has
+        two children at least and the tree ends.
+        """
         todo = [(self._add(centre, members), scale)]
         while todo:
             node, scale = todo.pop()
@@ -77,7 +87,8 @@ class CoverTree:
             at, kids = int(np.flatnonzero(members == self.centre[node])[0]), []
             while True:
                 near = left.copy()
-                near[left] = points[left] @ points[at] >= 1.0 - scale * scale / 2
+                gap = points[left] - points[at]
+                near[left] = np.sqrt(np.einsum("ij,ij->i", gap, gap)) <= scale
                 near[at] = True
                 left &= ~near
                 kids.append(self._add(int(members[at]), members[near]))
@@ -169,6 +180,11 @@ def dual_traverse(
     while todo:
         a, b = todo.pop()
         one = same and a == b
+        if one and 2 * ta.radius[a] < reach - _SLACK:  # every pair within the node links
+            i = ta.members[a]
+            got_a[i] += w_left[i].sum() - w_left[i]
+            join(i, np.full(len(i), i[0]))
+            continue
         ca, cb = ta.children[a], tb.children[b]
         if (ca is None and cb is None) or len(ta.members[a]) * len(tb.members[b]) <= LEAF * LEAF:
             exact(ta.members[a], tb.members[b], twice=not one)
@@ -177,29 +193,28 @@ def dual_traverse(
         open_b = np.array([b]) if cb is None else cb
         for s in range(0, len(open_a), 512):
             part = open_a[s : s + 512]
-            dots = left[[ta.centre[k] for k in part]] @ right[[tb.centre[k] for k in open_b]].T
+            dots = left[ta.centres[part]] @ right[tb.centres[open_b]].T
             gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots))
-            radii = np.array([ta.radius[k] for k in part])[:, None] + np.array([tb.radius[k] for k in open_b])[None, :]
+            radii = ta.radii[part][:, None] + tb.radii[open_b][None, :]
             keep = gaps <= radii + reach + _SLACK
             if one:
                 keep &= (np.arange(s, s + len(part))[:, None] <= np.arange(len(open_b))[None, :])
             x, y = np.nonzero(keep)
             inside = gaps[x, y] + radii[x, y] < reach - _SLACK
-            single = radii[x, y] <= 0.0
-            points = [], []
-            for p, q, all_in, at_once in zip(part[x], open_b[y], inside, single):
-                if same and p == q:
-                    if len(ta.members[p]) > 1:
-                        todo.append((p, q))
+            p, q = part[x], open_b[y]
+            single = (ta.size[p] == 1) & (tb.size[q] == 1)
+            if same:
+                single &= p != q
+            for u, v, all_in in zip(p[~single], q[~single], inside[~single]):
+                if same and u == v:
+                    if ta.size[u] > 1:
+                        todo.append((u, v))
                 elif all_in:
-                    whole(ta.members[p], tb.members[q])
-                elif at_once and len(ta.members[p]) == 1 == len(tb.members[q]):
-                    points[0].append(ta.members[p][0])
-                    points[1].append(tb.members[q][0])
+                    whole(ta.members[u], tb.members[v])
                 else:
-                    todo.append((p, q))
-            if points[0]:
-                i, j = np.array(points[0]), np.array(points[1])
+                    todo.append((u, v))
+            if single.any():
+                i, j = ta.centres[p[single]], tb.centres[q[single]]
                 hit = np.einsum("ij,ij->i", left[i], right[j]) >= cosine
                 i, j = i[hit], j[hit]
                 np.add.at(got_a, i, w_right[j])
@@ -215,6 +230,11 @@ def _valid(vec) -> F.Column:
     return vec.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(values, lambda x: x != 0), F.lit(False))
 
 
+def _point(label, v) -> F.Column:
+    """128 bits of hash, in hexadecimal, that stand for a vector of a label."""
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), label, v)), 16, "0") for k in (1, 2)])
+
+
 def near_duplicates(
     vectors: DataFrame,
     cosine: float = COSINE,
@@ -246,15 +266,11 @@ def near_duplicates(
     points = materialize(
         fit.groupBy("label", "v")
         .agg(F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("least_id"))
-        .withColumn("point", F.xxhash64("label", "v"))
+        .withColumn("point", _point("label", "v"))
         .withColumn("dim", F.size("v")),
         "points",
     )
-    sizes = points.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("point").alias("m"))
-    sizes = sizes.agg(F.sum("n").alias("n"), F.sum("m").alias("m")).first()
-    total = sizes["n"] or 0
-    if total != (sizes["m"] or 0):
-        raise RuntimeError("two different vectors share a 64-bit hash")
+    total = points.count()
     per_pivot = max(block_rows, -(-total // max_pivots))
     sample = points.where(F.pmod(F.xxhash64("point"), F.lit(per_pivot)) == 0).select("label", "dim", "v").limit(4 * max_pivots)
     pivots: dict[tuple[str, int], np.ndarray] = {}
@@ -282,7 +298,7 @@ def near_duplicates(
                 [*(batch.column(k) for k in range(5)), pa.array(cell), pa.array(gap)], names=["label", "dim", "v", "point", "w", "cell", "gap"]
             )
 
-    schema = "label string, dim int, v array<double>, point long, w long, cell int, gap double"
+    schema = "label string, dim int, v array<double>, point string, w long, cell int, gap double"
     celled = materialize(points.select("label", "dim", "v", "point", "w").mapInArrow(assign, schema), "cells")
     key = ["label", "dim", "cell"]
     cells = celled.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("reach"))
@@ -298,13 +314,14 @@ def near_duplicates(
         @F.pandas_udf("boolean")
         def near(label, dim, p, q, rp, rq):
             out = np.ones(len(label), bool)
-            for i, (k, d, x, y, s, t) in enumerate(zip(label, dim, p, q, rp, rq)):
+            for (k, d), at in label.groupby([label, dim]).indices.items():
                 centres = shared.value.get((k, int(d)))
                 if centres is not None:
-                    out[i] = np.sqrt(max(0.0, 2.0 - 2.0 * float(centres[x] @ centres[y]))) <= s + t + limit
-            import pandas as pd
-
-            return pd.Series(out)
+                    for s in range(0, len(at), 4096):
+                        rows = at[s : s + 4096]
+                        dots = np.einsum("ij,ij->i", centres[p.to_numpy()[rows]], centres[q.to_numpy()[rows]])
+                        out[rows] = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots)) <= rp.to_numpy()[rows] + rq.to_numpy()[rows] + limit
+            return type(p)(out)
 
         return near("label", "dim", "cell", "other", F.col(a), F.col(b))
 
@@ -316,7 +333,7 @@ def near_duplicates(
         paired.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)))
         .where((F.col("cell") < F.col("other")) | (F.col("part") <= F.col("part_b")))
-        .withColumn("pair", F.xxhash64("label", "dim", "cell", "part", "other", "part_b"))
+        .withColumn("pair", F.concat_ws("/", "dim", "cell", "part", "other", "part_b", "label"))
     )
     itself = (F.col("cell") == F.col("other")) & (F.col("part") == F.col("part_b"))
     sides = paired.select(
@@ -328,7 +345,7 @@ def near_duplicates(
 
     def traverse(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
-        v, point, w = table["v"], table["point"].to_numpy(), table["w"].to_numpy()
+        v, point, w = table["v"], table["point"].to_numpy(zero_copy_only=False), table["w"].to_numpy()
         where = [np.flatnonzero(side == k) for k in ((0, 0) if (side == 0).any() else (1, 2))]
         x = [unit(v.take(pa.array(k)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1)) if len(k) else np.empty((0, 1)) for k in where]
         same = where[0] is where[1] or bool((side == 0).any())
@@ -340,9 +357,9 @@ def near_duplicates(
                 np.zeros(len(x[0]), np.int64), np.zeros(len(x[1]), np.int64), np.arange(len(point)))
             got, ids = np.concatenate([a, b]), np.concatenate([point[where[0]], point[where[1]]])
         hit = got > 0
-        return pa.table({"point": ids[hit], "links": got[hit], "to": ids[label][hit]})
+        return pa.table({"point": pa.array(ids[hit], pa.string()), "links": got[hit], "to": pa.array(ids[label][hit], pa.string())})
 
-    found = materialize(tasks.groupBy("pair").applyInArrow(traverse, "point long, links long, to long"), "links")
+    found = materialize(tasks.groupBy("pair").applyInArrow(traverse, "point string, links long, to string"), "links")
     comps = connected_components(found, "point", "to")
     counts = found.groupBy("point").agg(F.sum("links").alias("links"))
     named = (
@@ -355,7 +372,7 @@ def near_duplicates(
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "component").select(F.col("point").alias("p"), (F.col("links") + F.col("w") - 1).alias("n_links"), "component_id")
     fit = F.col("label").isNotNull() & _valid(F.col("v"))
-    tagged = rows.select("vec_id", F.when(fit, F.xxhash64(F.col("label").cast("string"), "v")).alias("p"))
+    tagged = rows.select("vec_id", F.when(fit, _point(F.col("label").cast("string"), F.col("v"))).alias("p"))
     out = tagged.join(named, "p", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -86,3 +86,29 @@ def test_empty(spark):
 def test_all_unfit(spark):
     frame = spark.createDataFrame([(1, None, 1), (2, [0.0], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, E.near_duplicates(frame).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def _same_as_brute(spark, rows, **params):
+    df = spark.createDataFrame([(i, [float(c) for c in v], label) for i, v, label in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in E.near_duplicates(df, **params).collect())
+    assert got == sorted(tuple(x) for x in _brute(rows))
+
+
+def test_vectors_that_dot_products_cannot_tell_apart(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    multiples = [(i, base * (1 + 0.37 * i), 1) for i in range(200)]
+    close = [(1000 + i, base[::-1] + 1e-12 * rng.normal(size=16), 2) for i in range(200)]
+    _same_as_brute(spark, multiples + close)
+    for rows in (multiples, close):
+        x = E.unit(np.array([v for _, v, _ in rows]))
+        tree = E.CoverTree(x)
+        assert all(len(k) > 1 for k in tree.children if k is not None)
+
+
+def test_very_small_and_very_large_components(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=8)
+    rows = [(i, base + 0.01 * rng.normal(size=8), 1) for i in range(40)]
+    rows += [(100, base * 1e-200, 1), (101, base * 1e200, 1), (102, base * 1e-310, 1), (103, -base * 1e-200, 1)]
+    _same_as_brute(spark, rows, block_rows=8)
