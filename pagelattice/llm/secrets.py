@@ -45,9 +45,14 @@ def _crc_ok(m: re.Match) -> bool:
     return crc_suffix(m.group(1)[:-6]) == m.group(1)[-6:]
 
 
-def _jwt_ok(m: re.Match) -> bool:
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_JWT_REST = re.compile(r"\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+#: Longer headers are no tokens; the bound keeps the scan linear.
+JWT_HEADER = 4096
+
+
+def _jwt_ok(head: str) -> bool:
     """The header must be base64url of a JSON object that names an algorithm."""
-    head = m.group().split(".", 1)[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
     except (ValueError, binascii.Error, TypeError, RecursionError):
@@ -58,7 +63,6 @@ def _jwt_ok(m: re.Match) -> bool:
 _MORE: dict[str, tuple[tuple[str, ...], re.Pattern, Callable[[re.Match], bool] | None]] = {
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), _crc_ok),
     "npm": (("npm_",), re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), _crc_ok),
-    "jwt": (("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), _jwt_ok),
     "slack": (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), re.compile(r"xox[abprs]-[0-9]{8,14}-[0-9A-Za-z-]{12,}"), None),
     "stripe": (("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_[0-9A-Za-z]{24,}"), None),
     "google": (("aiza",), re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), None),
@@ -70,10 +74,33 @@ _MORE: dict[str, tuple[tuple[str, ...], re.Pattern, Callable[[re.Match], bool] |
 }
 
 
+class _Tokens:
+    """Web tokens of one text: header, payload and signature, joined by points.
+
+    All starts within one run of header characters share its end and what follows, which
+    are sought once, so a run of any number of starts costs its length.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.run_end, self.end = text, 0, -1
+
+    def end_at(self, start: int) -> int:
+        """The end of the token that starts here, or -1."""
+        text = self.text
+        if text[start : start + 3] != "eyJ":
+            return -1
+        if start >= self.run_end:
+            self.run_end = _JWT_RUN.match(text, start).end()
+            rest = _JWT_REST.match(text, self.run_end)
+            self.end = rest.end() if rest else -1
+        size = self.run_end - start
+        return self.end if self.end >= 0 and 11 <= size <= JWT_HEADER and _jwt_ok(text[start : self.run_end]) else -1
+
+
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     words = {w: "assign" for w in ("password", "passwd", "secret", "token", "apikey", "api_key")} | {"akia": "access"}
-    words |= {w: kind for kind, (keys, _, _) in _MORE.items() for w in keys}
+    words |= {w: kind for kind, (keys, _, _) in _MORE.items() for w in keys} | {"eyj": "jwt"}
     for w, kind in words.items():
         found.add_word(w, (len(w), kind))
     found.make_automaton()
@@ -94,12 +121,18 @@ def scan(text: str | None) -> list[tuple[int, int, str, int]]:
     if not _KEYWORDS:
         _KEYWORDS.append(_automaton())
     low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    spans = []
+    spans, tokens = [], _Tokens(text)
     free = dict.fromkeys(KINDS, 0)
     for last, (size, kind) in _KEYWORDS[0].iter(low):
         start = last - size + 1
         if start < free[kind]:
             continue
+        if kind == "jwt":
+            end = tokens.end_at(start)
+            if end >= 0:
+                spans.append((start, KINDS.index(kind), kind, end))
+                free[kind] = end
+            continue
         if kind == "assign":
             m = _ASSIGN.match(text, start)
             ok = m and len(m.group(1)) >= 12
@@ -140,7 +173,7 @@ def redact(text: str | None) -> str | None:
     return "".join(out) + text[at:]
 
 
-_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_more long, base_sha256 string, spans string"
+_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_more long"
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,17 +183,17 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             spans = scan(text.as_py())
             base = [x for x in spans if x[1] < 3]
             n = [sum(x[1] == k for x in base) for k in range(3)]
-            rows.append((*n, len(spans) - len(base), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+            rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
         cols = list(zip(*rows)) or [()] * 6
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
+        kinds = [*[pa.int64()] * 3, pa.string(), pa.string(), pa.int64()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *map(pa.array, cols, kinds)],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "n_more", "base_sha256", "spans"],
+            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_more"],
         )
 
 
 def scan_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_assign, n_access, n_hex, n_more, base_sha256, spans)`` per row.
+    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_more)`` per row.
 
     Null and empty texts have no spans. Null ids and repeated rows pass through; other
     columns are ignored; an empty table gives no rows.
