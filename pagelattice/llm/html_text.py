@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z))", re.S)
-_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 #: Elements whose text never shows.
 _RAW = frozenset("script style noscript template iframe object svg math textarea title xmp noembed noframes".split())
@@ -45,65 +47,152 @@ _ENDS_P = frozenset(
 _SCOPE = frozenset("ul ol table dl body div article section main nav aside header footer form select blockquote".split())
 
 
-class Block:
-    """A leaf block: its text with references decoded, its path, and how much of it is links."""
+#: Marks that make a phrase a piece of its own within its block.
+_ADVERT = frozenset(".ad .ads .adv .advert .advertisement .adslot .adsense .sponsor .sponsored .promo .promoted .promotion".split())
+#: Parts that say nothing about the role of what they hold.
+_PLAIN = frozenset("html body div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table tbody thead tr td th blockquote pre figure figcaption span".split())
+_ROLES = frozenset("article main header footer nav aside section form dialog".split())
 
-    __slots__ = ("linked", "path", "tag", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], tag: str, linked: int) -> None:
-        self.text, self.path, self.tag, self.linked = text, path, tag, linked
+class Node:
+    """An open element. Blocks share the nodes of their ancestors, so a page of any depth takes linear memory.
 
+    ``fresh`` are the words of this element that no ancestor has, ``near`` the innermost
+    word that tells a role, ``roles`` the two innermost elements that do.
+    """
 
-def _marks(attributes: str) -> tuple[str, ...]:
-    """Class, id and role words of a start tag, in lower case, digits apart."""
-    found = []
-    for m in _ATTR.finditer(attributes):
-        for word in re.split(r"[^a-z]+", (m.group(2) or m.group(3) or m.group(4) or "").lower()):
-            if word:
-                found.append("." + word)
-    return tuple(found)
+    __slots__ = ("fresh", "hidden", "marks", "name", "near", "parent", "roles")
+
+    def __init__(self, parent: Node | None, name: str, marks: tuple[str, ...], hidden: bool, fresh: tuple[str, ...]) -> None:
+        self.parent, self.name, self.marks, self.hidden, self.fresh = parent, name, marks, hidden, fresh
+        self.near = marks[-1] if marks else name if name not in _PLAIN else parent.near if parent else ""
+        above = parent.roles if parent else ("", "")
+        self.roles = (name, above[0]) if name in _ROLES else above
+
+
+class Block:
+    """A leaf block, or a piece of one: its text with references decoded, its element, how much of it is links.
+
+    Pieces of one block have the same ``run``; ``raw`` keeps the spaces between them.
+    """
+
+    __slots__ = ("linked", "node", "raw", "run", "text")
+
+    def __init__(self, raw: str, node: Node | None, linked: int, run: int) -> None:
+        self.raw, self.text, self.node, self.linked, self.run = raw, raw.strip(" "), node, linked, run
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Names and marks from the root to the block's element."""
+        out, node = [], self.node
+        while node:
+            out += [*reversed(node.marks), node.name]
+            node = node.parent
+        return tuple(reversed(out))
+
+
+def _marks(attributes: str) -> tuple[tuple[str, ...], bool]:
+    """Class, id and role words of a start tag, in lower case, digits apart, and whether it hides its element."""
+    found, hidden = [], False
+    if _TELLING.search(attributes):
+        for m in _ATTR.finditer(attributes):
+            key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+            if key in ("class", "id", "role"):
+                found += ["." + word for word in re.split(r"[^a-z]+", value.lower()) if word]
+            elif key == "hidden" or key == "style" and _UNSEEN.search(value):
+                hidden = True
+    return tuple(found), hidden
+
+
+class _Stack:
+    """The open elements. Sought by name without a walk, so every element is pushed and popped once."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.at: dict[str, list[int]] = {}  # positions of the open elements of a name
+        self.scopes: list[int] = [-1]
+        self.words: dict[str, int] = {}  # how many open elements have a word
+        self.hidden = 0
+
+    def push(self, name: str, marks: tuple[str, ...], hidden: bool) -> None:
+        words, fresh = self.words, []
+        for w in (name, *marks):
+            n = words.get(w, 0)
+            if not n:
+                fresh.append(w)
+            words[w] = n + 1
+        self.at.setdefault(name, []).append(len(self.nodes))
+        if name in _SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.hidden += hidden
+        self.nodes.append(Node(self.nodes[-1] if self.nodes else None, name, marks, hidden, tuple(fresh)))
+
+    def cut(self, to: int) -> None:
+        while len(self.nodes) > to:
+            node = self.nodes.pop()
+            for w in (node.name, *node.marks):
+                self.words[w] -= 1
+            self.at[node.name].pop()
+            if node.name in _SCOPE:
+                self.scopes.pop()
+            self.hidden -= node.hidden
+
+    def last(self, names: tuple[str, ...]) -> int:
+        """Position of the innermost open element of these names, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order; blocks without visible text are left out."""
+    """Leaf blocks in page order; blocks without visible text are left out.
+
+    Elements hidden by their attributes do not show. A phrase marked as an advert is a
+    piece apart from the rest of its block.
+    """
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open block elements with their marks
+    stack = _Stack()
     text: list[str] = []
-    linked = at = 0
+    linked = at = run = 0
     inside_link = 0
+    phrases: list[list] = []  # open phrases that stand on the stack: position, name, open elements of that name
 
-    def flush() -> None:
+    def piece() -> None:
         nonlocal linked
         if text:
-            seen = _SPACE.sub(" ", html.unescape("".join(text))).strip(" ")
+            seen = _SPACE.sub(" ", html.unescape("".join(text)))
             text.clear()
-            if seen:
-                path = tuple([x for name, marks in stack for x in (name, *marks)])
-                tag = stack[-1][0] if stack else ""
-                out.append(Block(seen, path, tag, linked))
+            if seen.strip(" "):
+                out.append(Block(seen, stack.nodes[-1] if stack.nodes else None, linked, run))
+            elif seen and out and out[-1].run == run:
+                out[-1].raw += " "
         linked = 0
 
+    def flush() -> None:
+        nonlocal run
+        piece()
+        run += 1
+
+    def cut(to: int) -> None:
+        stack.cut(to)
+        while phrases and phrases[-1][0] >= to:
+            phrases.pop()
+
     def close(names: tuple[str, ...]) -> None:
         """End open elements of these names up to the nearest container."""
-        for i in range(len(stack) - 1, -1, -1):
-            name = stack[i][0]
-            if name in names:
-                flush()
-                del stack[i:]
-                return
-            if name in _SCOPE:
-                return
+        found = stack.last(names)
+        if found >= 0 and found >= stack.scopes[-1]:
+            flush()
+            cut(found)
 
     size = len(page)
     while at < size:
         m = _TAG.search(page, at)
-        piece = page[at : m.start() if m else size]
-        if piece:
-            text.append(piece)
+        part = page[at : m.start() if m else size]
+        if part and not stack.hidden:
+            text.append(part)
             if inside_link:
-                linked += len(piece)
+                linked += len(part)
         if not m:
             break
         at = m.end()
@@ -119,9 +208,20 @@ def blocks(page: str | None) -> list[Block]:
                 continue
             if name in _INLINE:
                 if name == "br":
-                    text.append(" ")
-                elif name == "a":
+                    if not stack.hidden:
+                        text.append(" ")
+                    continue
+                if name == "a":
                     inside_link = 1
+                if name in _VOID or m.group(3).endswith("/"):
+                    continue
+                marks, hidden = _marks(m.group(3))
+                if hidden or not _ADVERT.isdisjoint(marks):
+                    piece()
+                    phrases.append([len(stack.nodes), name, 1])
+                    stack.push(name, marks, hidden)
+                elif phrases and phrases[-1][1] == name:
+                    phrases[-1][2] += 1
                 continue
             flush()
             inside_link = 0
@@ -130,16 +230,21 @@ def blocks(page: str | None) -> list[Block]:
             if name in _ENDS_P:
                 close(("p",))
             if name not in _VOID and not m.group(3).endswith("/"):
-                stack.append((name, _marks(m.group(3))))
-        elif name == "a":
-            inside_link = 0
-        elif name not in _INLINE and name not in _VOID:
+                stack.push(name, *_marks(m.group(3)))
+        elif name in _INLINE:
+            if name == "a":
+                inside_link = 0
+            if phrases and phrases[-1][1] == name:
+                phrases[-1][2] -= 1
+                if not phrases[-1][2]:
+                    piece()
+                    cut(phrases[-1][0])
+        elif name not in _VOID:
             flush()
             inside_link = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            found = stack.last((name,))
+            if found >= 0:
+                cut(found)
     flush()
     return out
 
@@ -149,14 +254,20 @@ def blocks(page: str | None) -> list[Block]:
 _NOTICE = re.compile(r"cookie|©|\(c\) ?\d|copyright|all rights|subscribe|sign up|log in|newsletter|privacy|terms|advert|sponsor|read more|share", re.I)
 
 
-#: Parts that say nothing about the role of what they hold.
-_PLAIN = frozenset("html body div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table tbody thead tr td th blockquote pre figure figcaption span".split())
+def node_features(node: Node | None) -> list[str]:
+    """The element, the innermost word and the two innermost elements that tell a role."""
+    if node is None:
+        return ["tag=", "near=", "one"]
+    return [f"tag={node.name}", f"near={node.near}", f"roles={node.roles[0]}<{node.roles[1]}", "one"]
 
 
-def path_features(path: tuple[str, ...], tag: str) -> list[str]:
-    """All ancestors' tags and marks, and the innermost one that tells a role."""
-    near = next((x for x in reversed(path) if x not in _PLAIN), "")
-    return [f"tag={tag}", f"near={near}", *sorted({f"anc={x}" for x in path}), "one"]
+def path_features(node: Node | None) -> list[str]:
+    """``node_features`` and all ancestors' names and marks, each once."""
+    out, at = node_features(node), node
+    while at:
+        out += [f"anc={x}" for x in at.fresh]
+        at = at.parent
+    return out
 
 
 def text_key(block: Block, nth: int, total: int) -> tuple[int, int, bool, int, bool, int]:
@@ -191,6 +302,20 @@ class Field:
         self._sums[key] = out = (sum(x[0] for x in found), sum(x[1] for x in found))
         return out
 
+    def _ancestors(self, node: Node | None, known: dict[Node | None, tuple[float, float]]) -> tuple[float, float]:
+        """Weights of all words from the root to a node; ``known`` keeps them, so each node is summed once a page."""
+        todo = []
+        while node not in known:
+            todo.append(node)
+            node = node.parent
+        a, b = known[node]
+        for node in reversed(todo):
+            if node.fresh:
+                c, d = self._sums.get(node.fresh) or self._sum(node.fresh, [f"anc={x}" for x in node.fresh])
+                a, b = a + c, b + d
+            known[node] = a, b
+        return a, b
+
     def decode(self, page: list[Block]) -> list[int]:
         """The likeliest labels of a page's blocks, by Viterbi; ties go to boilerplate."""
         if not page:
@@ -199,10 +324,13 @@ class Field:
         (a, b), (c, d) = self.moves.tolist()
         s0, s1 = self.first.tolist()
         back: list[tuple[int, int]] = []
+        known: dict[Node | None, tuple[float, float]] = {None: (0.0, 0.0)}
         for n, block in enumerate(page):
-            key = text_key(block, n, total)
-            where = (block.path, block.tag)
-            p0, p1 = sums.get(where) or self._sum(where, path_features(*where))
+            key, node = text_key(block, n, total), block.node
+            a0, a1 = known.get(node) or self._ancestors(node, known)
+            where = (node.name, node.near, node.roles) if node else ()
+            p0, p1 = sums.get(where) or self._sum(where, node_features(node))
+            p0, p1 = p0 + a0, p1 + a1
             e0, e1 = sums.get(key) or self._sum(key, text_features(key))
             if n:
                 f0, f1 = s1 + c > s0 + a, s1 + d > s0 + b
@@ -222,7 +350,7 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 50, rate: fl
     names: dict[str, int] = {}
     rows = []
     for page, labels in pages:
-        feats = [[names.setdefault(f, len(names)) for f in path_features(b.path, b.tag) + text_features(text_key(b, n, len(page)))] for n, b in enumerate(page)]
+        feats = [[names.setdefault(f, len(names)) for f in path_features(b.node) + text_features(text_key(b, n, len(page)))] for n, b in enumerate(page)]
         if page:
             rows.append((feats, np.array(labels)))
     w, moves, first = np.zeros((len(names), 2)), np.zeros((2, 2)), np.zeros(2)
@@ -255,6 +383,7 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 50, rate: fl
 
 # -- labelled pages --------------------------------------------------------------------
 
+_OPEN = "\x01"
 _SYLLABLES = "ba ce di fo gu la me ni po ru sa te vi zo an en in on er st th nd".split()
 
 
@@ -281,9 +410,11 @@ def _links(rng: random.Random, n: int) -> str:
     return "".join(f'<li><a href="/{_words(rng, 1, 1)}">{_words(rng, 1, 3)}</a></li>' for _ in range(n))
 
 
-def _boiler(rng: random.Random) -> str:
-    """One boilerplate part: menu, page header, footer, sidebar, notice, advert, form or comments."""
+def _boiler(rng: random.Random, inside: bool = False) -> str:
+    """One boilerplate part: menu, page header (not inside an article), footer, sidebar, notice, advert, form or comments."""
     text, kind = _sentence(rng, 3, 14), rng.randrange(9)
+    if inside and kind == 1:
+        kind = 5
     many = "".join(f"<p>{_sentence(rng, 3, 25)}</p>" for _ in range(rng.randint(1, 4)))
     if kind == 0:
         wrap = rng.choice((("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<div id="nav">', "</div>"), ('<ul class="navbar">', "</ul>"), ('<div class="breadcrumb">', "</div>")))
@@ -310,12 +441,22 @@ def _boiler(rng: random.Random) -> str:
     return f'<div class="{mark}">{rng.choice((_words(rng, 1, 4), f"<ul>{_links(rng, 3)}</ul>"))}</div>'
 
 
+def _phrase_advert(rng: random.Random) -> str:
+    """An advert within a sentence's block; the text after it is content again."""
+    mark = rng.choice(("ad", "ads", "advert", "sponsored", "promo"))
+    tag = rng.choice(("span", "a", "b", "small"))
+    return f'<{tag} class="{mark}">{_sentence(rng, 1, 9)}</{tag}>{_OPEN}'
+
+
 def _content(rng: random.Random) -> str:
     out = [f"<h1>{_sentence(rng, 1, 12)}</h1>"] if rng.random() < 0.85 else []
+    if out and rng.random() < 0.3:  # an article's own head
+        out = ["<header>" + out[0] + (f"<p>{_sentence(rng, 4, 20)}</p>" if rng.random() < 0.5 else "") + "</header>"]
     for _ in range(rng.choice((0, 1, 2, 3, 5, 8, 13))):
         kind = rng.random()
         if kind < 0.72:
-            out.append(f"<p>{_paragraph(rng)}" + rng.choice(("</p>", "</p>", "")))
+            advert = f" {_phrase_advert(rng)} {_sentence(rng, 2, 12)}" if rng.random() < 0.06 else ""
+            out.append(f"<p>{_paragraph(rng)}{advert}" + rng.choice(("</p>", "</p>", "")))
         elif kind < 0.8:
             out.append(f"<h{rng.randint(2, 4)}>{_words(rng, 1, 6)}</h{rng.randint(2, 4)}>")
         elif kind < 0.87:
@@ -337,8 +478,6 @@ _HOLDERS = (
     ('<div class="content">', "</div>"), ('<div id="content">', "</div>"), ('<div class="article">', "</div>"), ('<div class="post-body">', "</div>"),
     ('<section class="entry">', "</section>"), ('<div id="main"><div class="post">', "</div></div>"), ('<article class="story">', "</article>"), ("<div>", "</div>"),
 )
-_OPEN, _SHUT = "\x01", "\x02"
-
 
 def labelled_pages(n: int = 320, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
     """Seeded pages with their blocks' labels; content is written between two marks that the labels are read from."""
@@ -352,12 +491,13 @@ def labelled_pages(n: int = 320, seed: int = 11) -> list[tuple[list[Block], list
         if rng.random() < 0.3:  # boilerplate within the article's element, after or between its blocks
             cut = marked.find("<p>", len(marked) // 2)
             cut = len(marked) if cut < 0 else cut
-            marked = marked[:cut] + _boiler(rng) + marked[cut:]
+            marked = marked[:cut] + _boiler(rng, inside=True) + marked[cut:]
         page = f"<html><head><title>{_words(rng, 1, 4)}</title></head><body>{before}{holder[0]}{marked}{holder[1]}{after}</body></html>"
         found = blocks(page)
         labels = [int(b.text.startswith(_OPEN)) for b in found]
         for b in found:
-            b.text = b.text.replace(_OPEN, "").strip(" ") or "."
+            b.raw = b.raw.replace(_OPEN, "")
+            b.text = b.raw.strip(" ") or "."
         out.append((found, labels))
     return out
 
@@ -368,10 +508,19 @@ def trained() -> Field:
 
 
 def main_text(page: str | None, field: Field) -> tuple[str, int, int]:
-    """(main text, its blocks, all blocks) of a page."""
+    """(main text, its blocks, all blocks) of a page; kept pieces of one block stand in one line."""
     found = blocks(page)
-    kept = [b.text for b, y in zip(found, field.decode(found)) if y]
-    return "\n".join(kept), len(kept), len(found)
+    lines: list[str] = []
+    last = -1
+    for b, y in zip(found, field.decode(found)):
+        if y:
+            if b.run == last:
+                lines[-1] += b.raw
+            else:
+                lines.append(b.raw)
+            last = b.run
+    kept = [_SPACE.sub(" ", x).strip(" ") for x in lines]
+    return "\n".join(kept), len(kept), len({b.run for b in found})
 
 
 def extract_rows(
@@ -379,6 +528,7 @@ def extract_rows(
 ) -> DataFrame:
     """``(page_id, url, text, n_chars, n_kept, n_blocks)`` per row of ``pages``.
 
+    Time and memory grow with a page's length, at any depth of its elements.
     Null and empty pages, and pages without content blocks, give the empty text. Null
     ids and urls and repeated rows pass through; other columns are ignored; an empty
     table gives no rows.

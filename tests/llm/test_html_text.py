@@ -47,7 +47,7 @@ def test_viterbi_is_the_best_of_all(field):
         def score(labels):
             s = field.first[labels[0]]
             for n, (b, y) in enumerate(zip(page, labels)):
-                names = H.path_features(b.path, b.tag) + H.text_features(H.text_key(b, n, total))
+                names = H.path_features(b.node) + H.text_features(H.text_key(b, n, total))
                 s += sum(field.weights[f][y] for f in names if f in field.weights)
                 s += field.moves[labels[n - 1], y] if n else 0
             return s
