@@ -153,8 +153,10 @@ class Codec:
         trie, pairs, longest, bpe = self.trie, self._pairs, self.longest, self.kind == BPE
         base = 0
         # of boundary base + k: the piece of its surviving arc (-1: an unknown character), its length, its sum
-        arc, size, best = [-1], [0], [0.0]
         unknown, j, end = False, 0, len(text)
+        room = min(end, 4 * longest) + longest + 1
+        arc, size, best = [-2] * room, [0] * room, [0.0] * room
+        arc[0] = -1
 
         def committed(to: int) -> list[int]:
             nonlocal unknown
@@ -174,12 +176,12 @@ class Codec:
 
         while j < end:
             k = j - base
-            grow = k + longest + 1 - len(arc)
-            if grow > 0:
-                arc += [-2] * grow
-                size += [0] * grow
-                best += [0.0] * grow
+            if k + longest >= len(arc):
+                arc += [-2] * room
+                size += [0] * room
+                best += [0.0] * room
             left, here = arc[k], best[k]
+            before = left << 32
             node, i, m = trie, j, k
             while i < end:
                 node = node.get(text[i])
@@ -191,7 +193,7 @@ class Codec:
                     continue
                 if bpe:
                     if arc[m] == -2:
-                        ok = pairs.get(left << 32 | piece)
+                        ok = pairs.get(before | piece)
                         if ok is None:
                             ok = self._compatible(left, piece)
                         if ok:
@@ -214,38 +216,6 @@ class Codec:
                     size[0] = 0
         yield from committed(end)
 
-    def _short(self, text: str) -> tuple[int, ...]:
-        """The ids of a short BPE text: the same lattice without a window."""
-        trie, pairs, end = self.trie, self._pairs, len(text)
-        arc, size = [-2] * (end + 1), [0] * (end + 1)
-        arc[0] = -1
-        for j in range(end):
-            left = arc[j] << 32
-            node, i = trie, j
-            while i < end:
-                node = node.get(text[i])
-                if node is None:
-                    break
-                i += 1
-                if arc[i] == -2:
-                    piece = node.get(0)
-                    if piece is not None:
-                        ok = pairs.get(left | piece)
-                        if ok is None:
-                            ok = self._compatible(arc[j], piece)
-                        if ok:
-                            arc[i], size[i] = piece, i - j
-            if arc[j + 1] == -2 and text[j] not in self.single:
-                arc[j + 1], size[j + 1] = -1, 1
-        out: list[int] = []
-        while end:
-            if arc[end] >= 0:
-                out.append(arc[end])
-            else:
-                out += reversed(self._spell(text[end - 1], False))
-            end -= size[end]
-        return tuple(reversed(out))
-
     # -- whole texts ---------------------------------------------------------------
 
     def encode(self, text: str | None) -> list[int]:
@@ -310,12 +280,12 @@ class _Words(RecentCache):
 
     def compute(self, word: str) -> tuple[int, ...]:
         codec, text = self.codec, self.lead + word
-        if len(text) > CACHE_KEY or codec.kind != BPE or not codec.byte_fallback:
+        if len(text) > CACHE_KEY or not codec.byte_fallback:
             return tuple(codec._stream(text))
         linked = codec.linked
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in linked]
         if not cuts:
-            return codec._short(text)
+            return tuple(codec._stream(text))
         bare, out = codec._bare, list(self[text[len(self.lead) : cuts[0]]] if cuts[0] >= len(self.lead) else ())
         for a, b in zip(cuts, [*cuts[1:], len(text)]):
             out += bare[text[a:b]]
