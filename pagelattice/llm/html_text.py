@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Role words of fewer training pages are strange.
+STRANGE = 3
 _SPACE = re.compile(r"\s+")
 #: Elements whose text never shows.
 _RAW = frozenset("script style noscript template iframe object svg math textarea title xmp noembed noframes".split())
@@ -285,7 +288,12 @@ def text_key(block: Block, nth: int, total: int) -> tuple[int, int, bool, int, b
 
 
 def text_features(key: tuple) -> list[str]:
-    return [f"{name}={value}" for name, value in zip(("words", "links", "stop", "commas", "notice", "place"), key)]
+    return [*(f"{name}={value}" for name, value in zip(("words", "links", "stop", "commas", "notice", "place"), key)), f"form={key[0]}/{key[1]}/{key[2]}"]
+
+
+def pair_features(node: Node | None, key: tuple) -> list[str]:
+    """Whether links or whole sentences stand in this element."""
+    return [f"in={node.name}/{key[1] > 1}/{key[2]}"] if node else []
 
 
 class Field:
@@ -295,8 +303,12 @@ class Field:
         self.weights, self.moves, self.first = weights, moves, first
         self._sums: dict[tuple, tuple[float, float]] = {}
 
+    def _known(self, name: str) -> str:
+        """Role words that training lacks count as one strange word."""
+        return "near=?" if name.startswith("near=") and name not in self.weights else name
+
     def _sum(self, key: tuple, names: list[str]) -> tuple[float, float]:
-        found = [self.weights[f] for f in names if f in self.weights]
+        found = [self.weights[f] for f in map(self._known, names) if f in self.weights]
         if len(self._sums) >= 50_000:
             self._sums.clear()
         self._sums[key] = out = (sum(x[0] for x in found), sum(x[1] for x in found))
@@ -327,11 +339,15 @@ class Field:
         known: dict[Node | None, tuple[float, float]] = {None: (0.0, 0.0)}
         for n, block in enumerate(page):
             key, node = text_key(block, n, total), block.node
+            pair = node and (node.name, key[1] > 1, key[2])
             a0, a1 = known.get(node) or self._ancestors(node, known)
             where = (node.name, node.near, node.roles) if node else ()
             p0, p1 = sums.get(where) or self._sum(where, node_features(node))
             p0, p1 = p0 + a0, p1 + a1
             e0, e1 = sums.get(key) or self._sum(key, text_features(key))
+            if pair:
+                q0, q1 = sums.get(pair) or self._sum(pair, pair_features(node, key))
+                e0, e1 = e0 + q0, e1 + q1
             if n:
                 f0, f1 = s1 + c > s0 + a, s1 + d > s0 + b
                 s0, s1 = (s1 + c if f0 else s0 + a), (s1 + d if f1 else s0 + b)
@@ -345,36 +361,51 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 50, rate: float = 0.5, decay: float = 1e-4) -> Field:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 100, rate: float = 0.5, decay: float = 1e-5) -> Field:
     """Maximum likelihood with an L2 term, by AdaGrad over exact forward-backward gradients."""
     names: dict[str, int] = {}
     rows = []
+    near = Counter(w for page, _ in pages for w in {b.node.near for b in page if b.node})  # pages that have a role word
     for page, labels in pages:
-        feats = [[names.setdefault(f, len(names)) for f in path_features(b.node) + text_features(text_key(b, n, len(page)))] for n, b in enumerate(page)]
+        feats = []
+        for n, b in enumerate(page):
+            key = text_key(b, n, len(page))
+            found = path_features(b.node) + text_features(key) + pair_features(b.node, key)
+            found = ["near=?" if b.node and near[b.node.near] < STRANGE and f == f"near={b.node.near}" else f for f in found]
+            feats.append([names.setdefault(f, len(names)) for f in found])
         if page:
             rows.append((feats, np.array(labels)))
+    size = np.array([len(y) for _, y in rows])
+    # all pages at once: blocks stand in a grid of pages by places
+    flat = np.concatenate([np.array(f) for feats, _ in rows for f in feats])
+    count = np.array([len(f) for feats, _ in rows for f in feats])
+    begin = np.cumsum(count) - count
+    page_of = np.repeat(np.arange(len(rows)), size)
+    place = np.arange(len(page_of)) - np.repeat(np.cumsum(size) - size, size)
+    gold = np.eye(2)[np.concatenate([y for _, y in rows])]
+    follows = place > 0
+    steps = gold[np.flatnonzero(follows) - 1].T @ gold[follows]
     w, moves, first = np.zeros((len(names), 2)), np.zeros((2, 2)), np.zeros(2)
     sums = [np.full_like(x, 1e-8) for x in (w, moves, first)]
     for _ in range(rounds):
-        gw, gm, gf = -decay * len(rows) * w, np.zeros((2, 2)), np.zeros(2)
-        for feats, y in rows:
-            n = len(y)
-            emit = np.array([w[f].sum(axis=0) for f in feats])
-            ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
-            ahead[0] = first + emit[0]
-            for i in range(1, n):
-                ahead[i] = np.logaddexp(ahead[i - 1][0] + moves[0], ahead[i - 1][1] + moves[1]) + emit[i]
-            for i in range(n - 2, -1, -1):
-                x = behind[i + 1] + emit[i + 1]
-                behind[i] = np.logaddexp(moves[:, 0] + x[0], moves[:, 1] + x[1])
-            z = np.logaddexp(ahead[-1][0], ahead[-1][1])
-            error = np.eye(2)[y] - np.exp(ahead + behind - z)
-            for f, e in zip(feats, error):
-                gw[f] += e
-            gf += error[0]
-            for i in range(1, n):
-                gm[y[i - 1], y[i]] += 1
-                gm -= np.exp(ahead[i - 1][:, None] + moves + (emit[i] + behind[i])[None, :] - z)
+        emit = np.zeros((len(rows), size.max(), 2))
+        emit[page_of, place] = np.add.reduceat(w[flat], begin, axis=0)
+        ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
+        ahead[:, 0] = first + emit[:, 0]
+        for i in range(1, size.max()):
+            ahead[:, i] = np.logaddexp(ahead[:, i - 1, :1] + moves[0], ahead[:, i - 1, 1:] + moves[1]) + emit[:, i]
+        for i in range(size.max() - 2, -1, -1):
+            x = behind[:, i + 1] + emit[:, i + 1]
+            x = np.logaddexp(moves[:, 0] + x[:, :1], moves[:, 1] + x[:, 1:])
+            behind[:, i] = np.where((i + 1 < size)[:, None], x, 0.0)
+        last = ahead[np.arange(len(rows)), size - 1]
+        z = np.logaddexp(last[:, 0], last[:, 1])
+        error = gold - np.exp((ahead + behind - z[:, None, None])[page_of, place])
+        spread = np.repeat(error, count, axis=0)
+        gw = np.stack([np.bincount(flat, spread[:, k], len(names)) for k in (0, 1)], axis=1) - decay * len(rows) * w
+        p, i = page_of[follows], place[follows]
+        pairs = ahead[p, i - 1][:, :, None] + moves + (emit[p, i] + behind[p, i])[:, None, :] - z[p][:, None, None]
+        gm, gf = steps - np.exp(pairs).sum(axis=0), error[place == 0].sum(axis=0)
         for x, g, s in zip((w, moves, first), (gw, gm, gf), sums):
             s += g * g
             x += rate * g / np.sqrt(s)
@@ -417,14 +448,14 @@ def _boiler(rng: random.Random, inside: bool = False) -> str:
         kind = 5
     many = "".join(f"<p>{_sentence(rng, 3, 25)}</p>" for _ in range(rng.randint(1, 4)))
     if kind == 0:
-        wrap = rng.choice((("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<div id="nav">', "</div>"), ('<ul class="navbar">', "</ul>"), ('<div class="breadcrumb">', "</div>")))
+        wrap = rng.choice((("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<div id="nav">', "</div>"), ('<ul class="navbar">', "</ul>"), ('<div class="breadcrumb">', "</div>"), ('<div role="navigation">', "</div>")))
         return f"{wrap[0]}<ul>{_links(rng, rng.randint(2, 8))}</ul>{wrap[1]}"
     if kind == 1:
-        return rng.choice((f"<header><p>{text}</p></header>", f"<header><h1>{text}</h1>{many}</header>", f'<div class="header">{text}</div>', f'<div id="masthead"><h2>{text}</h2></div>'))
+        return rng.choice((f"<header><p>{text}</p></header>", f"<header><h1>{text}</h1>{many}</header>", f'<div class="header">{text}</div>', f'<div id="masthead"><h2>{text}</h2></div>', f'<div role="banner">{text}</div>'))
     if kind == 2:
-        return rng.choice((f"<footer>&copy; {rng.randint(1990, 2030)} {text}</footer>", f"<footer>{many}</footer>", f"<footer><ul>{_links(rng, 3)}</ul></footer>", f'<div class="footer">{many}</div>', f'<div id="footer">&copy; {text}</div>'))
+        return rng.choice((f"<footer>&copy; {rng.randint(1990, 2030)} {text}</footer>", f"<footer>{many}</footer>", f"<footer><ul>{_links(rng, 3)}</ul></footer>", f'<div class="footer">{many}</div>', f'<div id="footer">&copy; {text}</div>', f'<div role="contentinfo">{many}</div>'))
     if kind == 3:
-        return rng.choice((f"<aside>{many}</aside>", f"<aside><ul>{_links(rng, 4)}</ul></aside>", f'<div class="sidebar">{many}</div>', f'<div class="related"><ul>{_links(rng, 3)}</ul></div>', f'<div id="sidebar"><h3>{text}</h3>{many}</div>', f'<div class="widget">{many}</div>'))
+        return rng.choice((f"<aside>{many}</aside>", f"<aside><ul>{_links(rng, 4)}</ul></aside>", f'<div class="sidebar">{many}</div>', f'<div class="related"><ul>{_links(rng, 3)}</ul></div>', f'<div id="sidebar"><h3>{text}</h3>{many}</div>', f'<div class="widget">{many}</div>', f'<div role="complementary">{many}</div>'))
     if kind == 4:
         mark = rng.choice(("cookie", "cookie-notice", "notice", "banner", "consent", "alert", "popup", "modal", "newsletter", "disclaimer", "subscribe", "paywall", "gdpr"))
         return f'<div {rng.choice(("class", "id"))}="{mark}">{rng.choice((text, many, "We use cookies. " + text))}</div>'
@@ -448,9 +479,9 @@ def _phrase_advert(rng: random.Random) -> str:
     return f'<{tag} class="{mark}">{_sentence(rng, 1, 9)}</{tag}>{_OPEN}'
 
 
-def _content(rng: random.Random) -> str:
+def _content(rng: random.Random, own_head: bool = False) -> str:
     out = [f"<h1>{_sentence(rng, 1, 12)}</h1>"] if rng.random() < 0.85 else []
-    if out and rng.random() < 0.3:  # an article's own head
+    if own_head and out and rng.random() < 0.5:
         out = ["<header>" + out[0] + (f"<p>{_sentence(rng, 4, 20)}</p>" if rng.random() < 0.5 else "") + "</header>"]
     for _ in range(rng.choice((0, 1, 2, 3, 5, 8, 13))):
         kind = rng.random()
@@ -479,14 +510,32 @@ _HOLDERS = (
     ('<section class="entry">', "</section>"), ('<div id="main"><div class="post">', "</div></div>"), ('<article class="story">', "</article>"), ("<div>", "</div>"),
 )
 
-def labelled_pages(n: int = 320, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
+def _strange_holder(rng: random.Random) -> tuple[str, str]:
+    """Elements and marks that say nothing, as the pages of the world have them."""
+    name = _words(rng, 1, 1)
+    return rng.choice((
+        (f'<div class="{name}">', "</div>"), (f'<div id="{name}"><div class="{_words(rng, 1, 1)}">', "</div></div>"), (f"<x-{name}>", f"</x-{name}>"),
+        (f'<table><tr><td class="{name}">', "</td></tr></table>"), (f'<section id="{name}">', "</section>"), ("", ""), (f'<div role="main" class="{name}">', "</div>"),
+    ))
+
+
+def _strange_boiler(rng: random.Random) -> str:
+    """Menus, link lists and notices under elements and marks that say nothing."""
+    name, text = _words(rng, 1, 1), _sentence(rng, 2, 8)
+    items = rng.choice((f"<ul>{_links(rng, rng.randint(2, 10))}</ul>", " | ".join(f'<a href="/x">{_words(rng, 1, 2)}</a>' for _ in range(rng.randint(2, 8))), f'<a href="/y">{text}</a>', f"&copy; {rng.randint(1990, 2030)} {text}", f"All rights reserved. {text}"))
+    wrap = rng.choice((("<div>", "</div>"), (f'<div class="{name}">', "</div>"), (f"<x-{name}>", f"</x-{name}>"), (f'<table><tr><td id="{name}">', "</td></tr></table>"), (f'<section class="{name}">', "</section>")))
+    return wrap[0] + items + wrap[1]
+
+
+def labelled_pages(n: int = 1200, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
     """Seeded pages with their blocks' labels; content is written between two marks that the labels are read from."""
     rng, out = random.Random(seed), []
     for _ in range(n):
-        before = "".join(_boiler(rng) for _ in range(rng.choice((0, 1, 2, 2, 3, 4))))
-        after = "".join(_boiler(rng) for _ in range(rng.choice((0, 1, 1, 2, 3, 4))))
-        holder = rng.choice(_HOLDERS)
-        inner = _content(rng)
+        part = lambda: _strange_boiler(rng) if rng.random() < 0.3 else _boiler(rng)
+        before = "".join(part() for _ in range(rng.choice((0, 1, 2, 2, 3, 4))))
+        after = "".join(part() for _ in range(rng.choice((0, 1, 1, 2, 3, 4))))
+        holder = _strange_holder(rng) if rng.random() < 0.35 else rng.choice(_HOLDERS)
+        inner = _content(rng, own_head=holder[0].startswith(("<article", "<main")))
         marked = re.sub(r"(<(?:p|h\d|li|td|pre|figcaption)>(?:<b>|<em>)?)", rf"\1{_OPEN}", inner)
         if rng.random() < 0.3:  # boilerplate within the article's element, after or between its blocks
             cut = marked.find("<p>", len(marked) // 2)
