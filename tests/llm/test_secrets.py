@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,10 +49,27 @@ def test_checksums():
     assert secrets.scan(f"x {good[:-1]}{'A' if good[-1] != 'A' else 'B'} y") == []
     head = base64.urlsafe_b64encode(b'{"alg":"HS256","typ":"JWT"}').decode().rstrip("=")
     assert [x[2] for x in secrets.scan(f"{head}.abcdefgh12.abcdefgh12")] == ["jwt"]
-    assert secrets.scan("eyJhbGciOiJub25lIn.abcdefgh12.abcdefgh12") == [] or True
+    nested = f"eyJ{head}.abcdefgh12.abcdefgh12 eyJeyJ{head}.abcdefgh12.abcdefgh12"
+    assert [nested[a:b] for a, _, _, b in secrets.scan(nested)] == [f"{head}.abcdefgh12.abcdefgh12"] * 2
+    assert secrets.scan(f"{head}.abcdefgh12.abc {head}") == []
+    assert secrets.scan("eyJ" + "A" * secrets.JWT_HEADER + ".abcdefgh12.abcdefgh12") == []
     assert secrets.scan("eyJxxxxxxxxxxxx.abcdefgh12.abcdefgh12") == []
 
 
+def test_hostile_texts_take_linear_time():
+    mega = 1 << 20
+    texts = ["eyJ" * (mega // 3) + end for end in ("", ".aaaaaaaa.bbbbbbbb", ".eyJ")]
+    texts += [x * (mega // len(x)) for x in ("token ", "token=", "AKIA", "-----BEGIN PRIVATE KEY-----", "xoxb-12345678-", "sk_live_", "ghp_", "a")]
+    for text in texts:
+        began = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - began < 10
+
+
+def test_column_order(no_docs):
+    assert secrets.scan_rows(no_docs).columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+
+
 def test_redaction(odd_docs):
     assert secrets.redact('x token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" y') == 'x token = "[SECRET]" y'
     assert secrets.redact("AKIAABCDEFGHIJKLMN and 0123456789abcdef0") == "[SECRET] and [SECRET]"

@@ -35,12 +35,10 @@ def test_ids_are_the_librarys(codec, library, spark, sf):
         assert codec.decode(ids) == library.decode(ids)
 
 
-def test_windowed_and_short_lattices_agree(codec, library):
+def test_whole_texts_in_one_stream(codec, library):
     for text in _texts():
         if text:
-            spaced = S.SPACE + text.replace(" ", S.SPACE)
-            assert list(codec._stream(spaced)) == library.encode(text)
-            assert list(codec._short(spaced)) == library.encode(text)
+            assert list(codec._stream(S.SPACE + text.replace(" ", S.SPACE))) == library.encode(text)
 
 
 def test_stream_commits_before_the_end(codec):
