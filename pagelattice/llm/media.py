@@ -3,12 +3,15 @@
 Frames are lossless JPEG (ITU-T T.81 process 14, predictor 1, 8-bit grey samples). The
 writer's Huffman table gives the category of a difference with s extra bits a code of
 9 - s bits, so a sample takes nine bits exactly and a frame decodes by table look-up
-and running sums over whole arrays; any other table is decoded bit by bit.
+and running sums over whole arrays; any other table is decoded bit by bit. Files of other
+writers hold frames of the baseline process (discrete cosine transform); these are decoded
+to their luminance.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -90,36 +93,196 @@ def encode_frames(payload: bytes) -> list[bytes]:
     return out
 
 
-def _parse_frame(frame: bytes) -> tuple[int, int, list[int], list[int], bytes]:
-    """(height, width, code counts, symbols, entropy-coded bytes) of a lossless grey frame."""
+def _segments(frame: bytes) -> Iterator[tuple[int, bytes, int]]:
+    """(marker, body, place after it) of the segments before and at the scan's head."""
     if frame[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
-    at, size, table = 2, None, None
-    while True:
-        marker, n = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
-        body = frame[at + 4 : at + 2 + n]
+    at = 2
+    while at + 4 <= len(frame):
         if frame[at] != 0xFF:
             raise ValueError("a marker is missing")
+        marker = frame[at + 1]
+        if marker == 0xFF:  # a fill byte
+            at += 1
+            continue
+        n = int.from_bytes(frame[at + 2 : at + 4], "big")
+        if n < 2 or at + 2 + n > len(frame):
+            raise ValueError("a segment is cut off")
+        at += 2 + n
+        yield marker, frame[at - n + 2 : at], at
+        if marker == 0xDA:
+            return
+    raise ValueError("the frame is incomplete")
+
+
+def _process(frame: bytes) -> int:
+    """The start-of-frame marker, which names the coding process."""
+    for marker, _, _ in _segments(frame):
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return marker
+    raise ValueError("the frame has no size")
+
+
+def _parse_frame(frame: bytes) -> tuple[int, int, list[int], list[int], bytes]:
+    """(height, width, code counts, symbols, entropy-coded bytes) of a lossless grey frame."""
+    size = table = None
+    for marker, body, at in _segments(frame):
         if marker == 0xC4:
             counts = list(body[1:17])
             table = counts, list(body[17 : 17 + sum(counts)])
-        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            if len(body) < 6:
+                raise ValueError("a segment is cut off")
             precision, high, wide, parts = struct.unpack(">BHHB", body[:6])
             if marker != 0xC3 or precision != 8 or parts != 1:
-                raise ValueError("only lossless 8-bit grey frames are decoded")
+                raise ValueError("of lossless frames only 8-bit grey ones are decoded")
             size = high, wide
         elif marker == 0xDA:
-            if body[-3] != 1:
+            if len(body) < 3 or body[-3] != 1:
                 raise ValueError("only the left predictor is decoded")
             end = frame.rfind(b"\xff\xd9")
-            if size is None or table is None or end < 0:
+            if size is None or table is None or end < at:
                 raise ValueError("the frame is incomplete")
-            return *size, *table, frame[at + 2 + n : end].replace(b"\xff\x00", b"\xff")
-        at += 2 + n
+            return *size, *table, frame[at:end].replace(b"\xff\x00", b"\xff")
+    raise ValueError("the frame is incomplete")
+
+
+class _Bits:
+    """Reads codes and extra bits of one restart interval; past the end come zeros, then an error."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.held, self.n = data, 0, 0, 0
+
+    def need(self, n: int) -> None:
+        while self.n < n:
+            if self.at > len(self.data) + 8:
+                raise ValueError("the frame is incomplete")
+            self.held = (self.held << 8 | (self.data[self.at] if self.at < len(self.data) else 0)) & 0xFFFFFFFF
+            self.at, self.n = self.at + 1, self.n + 8
+
+    def symbol(self, table: list[int]) -> int:
+        self.need(16)
+        found = table[self.held >> (self.n - 16) & 0xFFFF]
+        if not found:
+            raise ValueError("a code is unknown")
+        self.n -= found >> 8
+        return found & 0xFF
+
+    def signed(self, size: int) -> int:
+        if not size:
+            return 0
+        self.need(size)
+        self.n -= size
+        extra = self.held >> self.n & ((1 << size) - 1)
+        return extra if extra >> (size - 1) else extra - (1 << size) + 1
+
+
+def _lookup(counts: list[int], symbols: list[int]) -> list[int]:
+    """length * 256 + symbol for every 16 bits that may come; 0 where no code fits."""
+    if len(symbols) < sum(counts):
+        raise ValueError("a segment is cut off")
+    out = [0] * (1 << 16)
+    for (n, code), s in _codes(counts, symbols).items():
+        if code >> n:
+            raise ValueError("a code table is overfull")
+        out[code << (16 - n) : (code + 1) << (16 - n)] = [n << 8 | s] * (1 << (16 - n))
+    return out
+
+
+def _zigzag() -> list[int]:
+    """Places of the 64 coefficients in the order in which they are coded."""
+    order = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+    return order
+
+
+_ZIGZAG = _zigzag()
+_COSINE = np.array([[(0.5 if u else 8**-0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def decode_baseline(frame: bytes) -> np.ndarray:
+    """The luminance of a baseline frame of one or three components, by Huffman codes and inverse cosine transform."""
+    quant: dict[int, list[int]] = {}
+    tables: dict[int, list[int]] = {}
+    restart, parts, size = 0, [], (0, 0)
+    for marker, body, at in _segments(frame):
+        if marker == 0xDB:
+            k = 0
+            while k < len(body):
+                wide = body[k] >> 4
+                values = body[k + 1 : k + 65 + 64 * wide]
+                if len(values) < 64 << wide:
+                    raise ValueError("a segment is cut off")
+                quant[body[k] & 15] = list(struct.unpack(">64H", values)) if wide else list(values)
+                k += 65 + 64 * wide
+        elif marker == 0xC4:
+            k = 0
+            while k + 17 <= len(body):
+                counts = list(body[k + 1 : k + 17])
+                tables[body[k]] = _lookup(counts, list(body[k + 17 : k + 17 + sum(counts)]))
+                k += 17 + sum(counts)
+        elif marker == 0xDD:
+            restart = int.from_bytes(body[:2], "big")
+        elif marker in (0xC0, 0xC1):
+            if len(body) < 6 or body[0] != 8 or len(body) < 6 + 3 * body[5]:
+                raise ValueError("only 8-bit frames are decoded")
+            size = struct.unpack(">HH", body[1:5])
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
+        elif marker == 0xDA:
+            coded = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])} if body and len(body) >= 1 + 2 * body[0] else {}
+            start = at
+    high, wide = size
+    if not parts or not high or not wide or any(not 1 <= h <= 4 or not 1 <= v <= 4 for _, h, v, _ in parts) or {p[0] for p in parts} != set(coded):
+        raise ValueError("only frames of one scan with all components are decoded")
+    if len(parts) == 1:  # blocks of a single component stand row by row whatever its factors
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
+    across, down = -(-wide // (8 * most_h)), -(-high // (8 * most_v))
+    try:
+        dc = {c: tables[coded[c] >> 4] for c, *_ in parts}
+        ac = {c: tables[16 | coded[c] & 15] for c, *_ in parts}
+        scale = np.zeros(64)
+        scale[_ZIGZAG] = quant[parts[0][3]]
+    except KeyError:
+        raise ValueError("the frame lacks a table") from None
+    end = frame.rfind(b"\xff\xd9")
+    runs = re.split(rb"\xff[\xd0-\xd7]", frame[start : end if end >= start else len(frame)])
+    first, h0, v0 = parts[0][:3]
+    luma = np.zeros((down * v0, across * h0, 64))
+    units, step = across * down, restart or across * down
+    for k, run in enumerate(runs):
+        bits, before = _Bits(run.replace(b"\xff\x00", b"\xff")), dict.fromkeys(dc, 0)
+        for unit in range(k * step, min(units, (k + 1) * step)):
+            for c, h, v, _ in parts:
+                for b in range(h * v):
+                    before[c] += bits.signed(bits.symbol(dc[c]))
+                    found, i = [(0, before[c])], 1
+                    while i < 64:
+                        s = bits.symbol(ac[c])
+                        if not s & 15 and s != 0xF0:
+                            break
+                        i += s >> 4
+                        if s & 15:
+                            value = bits.signed(s & 15)
+                            if i > 63:
+                                raise ValueError("a block has too many coefficients")
+                            found.append((_ZIGZAG[i], value))
+                        i += 1
+                    if c == first:
+                        block = luma[unit // across * v0 + b // h, unit % across * h0 + b % h]
+                        for place, value in found:
+                            block[place] = value
+    if units > len(runs) * step:
+        raise ValueError("the frame is incomplete")
+    samples = _COSINE.T @ (luma * scale).reshape(-1, 8, 8) @ _COSINE + 128
+    image = samples.reshape(down * v0, across * h0, 8, 8).swapaxes(1, 2).reshape(down * v0 * 8, across * h0 * 8)
+    high, wide = -(-high * v0 // most_v), -(-wide * h0 // most_h)
+    return np.clip(np.rint(image), 0, 255).astype(np.uint8)[:high, :wide]
 
 
 def _differences(data: bytes, samples: int, counts: list[int], symbols: list[int]) -> np.ndarray:
     if counts == _COUNTS and symbols == _SYMBOLS and samples % 8 == 0:
+        if len(data) < samples * _FIXED // 8:
+            raise ValueError("the frame is incomplete")
         packed = np.frombuffer(data, np.uint8, samples * _FIXED // 8).reshape(-1, 9).astype(np.uint16)
         words = np.empty((len(packed), 8), np.uint16)
         for k in range(8):
@@ -130,6 +293,8 @@ def _differences(data: bytes, samples: int, counts: list[int], symbols: list[int
     for _ in range(samples):
         n = code = 0
         while (n, code) not in codes or not n:
+            if at >= len(bits) or n > 16:
+                raise ValueError("the frame is incomplete")
             code, n, at = code << 1 | bits[at], n + 1, at + 1
         s = codes[n, code]
         extra = int("".join(map(str, bits[at : at + s])) or "0", 2)
@@ -139,9 +304,18 @@ def _differences(data: bytes, samples: int, counts: list[int], symbols: list[int
 
 
 def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
-    """The sample arrays of lossless frames; runs of frames with one table are decoded together."""
+    """The sample arrays of frames; runs of lossless frames with one table are decoded together.
+
+    Raises ``ValueError`` for broken frames and other processes than the lossless and the baseline one.
+    """
     out: list[np.ndarray] = []
-    parsed = [_parse_frame(f) for f in frames]
+    try:
+        parsed = [_parse_frame(f) for f in frames]
+    except ValueError:
+        dct = [_process(f) in (0xC0, 0xC1) for f in frames]
+        if not any(dct):
+            raise
+        return [decode_baseline(f) if yes else decode_frames([f])[0] for f, yes in zip(frames, dct)]
     at = 0
     while at < len(parsed):
         _, wide, counts, symbols, _ = parsed[at]
@@ -210,6 +384,8 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
     at, n = movi
     if index is not None:
         out = []
+        if len(index) % 16:
+            raise ValueError("the index is cut off")
         for name, _, offset, size in struct.iter_unpack("<4sIII", index):
             if name[2:] in (b"dc", b"db"):
                 start = at + offset + 8
@@ -287,18 +463,29 @@ def store_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, "doc_id long, media binary")
 
 
+def clips_or_error(media: bytes | None) -> list[tuple]:
+    """``clips`` with a null error each; broken media give one row that has only the error."""
+    try:
+        return [(*c, None) for c in clips(media)]
+    except ValueError as e:
+        return [(None, None, None, None, str(e))]
+
+
 def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """``(doc_id, clip, start_s, end_s, frames)``: one row per shot of each AVI file; null media have none."""
+    """``(doc_id, clip, start_s, end_s, frames, error)``: one row per shot of each AVI file; null media have none.
+
+    Files that cannot be read give no clips but one row whose ``error`` says why; a file without frames gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i.as_py(), *c) for i, m in zip(*batch.columns) for c in clips(m.as_py())]
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols, kinds)), names=["doc_id", "clip", "start_s", "end_s", "frames"])
+            rows = [(i.as_py(), *c) for i, m in zip(*batch.columns) for c in clips_or_error(m.as_py())]
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols, kinds)), names=["doc_id", "clip", "start_s", "end_s", "frames", "error"])
 
     rows = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(run, "doc_id long, clip long, start_s double, end_s double, frames long")
+    return rows.mapInArrow(run, "doc_id long, clip long, start_s double, end_s double, frames long, error string")
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
