@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     out = stages.run_stages(context, args.final_stage, materialize=True)
     for s in out:
         if s.key == "native" and s.status == "ok":
-            head = [r.text for r in s.data.orderBy("page_index", "seq").limit(10).collect()]
+            head = [r.text for r in s.data.orderBy(*scan.page_keys(s.data), "seq").limit(10).collect()]
             print(f"{s.data.count()} words: {' '.join(head)}")
         print(f"{s.key}: {s.status}{f' ({s.error})' if s.error else ''}")
     return int(any(s.status == "error" for s in out))

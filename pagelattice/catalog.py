@@ -496,6 +496,15 @@ def _c_spatial(spark, sf):
     return _rows(_spatial(spark, sf))
 
 
+@register("two_documents", _with("paths", f"{_SPATIAL} SELECT 'd' || page_index % 2 AS doc_path, page_index // 2 AS page_index, layer_key, color_key, path_id, group_id FROM sp", True))
+def _two_documents(spark, sf):
+    """The pages dealt to two documents, whose pages have the same numbers."""
+    paths = X.paths(spark, sf).withColumn("doc_path", F.concat(F.lit("d"), F.expr("page_index % 2"))).withColumn("page_index", F.expr("page_index div 2"))
+    bucket = clustering.bucket_of(paths)
+    groups = clustering.cluster_spatial(clustering.singletons(joins.with_drawing_stats(paths, bucket)))
+    return groups.select(*bucket, "path_id", "group_id")
+
+
 _SEQ = f"""
 gaps AS (SELECT *, CASE WHEN seq - lag(seq) OVER w > 3 THEN 1 ELSE 0 END AS jump FROM sp WINDOW w AS (PARTITION BY {_B}, group_id ORDER BY seq, path_id)),
 runs AS (SELECT *, sum(jump) OVER (PARTITION BY {_B}, group_id ORDER BY seq, path_id ROWS UNBOUNDED PRECEDING) AS run FROM gaps),
@@ -720,7 +729,7 @@ _VOTE = f"""
 seen AS (SELECT *, lower({_TRIM}) AS norm FROM readings WHERE {_TRIM} <> ''),
 grouped AS (SELECT cluster_id, norm, sum(confidence) AS total, avg(confidence) AS mean, min(rotation_index) AS first FROM seen GROUP BY ALL),
 won AS (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY total DESC, first) = 1),
-shown AS (SELECT s.cluster_id, s.norm, trim(s.text) AS text FROM seen s QUALIFY row_number() OVER (PARTITION BY s.cluster_id, s.norm ORDER BY s.confidence DESC, s.rotation_index) = 1),
+shown AS (SELECT s.cluster_id, s.norm, s.text FROM seen s QUALIFY row_number() OVER (PARTITION BY s.cluster_id, s.norm ORDER BY s.confidence DESC, s.rotation_index) = 1),
 voted AS (SELECT cluster_id, coalesce(shown.text, '') AS text, coalesce(mean, 0) AS confidence FROM (SELECT DISTINCT cluster_id FROM readings)
   LEFT JOIN won USING (cluster_id) LEFT JOIN shown USING (cluster_id, norm))"""
 
@@ -730,9 +739,12 @@ def _vote(spark, sf):
     return voting.vote_exact(X.readings(spark, sf)).select("cluster_id", "text", F.bround("confidence", 6).alias("confidence"))
 
 
-@register("ocr_vote_fuzzy", _with("readings", f"{_VOTE} SELECT cluster_id, text, round_even(confidence, 6) AS confidence FROM voted"))
+_VOTE_FUZZY = _VOTE.replace(f"lower({_TRIM}) AS norm FROM readings", "kind AS norm FROM misread").replace("FROM readings)", "FROM misread)")
+
+
+@register("ocr_vote_fuzzy", f"WITH misread AS ({X.MISREAD_SQL}), {_VOTE_FUZZY} SELECT cluster_id, text, round_even(confidence, 6) AS confidence FROM voted")
 def _vote_fuzzy(spark, sf):
-    return voting.vote_fuzzy(X.readings(spark, sf)).select("cluster_id", "text", F.bround("confidence", 6).alias("confidence"))
+    return voting.vote_fuzzy(X.misread(spark, sf)).select("cluster_id", "text", F.bround("confidence", 6).alias("confidence"))
 
 
 @register("ocr_pass_fail", _with("readings", f"{_VOTE} SELECT trim(text) <> '' AS passed, count(*) AS n FROM voted GROUP BY 1"))

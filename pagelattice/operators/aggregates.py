@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions import geometry as G
+from pagelattice.operators.scan import page_keys
 
 
-def build_drawings(paths: DataFrame, page: str = "page_index") -> DataFrame:
+def build_drawings(paths: DataFrame) -> DataFrame:
     """One row per drawing: union box, first member's style, whether dashed, its members in order."""
+    page = page_keys(paths)
     first = F.min_by(F.struct("layer_key", "color_key", "stroke_width", "dashes"), "path_id")
-    out = paths.groupBy(page, "seq").agg(
+    out = paths.groupBy(*page, "seq").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         F.count(F.lit(1)).alias("n_paths"), first.alias("s"), F.array_sort(F.collect_list("path_id")).alias("members"),
     )
     return out.select(
-        page, "seq", "x0", "y0", "x1", "y1", "n_paths", "s.layer_key", "s.color_key", "s.stroke_width",
+        *page, "seq", "x0", "y0", "x1", "y1", "n_paths", "s.layer_key", "s.color_key", "s.stroke_width",
         G.is_dashed(F.col("s.dashes")).alias("dashed"), "members",
     )
 

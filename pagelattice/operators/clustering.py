@@ -13,18 +13,26 @@ from pyspark.sql import functions as F
 from pagelattice.functions import geometry as G
 from pagelattice.operators.components import connected_components
 from pagelattice.operators.joins import dimension_links, overlap_pairs, spatial_pairs
+from pagelattice.operators.scan import page_keys
 
 BUCKET = ["page_index", "layer_key", "color_key"]
+#: For parity: the number of entries from which a pairwise pass may be told to give one cluster.
 PAIRWISE_CAP = 4000
 
 
+def bucket_of(groups: DataFrame) -> list[str]:
+    """The columns within which paths cluster: the page (of its document, where there are several), layer and colour."""
+    return [*page_keys(groups), "layer_key", "color_key"]
+
+
 def singletons(paths: DataFrame) -> DataFrame:
     """Every path its own group."""
     return paths.withColumn("group_id", F.col("path_id"))
 
 
-def group_boxes(groups: DataFrame, bucket: list[str] = BUCKET) -> DataFrame:
+def group_boxes(groups: DataFrame, bucket: list[str] | None = None) -> DataFrame:
     """``bucket, group_id, x0, y0, x1, y1, n``: the union box and size of each group."""
+    bucket = bucket or bucket_of(groups)
     return groups.groupBy(*bucket, "group_id").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n")
     )
@@ -36,7 +44,8 @@ def components(pairs: DataFrame, bucket: list[str]) -> DataFrame:
     def node(c: str) -> Column:
         return F.struct(*bucket, F.col(c).alias("n"))
 
-    found = connected_components(pairs.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
+    edges = pairs.select(node("a").alias("a"), node("b").alias("b"), F.xxhash64(*bucket).alias("bucket"))
+    found = connected_components(edges, "a", "b", within="bucket")
     return found.select(*[F.col(f"node.{c}").alias(c) for c in bucket], F.col("node.n").alias("node"), F.col("component.n").alias("component"))
 
 
@@ -65,14 +74,16 @@ def _capped(boxes: DataFrame, pairs, node: str, bucket: list[str], cap: int | No
 # -- clustering ------------------------------------------------------------------------
 
 
-def cluster_spatial(groups: DataFrame, threshold: float = 8.0, bucket: list[str] = BUCKET, exact: bool = True) -> DataFrame:
+def cluster_spatial(groups: DataFrame, threshold: float = 8.0, bucket: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Single linkage of all paths at the threshold, from scratch: earlier groups are dissolved."""
+    bucket = bucket or bucket_of(groups)
     boxes = groups.select(*bucket, "path_id", "x0", "y0", "x1", "y1")
     return _relabel(groups, spatial_pairs(boxes, bucket, "path_id", threshold, exact), "path_id", bucket)
 
 
-def cluster_spatial_union_find(groups: DataFrame, threshold: float = 8.0, bucket: list[str] = BUCKET, exact: bool = True) -> DataFrame:
+def cluster_spatial_union_find(groups: DataFrame, threshold: float = 8.0, bucket: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Single linkage of whole groups by their union boxes: groups merge and never split."""
+    bucket = bucket or bucket_of(groups)
     return _relabel(groups, spatial_pairs(group_boxes(groups, bucket), bucket, "group_id", threshold, exact), "group_id", bucket)
 
 
@@ -84,45 +95,51 @@ def _runs(groups: DataFrame, within: list[str], by: str, max_gap: float) -> Data
     return out.withColumn("group_id", F.min("path_id").over(Window.partitionBy(*within, "__run"))).drop("__run")
 
 
-def cluster_by_seq(groups: DataFrame, max_gap: float = 3, bucket: list[str] = BUCKET) -> DataFrame:
+def cluster_by_seq(groups: DataFrame, max_gap: float = 3, bucket: list[str] | None = None) -> DataFrame:
     """Splits each group where the drawing sequence jumps by more than ``max_gap``."""
+    bucket = bucket or bucket_of(groups)
     return _runs(groups, [*bucket, "group_id"], "seq", max_gap)
 
 
 def group_overlapping(
-    groups: DataFrame, pages: DataFrame, scope: str = "path", tolerance: float | None = None, bucket: list[str] = BUCKET, cap: int | None = PAIRWISE_CAP
+    groups: DataFrame, pages: DataFrame, scope: str = "path", tolerance: float | None = None, bucket: list[str] | None = None, cap: int | None = None
 ) -> DataFrame:
     """Merges boxes that touch or nearly touch, but not one inside another.
 
     ``scope`` is ``path`` (from scratch) or ``cluster`` (whole groups). The tolerance
     defaults to half a percent of the page's shorter side, three at least.
     """
+    bucket = bucket or bucket_of(groups)
     if scope not in ("path", "cluster"):
         raise ValueError(f"unknown scope {scope!r}")
     node = "path_id" if scope == "path" else "group_id"
     boxes = groups.select(*bucket, "path_id", "x0", "y0", "x1", "y1") if scope == "path" else group_boxes(groups, bucket).drop("n")
     if tolerance is None:
-        sizes = pages.select("page_index", G.overlap_tolerance(F.col("width"), F.col("height")).alias("__tol"))
-        boxes = boxes.join(sizes, "page_index").select(*bucket, node, "x0", "y0", "x1", "y1", "__tol")
+        page = page_keys(groups)
+        sizes = pages.select(*page, G.overlap_tolerance(F.col("width"), F.col("height")).alias("__tol"))
+        boxes = boxes.join(sizes, page).select(*bucket, node, "x0", "y0", "x1", "y1", "__tol")
         reach = F.col("__tol")
     else:
         reach = F.lit(float(tolerance))
     return _relabel(groups, _capped(boxes, lambda b: overlap_pairs(b, bucket, node, reach), node, bucket, cap), node, bucket)
 
 
-def cluster_by_dimension(groups: DataFrame, tolerance: float = 0.35, bucket: list[str] = BUCKET, cap: int | None = PAIRWISE_CAP) -> DataFrame:
+def cluster_by_dimension(groups: DataFrame, tolerance: float = 0.35, bucket: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """Merges whole groups of similar width and height, wherever they are."""
+    bucket = bucket or bucket_of(groups)
     boxes = group_boxes(groups, bucket)
     return _relabel(groups, _capped(boxes, lambda b: dimension_links(b, bucket, "group_id", tolerance), "group_id", bucket, cap), "group_id", bucket)
 
 
-def cluster_by_item_path_count(groups: DataFrame, max_gap: float = 2, bucket: list[str] = BUCKET) -> DataFrame:
+def cluster_by_item_path_count(groups: DataFrame, max_gap: float = 2, bucket: list[str] | None = None) -> DataFrame:
     """Runs of drawings by their path count (``drawing_paths``, frozen at the chain's input), from scratch."""
+    bucket = bucket or bucket_of(groups)
     return _runs(groups, bucket, "drawing_paths", max_gap)
 
 
-def cluster_by_item_bbox(groups: DataFrame, tolerance: float = 0.35, bucket: list[str] = BUCKET, cap: int | None = PAIRWISE_CAP) -> DataFrame:
+def cluster_by_item_bbox(groups: DataFrame, tolerance: float = 0.35, bucket: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """Groups paths whose drawings have similar boxes (``drawing_x0``..), from scratch; runs once per drawing."""
+    bucket = bucket or bucket_of(groups)
     drawings = groups.groupBy(*bucket, "seq").agg(
         F.min("path_id").alias("__lead"), F.first("drawing_x0").alias("x0"), F.first("drawing_y0").alias("y0"),
         F.first("drawing_x1").alias("x1"), F.first("drawing_y1").alias("y1"), F.count(F.lit(1)).alias("__n"),
@@ -152,16 +169,18 @@ def _large(b: dict[str, Column], fraction: float) -> Column:
     return (page > 0) & (G.area(b) > F.lit(float(fraction)) * page)
 
 
-def split_paths(groups: DataFrame, drop: Column, bucket: list[str] = BUCKET) -> tuple[DataFrame, DataFrame]:
+def split_paths(groups: DataFrame, drop: Column, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped) by a path predicate: groups keep their survivors, dropped paths stand alone."""
+    bucket = bucket or bucket_of(groups)
     marked = groups.withColumn("__drop", F.coalesce(drop, F.lit(False)))
     kept = marked.where(~F.col("__drop")).drop("__drop")
     kept = kept.withColumn("group_id", F.min("path_id").over(Window.partitionBy(*bucket, "group_id")))
     return kept, marked.where("__drop").drop("__drop").withColumn("group_id", F.col("path_id"))
 
 
-def split_groups(groups: DataFrame, drop, bucket: list[str] = BUCKET) -> tuple[DataFrame, DataFrame]:
+def split_groups(groups: DataFrame, drop, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped) whole groups; ``drop`` is given the columns of the group's union box."""
+    bucket = bucket or bucket_of(groups)
     w = Window.partitionBy(*bucket, "group_id")
     boxed = groups
     for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max)):
@@ -171,26 +190,31 @@ def split_groups(groups: DataFrame, drop, bucket: list[str] = BUCKET) -> tuple[D
     return boxed.where(~F.col("__drop")).drop(*gone), boxed.where("__drop").drop(*gone)
 
 
-def filter_layout_panels(groups: DataFrame, bucket: list[str] = BUCKET) -> tuple[DataFrame, DataFrame]:
+def filter_layout_panels(groups: DataFrame, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    bucket = bucket or bucket_of(groups)
     return split_paths(groups, layout_panel(bucket), bucket)
 
 
 def _with_page(groups: DataFrame, pages: DataFrame) -> DataFrame:
-    return groups.join(pages.select("page_index", "width", "height"), "page_index").select(*groups.columns, "width", "height")
+    page = page_keys(groups)
+    return groups.join(pages.select(*page, "width", "height"), page).select(*groups.columns, "width", "height")
 
 
-def filter_large_bbox(groups: DataFrame, pages: DataFrame, max_area_fraction: float = 0.2, bucket: list[str] = BUCKET) -> tuple[DataFrame, DataFrame]:
+def filter_large_bbox(groups: DataFrame, pages: DataFrame, max_area_fraction: float = 0.2, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Drops paths larger than a fraction of the page; a page without area keeps all."""
+    bucket = bucket or bucket_of(groups)
     kept, dropped = split_paths(_with_page(groups, pages), _large(G.box(), max_area_fraction), bucket)
     return kept.drop("width", "height"), dropped.drop("width", "height")
 
 
-def filter_large_group_bbox(groups: DataFrame, pages: DataFrame, max_area_fraction: float = 0.2, bucket: list[str] = BUCKET) -> tuple[DataFrame, DataFrame]:
+def filter_large_group_bbox(groups: DataFrame, pages: DataFrame, max_area_fraction: float = 0.2, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Drops groups whose union box is larger than a fraction of the page."""
+    bucket = bucket or bucket_of(groups)
     kept, dropped = split_groups(_with_page(groups, pages), lambda b: _large(b, max_area_fraction), bucket)
     return kept.drop("width", "height"), dropped.drop("width", "height")
 
 
-def filter_aspect_ratio(groups: DataFrame, max_aspect_ratio: float = 10.0, bucket: list[str] = BUCKET) -> tuple[DataFrame, DataFrame]:
+def filter_aspect_ratio(groups: DataFrame, max_aspect_ratio: float = 10.0, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Drops groups whose union box is more than so many times longer than wide."""
+    bucket = bucket or bucket_of(groups)
     return split_groups(groups, lambda b: G.aspect_ratio(b["x0"], b["y0"], b["x1"], b["y1"]) > max_aspect_ratio, bucket)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions import geometry as G
+from pagelattice.operators.scan import page_keys
 
 CELL = 64.0
 #: Cells an item may register in before the parity mode keeps its centre cell only.
@@ -137,26 +138,27 @@ def dimension_links(boxes: DataFrame, keys: list[str], node: str, tolerance: flo
     return stars.unionByName(met)
 
 
-def match_spans(words: DataFrame, spans: DataFrame, page: str = "page_index", cell: float = CELL) -> DataFrame:
+def match_spans(words: DataFrame, spans: DataFrame, cell: float = CELL) -> DataFrame:
     """Each word with its best span: the one that covers the largest share of the word.
 
     ``words`` has ``ord`` and a box, ``spans`` ``span_ord``, ``font``, ``size``,
     ``dir_x``, ``dir_y`` and a box. Empty intersections do not count; the first span
     wins ties; a word without a span gets the fallback orientation.
     """
-    w = words.select(page, "ord", "x0", "y0", "x1", "y1")
-    s = spans.select(page, "span_ord", "font", "size", "dir_x", "dir_y", "x0", "y0", "x1", "y1")
-    pairs = near_pairs(w, s, [page], F.lit(0.0), cell)
+    page = page_keys(words)
+    w = words.select(*page, "ord", "x0", "y0", "x1", "y1")
+    s = spans.select(*page, "span_ord", "font", "size", "dir_x", "dir_y", "x0", "y0", "x1", "y1")
+    pairs = near_pairs(w, s, page, F.lit(0.0), cell)
     l, r = G.box("l_"), G.box("r_")
     score = G.intersection_area(l, r) / F.greatest(G.area(l), F.lit(G.EPS))
     # the best span in one map-side combined aggregation: high score first, then low ordinal
     best = (
         pairs.withColumn("score", score)
         .where(F.col("score") > 0)
-        .groupBy(page, F.col("l_ord").alias("ord"))
+        .groupBy(*page, F.col("l_ord").alias("ord"))
         .agg(F.max(F.struct("score", (-F.col("r_span_ord")).alias("k"), "r_font", "r_size", "r_dir_x", "r_dir_y")).alias("m"))
     )
-    out = words.join(best, [page, "ord"], "left")
+    out = words.join(best, [*page, "ord"], "left")
     return out.select(
         *words.columns,
         (-F.col("m.k")).alias("span_ord"),

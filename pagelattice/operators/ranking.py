@@ -25,6 +25,6 @@ def bucketed_rank(df: DataFrame, group: list[str], bucket: str, order: list[Colu
     return local.join(shift, keys).withColumn(out, F.col(out) + F.col("__before")).drop("__before")
 
 
-def bucket_count(rows: int, per_bucket: int = 4096, least: int = 64, most: int = 16384) -> int:
+def bucket_count(rows: int, per_bucket: int = 4096, least: int = 64, most: int = 1 << 20) -> int:
     """How many buckets to rank in; results do not depend on it."""
     return max(least, min(most, rows // per_bucket))

@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from pagelattice.functions import geometry as G
 
@@ -35,60 +37,68 @@ def combine_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def vote_exact(readings: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Winning text per cluster where texts are the same or dissimilar: grouped by normalised text.
-
-    The group of largest total confidence wins (the first met on ties); its text is that
-    of its most confident reading, its confidence the mean. Blank readings do not count;
-    a cluster without others gets the empty text and 0.
-    """
-    seen = readings.withColumn("norm", G.normalize_text(F.col("text"))).withColumn("blank", F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    groups = (
-        seen.where(~F.col("blank"))
-        .groupBy(key, "norm")
-        .agg(
-            F.sum("confidence").alias("total"), F.avg("confidence").alias("mean"), F.min("rotation_index").alias("first"),
-            F.max(F.struct("confidence", (-F.col("rotation_index")).alias("k"), F.trim("text").alias("t"))).alias("best"),
-        )
+def _tally(readings: DataFrame, grouped: DataFrame, key: str, group: str) -> DataFrame:
+    """Winning text per cluster of readings that are grouped already; blank ones are left out by the caller."""
+    sums = grouped.groupBy(key, group).agg(
+        F.sum("confidence").alias("total"), F.avg("confidence").alias("mean"), F.min("rotation_index").alias("first"),
+        F.max(F.struct("confidence", (-F.col("rotation_index")).alias("k"), F.col("text").alias("t"))).alias("best"),
     )
-    won = groups.groupBy(key).agg(F.max(F.struct("total", (-F.col("first")).alias("k"), "mean", F.col("best.t").alias("t"))).alias("m"))
+    won = sums.groupBy(key).agg(F.max(F.struct("total", (-F.col("first")).alias("k"), "mean", F.col("best.t").alias("t"))).alias("m"))
     return (
         readings.select(key).distinct().join(won, key, "left")
         .select(key, F.coalesce("m.t", F.lit("")).alias("text"), F.coalesce("m.mean", F.lit(0.0)).alias("confidence"))
     )
 
 
-def vote(texts: list[tuple[str, float]], similar: float = SIMILAR) -> tuple[str, float]:
-    """The vote with fuzzy grouping: a reading joins the first group whose first text it resembles."""
-    groups: list[dict] = []
-    for text, confidence in texts:
-        norm = " ".join((text or "").split()).casefold()
-        if not norm:
-            continue
-        home = next((g for g in groups if SequenceMatcher(None, g["norm"], norm).ratio() >= similar), None)
-        if home is None:
-            groups.append({"norm": norm, "text": text.strip(), "best": confidence, "all": [confidence]})
-            continue
-        home["all"].append(confidence)
-        if confidence > home["best"]:
-            home["text"], home["best"] = text.strip(), confidence
-    if not groups:
-        return "", 0.0
-    won = max(groups, key=lambda g: sum(g["all"]))
-    return won["text"], sum(won["all"]) / len(won["all"])
+def vote_exact(readings: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """Winning text per cluster where texts are the same or dissimilar: grouped by normalised text.
+
+    The group of largest total confidence wins (the first met on ties); its text is that
+    of its most confident reading as it was read, its confidence the mean. Blank readings
+    do not count; a cluster without others gets the empty text and 0.
+    """
+    seen = readings.withColumn("norm", G.normalize_text(F.col("text"))).where(F.col("text").rlike(r"\S"))
+    return _tally(readings, seen, key, "norm")
+
 
+def leaders(texts: list[str | None], similar: float = SIMILAR) -> list[int]:
+    """For each text the place of the first leader it resembles, itself if none; -1 for blank texts.
 
-def vote_fuzzy(readings: DataFrame, key: str = "cluster_id", similar: float = SIMILAR) -> DataFrame:
-    """``vote`` per cluster: readings are collected in rotation order (a handful each) and voted in Arrow batches."""
-    rows = readings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rotation_index", "text", F.col("confidence").cast("double").alias("c")))).alias("r"))
+    Leaders are the texts that resembled none before them. The measure depends on the
+    order of its arguments, which is the reading, then the leader.
+    """
+    norms = [" ".join((t or "").split()).casefold() for t in texts]
+    matcher, found = SequenceMatcher(None), []
+    for at, norm in enumerate(norms):
+        matcher.set_seq1(norm)
+        place = at if norm else -1
+        for lead in sorted({p for p in found if p >= 0}) if norm else ():
+            matcher.set_seq2(norms[lead])
+            if matcher.ratio() >= similar:
+                place = lead
+                break
+        found.append(place)
+    return found
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [vote([(x["text"], x["c"]) for x in r], similar) for r in pdf["r"]]
-            yield pd.DataFrame({key: pdf[key], "text": [t for t, _ in out], "confidence": [c for _, c in out]})
 
-    kind = readings.schema[key].dataType.simpleString()
-    return rows.mapInPandas(run, f"{key} {kind}, text string, confidence double")
+def vote_fuzzy(readings: DataFrame, key: str = "cluster_id", similar: float = SIMILAR) -> DataFrame:
+    """The vote of ``vote_exact`` with similar texts as one group, led by its first reading.
+
+    Readings of a cluster (a handful) are put in rotation order and get their leader in
+    Arrow batches; totals, means and winners are aggregations.
+    """
+    member = F.struct("rotation_index", "text", "confidence")
+    rows = readings.groupBy(key).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    schema = StructType([*rows.schema.fields, StructField("lead", ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lead = [leaders([m["text"] for m in members], similar) for members in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.list_(pa.int32()))], names=[*batch.schema.names, "lead"])
+
+    led = rows.mapInArrow(run, schema)
+    each = led.select(key, F.posexplode("members").alias("at", "m"), "lead").select(key, "m.*", F.element_at("lead", F.col("at") + 1).alias("lead"))
+    return _tally(readings, each.where("lead >= 0"), key, "lead")
 
 
 def best_rotation(readings: DataFrame, key: str = "cluster_id", n: int = ROTATIONS) -> DataFrame:

@@ -38,8 +38,9 @@ STEPS: dict[str, tuple[str, ...]] = {
 _LOG = ["step_index", "step", "path_id", "group_id", "status"]
 
 
-def apply_step(name: str, groups: DataFrame, pages: DataFrame, params: Mapping | None = None, bucket: list[str] = C.BUCKET) -> tuple[DataFrame, DataFrame]:
+def apply_step(name: str, groups: DataFrame, pages: DataFrame, params: Mapping | None = None, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped) of one step. Unknown steps raise ``ValueError``."""
+    bucket = bucket or C.bucket_of(groups)
     if name not in STEPS:
         raise ValueError(f"unknown step {name!r}")
     given = {k: v for k, v in (params or {}).items() if k in STEPS[name]}
@@ -70,9 +71,10 @@ def apply_step(name: str, groups: DataFrame, pages: DataFrame, params: Mapping |
 
 
 def run_chain(
-    paths: DataFrame, pages: DataFrame, order: Sequence[str] | None = None, params: Mapping[str, Mapping] | None = None, bucket: list[str] = C.BUCKET
+    paths: DataFrame, pages: DataFrame, order: Sequence[str] | None = None, params: Mapping[str, Mapping] | None = None, bucket: list[str] | None = None
 ) -> list[tuple[str, DataFrame, DataFrame]]:
     """``(step, kept, dropped)`` after each step; ``dropped`` is what that step dropped."""
+    bucket = bucket or C.bucket_of(paths)
     groups = C.singletons(with_drawing_stats(paths, bucket))
     out = []
     for name in order or DEFAULT_ORDER:
@@ -84,8 +86,9 @@ def run_chain(
     return out
 
 
-def step_log(steps: list[tuple[str, DataFrame, DataFrame]], bucket: list[str] = C.BUCKET) -> DataFrame:
+def step_log(steps: list[tuple[str, DataFrame, DataFrame]], bucket: list[str] | None = None) -> DataFrame:
     """The chain as one long relation ``bucket, step_index, step, path_id, group_id, status``."""
+    bucket = bucket or C.bucket_of(classify(steps))
     parts = []
     for i, (name, kept, dropped) in enumerate(steps):
         for status, rows in (("kept", kept), ("dropped", dropped)):

@@ -50,17 +50,16 @@ def _native(c: Context):
 
 
 def _vectors(c: Context):
-    paths = scan.extract_paths(c.drawings)
-    return paths.withColumn("path_id", F.col("seq") * 1000 + F.col("item_index")).withColumn("layer_key", F.coalesce("layer", F.lit("")))
+    return scan.number_paths(scan.extract_paths(c.drawings)).withColumn("layer_key", F.coalesce("layer", F.lit("")))
 
 
 def _layers(c: Context):
-    return c.made["vector_extract"].groupBy("page_index", "layer_key").agg(F.count(F.lit(1)).alias("n"))
+    paths = c.made["vector_extract"]
+    return paths.groupBy(*scan.page_keys(paths), "layer_key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _colors(c: Context):
-    key = F.coalesce(F.array_join(F.transform("stroke_color", lambda v: v.cast("string")), ","), F.lit("-"))
-    return c.made["vector_extract"].withColumn("color_key", key)
+    return scan.color_key(c.made["vector_extract"])
 
 
 def _clustering(c: Context):
@@ -72,7 +71,8 @@ def _drawing_vectors(c: Context):
 
 
 def _ocr(c: Context):
-    clusters = aggregates.text_clusters(chain.classify(c.made["clustering"]), clustering.BUCKET)
+    groups = chain.classify(c.made["clustering"])
+    clusters = aggregates.text_clusters(groups, clustering.bucket_of(groups))
     if c.read is None:
         return clusters.withColumn("text", F.lit("")).withColumn("confidence", F.lit(0.0))
     return voting.vote_fuzzy(c.read(clusters))
@@ -111,15 +111,17 @@ def run_stages(context: Context, final_stage: str | None = None, materialize: bo
 
 
 class Memo:
-    """Runs kept by page selection, step order and parameters; results are persisted until dropped."""
+    """The latest runs by page selection, step order and parameters, persisted until pushed out or dropped."""
 
-    def __init__(self, run: Callable[..., DataFrame]) -> None:
-        self._run, self._kept = run, {}
+    def __init__(self, run: Callable[..., DataFrame], most: int = 8) -> None:
+        self._run, self._most, self._kept = run, most, {}
 
     def get(self, pages, order: Sequence[str], params: Mapping[str, Mapping] | None = None) -> DataFrame:
         key = (tuple(pages), tuple(order), tuple(sorted((s, tuple(sorted(p.items()))) for s, p in (params or {}).items())))
-        if key not in self._kept:
-            self._kept[key] = self._run(pages, order, params).persist()
+        found = self._kept.pop(key, None)
+        self._kept[key] = self._run(pages, order, params).persist() if found is None else found
+        while len(self._kept) > self._most:
+            self._kept.pop(next(iter(self._kept))).unpersist()
         return self._kept[key]
 
     def clear(self) -> None:

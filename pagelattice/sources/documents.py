@@ -114,6 +114,11 @@ def page_words(pages: DataFrame) -> DataFrame:
     return pages.select("doc_path", "page_index", F.inline("words"))
 
 
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """Text and image blocks of read pages, as ``scan.flatten_spans`` takes them."""
+    return pages.select("doc_path", "page_index", F.posexplode("blocks").alias("block_ord", "b")).select("doc_path", "page_index", "block_ord", "b.type", "b.lines")
+
+
 def page_drawings(pages: DataFrame) -> DataFrame:
     """Drawings of read pages, as ``scan.extract_paths`` takes them."""
     return pages.select("doc_path", "page_index", F.inline("drawings"))

@@ -205,6 +205,26 @@ FROM events
 """
 
 
+def misread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings whose last letter is often a digit: at 0.75 those of one type are similar, those of two are not."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id div 8 as cluster_id",
+        "cast(event_id % 8 as int) as rotation_index",
+        "case event_id % 3 when 0 then event_type when 1 then concat(left(event_type, length(event_type) - 1), cast(event_id % 8 as string), ' ') "
+        "else concat(' ', upper(left(event_type, length(event_type) - 1)), '#') end as text",
+        "cast(bround(value * 100) as long) as confidence",
+    )
+
+
+MISREAD_SQL = """
+SELECT event_id // 8 AS cluster_id, CAST(event_id % 8 AS INTEGER) AS rotation_index, event_type AS kind,
+  CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN left(event_type, length(event_type) - 1) || (event_id % 8) || ' '
+    ELSE ' ' || upper(left(event_type, length(event_type) - 1)) || '#' END AS text,
+  CAST(round_even(value * 100, 0) AS BIGINT) AS confidence
+FROM events
+"""
+
+
 def image_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image placements, from part; some lack pixels or extent."""
     return table(spark, sf_dir, "part").selectExpr(

@@ -28,10 +28,11 @@ def stage_logger(stage: str) -> logging.Logger:
 
 
 def rasterize_pages(documents: DataFrame, dpi: int = 150, renderer: Callable[[bytes, int], list[bytes]] | None = None) -> DataFrame:
-    """``path, page_index, image``: every page of ``path, content`` rows as one picture.
+    """``path, page_index, image, error``: every page of ``path, content`` rows as one picture.
 
     ``renderer`` turns a document's bytes and a resolution into its pages' pictures; the
-    default needs the optional ``pymupdf`` library.
+    default needs the optional ``pymupdf`` library. A file that cannot be drawn gives one
+    row with its ``error`` and no picture.
     """
     if dpi <= 0:
         raise ValueError("the resolution must be positive")
@@ -47,10 +48,21 @@ def rasterize_pages(documents: DataFrame, dpi: int = 150, renderer: Callable[[by
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                images = draw(bytes(content), dpi)
-                yield pd.DataFrame({"path": [path] * len(images), "page_index": range(len(images)), "image": images})
+                try:
+                    images = draw(bytes(content), dpi)
+                except ImportError:
+                    raise
+                except Exception as e:  # a broken file is reported in its own row
+                    yield pd.DataFrame({"path": [path], "page_index": [None], "image": [None], "error": [f"{type(e).__name__}: {e}"[:500]]})
+                    continue
+                yield pd.DataFrame({"path": [path] * len(images), "page_index": range(len(images)), "image": images, "error": None})
 
-    return documents.select("path", "content").mapInPandas(run, "path string, page_index long, image binary")
+    return documents.select("path", "content").mapInPandas(run, "path string, page_index long, image binary, error string")
+
+
+def rasterize_zoomed(documents: DataFrame, zoom: float = 1.0, renderer: Callable[[bytes, int], list[bytes]] | None = None) -> DataFrame:
+    """``rasterize_pages`` at a zoom of the page's own size (72 points an inch), kept in 0.25..6 like ``geometry.zoom_step``."""
+    return rasterize_pages(documents, round(72 * min(6.0, max(0.25, zoom))), renderer)
 
 
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

@@ -1,9 +1,10 @@
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagelattice.operators import aggregates, clustering, joins
+from pagelattice.operators import aggregates, clustering, components, joins
 from pagelattice.operators.components import connected_components
 from pagelattice.plans import chain
 
@@ -45,6 +46,31 @@ def test_components(spark):
     assert connected_components(edges.limit(0), "a", "b").collect() == []
 
 
+@pytest.mark.parametrize("run", [1, 7, 64])
+@pytest.mark.parametrize("within", [None, "w"])
+def test_components_of_runs_of_any_size(spark, monkeypatch, run, within):
+    """Contraction by small runs and star rounds together give the components of all edges."""
+    monkeypatch.setattr(components, "RUN", run)
+    rng = random.Random(run)
+    edges = [(w, 100 * w + rng.randrange(60), 100 * w + rng.randrange(60)) for w in range(3) for _ in range(40)] + [(3, 300 + i, 301 + i) for i in range(30)]
+    lead = {}
+    for _, a, b in edges:
+        if a != b:
+            lead.setdefault(a, a), lead.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for _, a, b in edges:
+            if a != b and lead[a] != lead[b]:
+                lead[a] = lead[b] = min(lead[a], lead[b])
+                changed = True
+    df = spark.createDataFrame(edges, "w long, a long, b long").repartition(3)
+    node = lambda c: F.struct(F.when(F.col("w") > 0, F.col("w")).alias("w"), F.col(c).alias("n"))
+    got = components.connected_components(df.select("w", node("a").alias("a"), node("b").alias("b")), "a", "b", within=within)
+    assert {r.node.n: r.component.n for r in got.collect()} == lead
+    assert all((r.node.w is None) == (r.node.n < 100) for r in got.collect())
+
+
 def test_spatial(spark):
     df = start(make(spark, [(0, 0, 1, 1), (1.5, 0, 2.5, 1), (50, 50, 51, 51)]))
     assert groups(clustering.cluster_spatial(df, 1.0)) == [[0, 1], [2]]

@@ -1,11 +1,13 @@
+import difflib
 import logging
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from pagelattice import catalog
-from pagelattice.operators import access, drawlist, facets, joins, scan, voting
+from pagelattice.operators import access, aggregates, drawlist, facets, joins, scan, voting
 from pagelattice.plans import stages
 from pagelattice.sources import documents, fixtures, sinks
 
@@ -22,8 +24,10 @@ def test_pages(spark, sf):
     assert scan.prune_pages(pages, 3).select("page_number").first()[0] == 4
     assert scan.lookup_pages(pages, [1, 2]).count() == 2
     assert scan.lookup_pages(pages).count() == pages.count()
-    with pytest.raises(IndexError):
-        scan.lookup_pages(pages, [0, 10_000_000])
+    found = scan.lookup_pages(pages, [0, 10_000_000])
+    assert found.columns == pages.columns
+    with pytest.raises(Exception, match="page out of range: 10000000"):
+        found.collect()
 
 
 def _span(spark, rows):
@@ -105,24 +109,50 @@ def test_grid_quirks(spark):
     assert access.viewport_query_parity(items, ["page_index"], (600, 600, 900, 900)).count() == 8  # too many cells: everything
 
 
-@pytest.mark.parametrize(
-    ("readings", "want"),
-    [
-        ([("AB12", 0.6), ("AB12", 0.55), ("Ab1Z", 0.5), ("XYZQ", 0.99)], ("AB12", 0.55)), ([("", 0.9), ("", 0.8), ("hi", 0.1)], ("hi", 0.1)),
-        ([], ("", 0.0)), ([("  ", 0.5)], ("", 0.0)), ([("a b", 0.5), ("A  B", 0.5), ("zzz", 1.0)], ("a b", 0.5)),
-    ],
-)
-def test_vote(readings, want):
-    text, confidence = voting.vote(readings)
-    assert text == want[0] and confidence == pytest.approx(want[1])
+def _vote_by_definition(texts):
+    """Groups led by their first text, the best total, the loudest member's text."""
+    led, said = {}, []
+    for text, sure in texts:
+        plain = " ".join(text.split()).casefold()
+        if plain:
+            lead = next((x for x in led if difflib.SequenceMatcher(None, plain, x).ratio() >= 0.75), plain)
+            led.setdefault(lead, len(said))
+            said.append((lead, text, sure))
+    if not said:
+        return "", 0.0
+    total = {x: sum(c for y, _, c in said if y == x) for x in led}
+    best = max(led, key=lambda x: (total[x], -led[x]))
+    mine = [(t, c) for y, t, c in said if y == best]
+    return max(mine, key=lambda m: m[1])[0], sum(c for _, c in mine) / len(mine)
+
+
+def test_leaders():
+    assert voting.leaders(["AB12", "ab  12", "Ab1Z", "XYZQ", " ", None, "xyzq "]) == [0, 0, 0, 3, -1, -1, 3]
+    assert difflib.SequenceMatcher(None, "bdcabab", "bdcbaab").ratio() != difflib.SequenceMatcher(None, "bdcbaab", "bdcabab").ratio()
+    for lead, reading in (("bdcbaab", "bdcabab"), ("bdcabab", "bdcbaab")):
+        near = difflib.SequenceMatcher(None, reading, lead).ratio() >= 0.75
+        assert voting.leaders([lead, reading]) == [0, 0 if near else 1]
+
+
+def test_fuzzy_votes(spark):
+    rng = random.Random(4)
+    clusters = [["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(1, 8))] for _ in range(400)]
+    texts = [[(t, rng.randint(0, 99)) for t in c] for c in clusters]
+    rows = [(k, i, t, c) for k, x in enumerate(texts) for i, (t, c) in enumerate(x)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "cluster_id long, rotation_index int, text string, confidence long")
+    got = {r.cluster_id: (r.text, r.confidence) for r in voting.vote_fuzzy(df).collect()}
+    for k, x in enumerate(texts):
+        text, sure = _vote_by_definition(x)
+        assert got[k] == (text, pytest.approx(sure)), x
 
 
 def test_votes_on_tables(spark):
-    rows = [(1, i, t, c) for i, (t, c) in enumerate([("AB12", 0.6), (" ab12 ", 0.55), ("XYZQ", 0.99)])] + [(2, 0, " ", 0.9)]
+    rows = [(1, i, t, c) for i, (t, c) in enumerate([("AB12 ", 0.6), (" ab12 ", 0.55), ("XYZQ", 0.99)])] + [(2, 0, " ", 0.9)]
     df = spark.createDataFrame(rows, "cluster_id long, rotation_index int, text string, confidence double")
     for f in (voting.vote_exact, voting.vote_fuzzy):
         got = {r.cluster_id: (r.text, round(r.confidence, 3)) for r in f(df).collect()}
-        assert got == {1: ("AB12", 0.575), 2: ("", 0.0)}
+        assert got == {1: ("AB12 ", 0.575), 2: ("", 0.0)}
     assert {r.cluster_id: r.rotation_used for r in voting.best_rotation(df).collect()} == {1: 90, 2: 0}
 
 
@@ -203,10 +233,54 @@ def test_documents_and_pictures(spark, tmp_path):
     assert [(r.page_index, bytes(r.image)) for r in out] == [(0, b"one"), (1, b"2")]
     with pytest.raises(ValueError):
         sinks.rasterize_pages(docs, 0)
+    zoomed = sinks.rasterize_zoomed(docs, 100.0, renderer=lambda content, dpi: [str(dpi).encode()]).first()
+    assert bytes(zoomed.image) == b"432" and zoomed.error is None
+
+    def broken(content, dpi):
+        raise RuntimeError("no page tree")
+
+    row = sinks.rasterize_pages(docs, 72, renderer=broken).first()
+    assert row.image is None and "no page tree" in row.error
     pytest.importorskip("pymupdf")
     assert documents.read_pages(docs).first().error
 
 
+def _page_row(path, number, offset):
+    """A row of ``PAGE_SCHEMA``: words, a block of two spans, and a drawing of more than a thousand items."""
+    points = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    items = [{"op": "l", "points": points((offset + i % 40 * 4, 10 + i // 40 * 3), (offset + i % 40 * 4 + 2, 10 + i // 40 * 3))} for i in range(1100)]
+    style = {"layer": None, "stroke_color": None, "stroke_opacity": None, "fill_opacity": 0.5, "stroke_width": None, "dashes": None, "closed": True, "fill_rule": "f"}
+    drawings = [{"seq": 0, "fill_color": [0.1234, 0.0, 0.0], "items": items, **style}, {"seq": 1, "fill_color": [0.0, 0.0, 1.0], "items": items[:3], **style}]
+    words = [{"ord": i, "text": f"{path[-5]}{i}", "x0": 10.0 * (3 - i), "y0": 5.0, "x1": 10.0 * (3 - i) + 8, "y1": 15.0} for i in range(3)]
+    span = {"font": "F", "size": 9.0, "flags": 0, "dir": {"x": 1.0, "y": 0.0}, "x0": 0.0, "y0": 0.0, "x1": 40.0, "y1": 20.0}
+    blocks = [{"type": 0, "lines": [[{"text": " ", **span}, {"text": path, **span}]]}]
+    return {
+        "doc_path": path, "page_index": number, "page_number": number + 1, "x0": 0.0, "y0": 0.0, "x1": 200.0, "y1": 200.0, "raw_rotation": 0, "width": 200.0, "height": 200.0,
+        "words": words, "blocks": blocks, "drawings": drawings, "error": None,
+    }
+
+
+def test_two_documents_with_equal_pages(spark):
+    pages = spark.createDataFrame([_page_row("/in/a.pdf", 0, 0), _page_row("/in/b.pdf", 0, 100)], documents.PAGE_SCHEMA)
+    context = stages.Context(pages=pages, words=documents.page_words(pages), drawings=documents.page_drawings(pages), order=["cluster_spatial"])
+    out = {s.key: s for s in stages.run_stages(context, materialize=True)}
+    assert {s.status for s in out.values()} == {"ok"}
+    words = {(r.doc_path, r.seq): r.text for r in out["native"].data.collect()}
+    assert words == {(f"/in/{d}.pdf", k): f"{d}{2 - k}" for d in "ab" for k in range(3)}
+    spans = scan.flatten_spans(documents.page_blocks(pages))
+    assert {(r.doc_path, r.span_ord, r.text) for r in spans.collect()} == {("/in/a.pdf", 1, "/in/a.pdf"), ("/in/b.pdf", 1, "/in/b.pdf")}
+    matched = joins.match_spans(documents.page_words(pages), spans).collect()
+    assert len(matched) == 6 and all(r.span_ord == 1 and r.font == "F" for r in matched)
+    paths = out["color_separation"].data
+    assert paths.select("doc_path", "path_id").distinct().count() == paths.count() == 2206
+    assert {r.color_key for r in paths.select("color_key").distinct().collect()} == {"-/0.123,0.0,0.0/-/0.5", "-/0.0,0.0,1.0/-/0.5"}
+    groups = out["clustering"].data[-1][1].groupBy("doc_path", "color_key").agg(F.count_distinct("group_id").alias("n")).collect()
+    assert len(groups) == 4 and all(r.n == 1 for r in groups)
+    assert {(r.doc_path, r.layer_key, r.n) for r in out["layer_separation"].data.collect()} == {("/in/a.pdf", "", 1103), ("/in/b.pdf", "", 1103)}
+    assert drawlist.draw_styles(paths).where("drawable and closed").count() == 2206
+    assert aggregates.build_drawings(paths).count() == 4
+
+
 def test_streams(spark, sf, tmp_path):
     from pagelattice.streaming import pages as S
 
@@ -228,7 +302,7 @@ def test_entry_points(spark):
     assert __spark_entry__.entry(spark).columns
 
 
-@pytest.mark.parametrize("name", ["path_extract", "word_span_match", "cluster_by_seq", "filter_aspect_ratio", "ocr_vote", "viewport_delta"])
+@pytest.mark.parametrize("name", ["path_extract", "word_span_match", "ocr_vote_fuzzy", "two_documents", "cluster_by_seq", "filter_aspect_ratio", "ocr_vote", "viewport_delta"])
 def test_against_sql(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
