@@ -12,8 +12,9 @@ rows. When a source runs out, the weights of the remaining ones are rescaled (a
 phase): progress is counted in a virtual time v in which every source of weight w has
 been due w * v blocks, and slot sum(min(w * v, blocks)) belongs to v. Windows follow from
 it by whole-number arithmetic; as the fluid schedule fills every slot and keeps every
-window, earliest deadline first keeps them too, over all phases. The control plane lays
-out one entry per block, not per row, and the rows find theirs by a join.
+window, earliest deadline first keeps them too, over all phases. The driver lays out one
+entry per block, not per row, and the rows find theirs by a join. It lays out ``MAX_BLOCKS``
+at most, whatever the size of the corpus: blocks of larger corpora hold more rows.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from fractions import Fraction
 from itertools import accumulate
 from math import lcm
 
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,77 +34,13 @@ from pagelattice.operators.ranking import bucket_count, bucketed_rank
 from pagelattice.runtime import materialize
 
 BLOCK_ROWS = 32
-RESOLUTION = 1000
-MAX_SOURCES = 256
+#: Bound of the driver's schedule, but for one block more of each source; beyond it blocks hold more rows.
+MAX_BLOCKS = 1 << 19
 SEED = "mix-1"
 #: Without given weights a source weighs its row count to this power.
 TEMPERATURE = 0.5
 
 
-def whole_shares(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Shares that sum to ``resolution``, at least one each, by largest remainders."""
-    if any(w <= 0 for w in weights.values()):
-        raise ValueError("weights must be positive")
-    resolution = max(resolution, len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * (resolution - len(weights)) for s, w in weights.items()}
-    shares = {s: 1 + int(x) for s, x in exact.items()}
-    spare = resolution - sum(shares.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:spare]:
-        shares[s] += 1
-    return shares
-
-
-def pfair_period(shares: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
-    period = sum(shares.values())
-    release = [(0, s, 0) for s in sorted(shares)]
-    ready: list[tuple[int, str, int]] = []
-    slots = []
-    heapq.heapify(release)
-    for t in range(period):
-        while release and release[0][0] <= t:
-            _, s, k = heapq.heappop(release)
-            heapq.heappush(ready, (-(-(k + 1) * period // shares[s]), s, k))
-        _, s, k = heapq.heappop(ready)
-        slots.append(s)
-        if k + 1 < shares[s]:
-            heapq.heappush(release, ((k + 1) * period // shares[s], s, k + 1))
-    return slots
-
-
-def schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int = RESOLUTION) -> tuple[list, list]:
-    """Phases and period tables for the given numbers of blocks, by whole-number shares.
-
-    The rounded shares drift from the weights as the blocks grow; ``mix`` uses ``timetable``.
-
-    Returns rows ``(source, phase, first, last, share, period, slot0)`` - the blocks
-    first..last-1 of the source fall into the phase - and ``(source, phase, residue,
-    offset)`` - where in the period the source's residue-th block of the phase runs.
-    """
-    left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    phases, slots_of, slot0, phase = [], [], 0, 0
-    while left:
-        shares = whole_shares({s: weights[s] for s in left}, resolution)
-        order = pfair_period(shares)
-        at: dict[str, list[int]] = {s: [] for s in left}
-        for t, s in enumerate(order):
-            at[s].append(t)
-        ends = {s: (n - 1) // shares[s] * len(order) + at[s][(n - 1) % shares[s]] + 1 for s, n in left.items()}
-        length = min(ends.values())
-        whole, rest = divmod(length, len(order))
-        taken = {s: whole * shares[s] + sum(t < rest for t in at[s]) for s in left}
-        for s in left:
-            if taken[s]:
-                phases.append((s, phase, done[s], done[s] + taken[s], shares[s], len(order), slot0))
-                slots_of += [(s, phase, k, t) for k, t in enumerate(at[s][: taken[s]])]
-            done[s] += taken[s]
-        left = {s: n - taken[s] for s, n in left.items() if n > taken[s]}
-        slot0, phase = slot0 + length, phase + 1
-    return phases, slots_of
-
-
 def exact_weights(weights: dict[str, float]) -> dict[str, int]:
     """Whole numbers in exactly the proportions of ``weights``."""
     if any(w <= 0 for w in weights.values()):
@@ -150,20 +85,19 @@ def timetable(blocks: dict[str, int], weights: dict[str, float]) -> tuple[list[s
     return names, out
 
 
-def _slots(counts: dict[str, int], weights: dict[str, float], block_rows: int) -> pa.Table:
-    """The timetable as a table, with the position of each block's first row."""
+def _slots(counts: dict[str, int], weights: dict[str, float], block_rows: int) -> list[tuple]:
+    """A row for each source: its name and, by block, slot, release, deadline, phase and the position of the first row."""
     names, at = timetable({s: -(-n // block_rows) for s, n in counts.items()}, weights)
-    source, block, release, deadline, phase = (np.frombuffer(c, np.int64) if c else np.empty(0, np.int64) for c in at.values())
-    rows = np.minimum(np.array([counts[s] for s in names], np.int64)[source] - block * block_rows, block_rows)
-    columns = {
-        "__block": block,
-        "__slot": np.arange(len(rows)),
-        "__release": release,
-        "__deadline": deadline,
-        "__phase": phase.astype(np.int32),
-        "__start": np.cumsum(rows) - rows,
-    }
-    return pa.table({"__source": pa.array(names, pa.string()).take(pa.array(source)), **columns})
+    left, out, start = [counts[s] for s in names], [([], [], [], [], []) for _ in names], 0
+    for slot, (i, release, deadline, phase) in enumerate(zip(at["source"], at["release"], at["deadline"], at["phase"])):
+        for column, x in zip(out[i], (slot, release, deadline, phase, start)):
+            column.append(x)
+        rows = min(left[i], block_rows)
+        left[i], start = left[i] - rows, start + rows
+    return [(s, *columns) for s, columns in zip(names, out)]
+
+
+_COLUMNS = ("slot", "release", "deadline", "phase", "start")
 
 
 def mix(
@@ -176,15 +110,15 @@ def mix(
     source_col: str = "source",
     keep_columns: bool = False,
     position: str = "__position",
-    max_sources: int | None = MAX_SOURCES,
+    max_blocks: int = MAX_BLOCKS,
 ) -> DataFrame:
     """Give every row its place in a sequence that follows the target weights.
 
     ``weights`` maps sources to positive numbers; sources it lacks share the stratum
     of the key ``""`` (weight 1 unless given). Without ``weights`` every source counts
-    rows ** ``TEMPERATURE``. A null source is in the stratum of the empty one. More
-    than ``max_sources`` strata raise ``ValueError``; None, as in the registered query
-    and the pipeline, mixes any number of sources, each to its own weight.
+    rows ** ``TEMPERATURE``. A null source is in the stratum of the empty one. Any number
+    of sources is mixed, each to its own weight. Blocks hold ``block_rows`` rows, or as
+    many as make ``max_blocks`` blocks of all rows where that is more.
 
     Returns ``doc_id, source, block, slot, release, deadline, phase, position``
     (release and deadline in slots; position gapless from 0), or with
@@ -205,19 +139,19 @@ def mix(
     )
     if not keep_columns:
         rows = materialize(rows, "mix")
-    found = rows.groupBy("__source").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["__source"]: r["n"] for r in (found if max_sources is None else found.limit(max_sources + 1)).collect()}
-    if max_sources is not None and len(counts) > max_sources:
-        raise ValueError(f"more than {max_sources} sources: pass max_sources=None to mix them all")
+    counts = {r["__source"]: r["n"] for r in rows.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).collect()}
     weigh = {s: (weights.get(s, 1.0) if weights else n**TEMPERATURE) for s, n in counts.items()}
     total = sum(counts.values())
+    block_rows = max(block_rows, -(-total // max_blocks))
     buckets = bucket_count(total)
     rows = rows.withColumn("__b", F.shiftright(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * F.lit(buckets), 32).cast("int"))
     ranked = bucketed_rank(rows, ["__source"], "__b", ["__h", "__id"], "__rank").withColumn(
         "__block", F.expr(f"__rank div {block_rows}L")
     )
-    # one row a block: Spark chooses the join, as the table grows with the documents
-    plan = spark.createDataFrame(_slots(counts, weigh, block_rows))
+    # max_blocks and a block more for each source at most; Spark chooses the join
+    kinds = ", ".join(f"__{c} array<{kind}>" for c, kind in zip(_COLUMNS, ("long", "long", "long", "int", "long")))
+    plan = spark.createDataFrame(_slots(counts, weigh, block_rows), f"__source string, {kinds}")
+    plan = plan.select("__source", F.posexplode(F.arrays_zip(*[f"__{c}" for c in _COLUMNS])).alias("__block", "__at")).select("__source", "__block", "__at.*")
     timed = ranked.join(plan, ["__source", "__block"]).withColumn("__position", F.col("__start") + F.expr(f"__rank % {block_rows}L"))
     if keep_columns:
         return timed.select("__row.*", F.col("__position").alias(position))
@@ -239,7 +173,7 @@ def in_mixed_order(docs: DataFrame, **params) -> DataFrame:
     at = "__position"
     while at.lower() in (c.lower() for c in docs.columns):
         at += "_"
-    placed = mix(docs, keep_columns=True, position=at, **{"max_sources": None, **params})
+    placed = mix(docs, keep_columns=True, position=at, **params)
     return laid_out(placed, at, docs.count()).drop(at)
 
 
@@ -269,4 +203,4 @@ def read_in_order(docs: DataFrame, position: str = "position") -> DataFrame:
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_sources=None)
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,4 +1,6 @@
+import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -6,36 +8,10 @@ from pagelattice.llm import mixing
 from pagelattice.runtime import materialize
 
 
-@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 500, "b": 333, "c": 100, "d": 66, "e": 1}, {chr(97 + i): i + 1 for i in range(20)}])
-def test_period_is_pfair(shares):
-    slots = mixing.pfair_period(shares)
-    total, seen = sum(shares.values()), Counter()
-    assert Counter(slots) == shares
-    for t, s in enumerate(slots, 1):
-        seen[s] += 1
-        assert all(abs(seen[x] * total - t * shares[x]) < total for x in shares)  # less than one block off
-
-
-def test_schedule_places_every_block_once():
-    blocks, weights = {"a": 40, "b": 5, "c": 17}, {"a": 0.2, "b": 0.5, "c": 0.3}
-    phases, places = mixing.schedule(blocks, weights, 10)
-    at = {(s, p, k): t for s, p, k, t in places}
-    slots = sorted(
-        (slot0 + (i - first) // share * period + at[s, p, (i - first) % share], s)
-        for s, p, first, last, share, period, slot0 in phases
-        for i in range(first, last)
-    )
-    assert [t for t, _ in slots] == list(range(62))
-    assert Counter(s for _, s in slots) == blocks
-    first = [s for _, s in slots[:10]]  # before b runs out the weights hold
-    assert Counter(first) == {"a": 2, "b": 5, "c": 3}
-
-
-def test_shares():
-    assert sum(mixing.whole_shares({"a": 1, "b": 1, "c": 1}, 1000).values()) == 1000
-    assert mixing.whole_shares({"a": 1e-9, "b": 1}, 10) == {"a": 1, "b": 9}
+def test_exact_weights():
+    assert mixing.exact_weights({"a": 0.5, "b": 0.25}) == {"a": 2, "b": 1}
     with pytest.raises(ValueError):
-        mixing.whole_shares({"a": 0})
+        mixing.exact_weights({"a": 0})
 
 
 def _check(rows, n):
@@ -79,10 +55,23 @@ def test_odd_rows_and_layout(spark, odd_docs, no_docs):
     assert mixing.in_mixed_order(no_docs).collect() == []
 
 
-def test_too_many_sources(spark):
-    docs = spark.range(400).selectExpr("id as doc_id", "'x' as text", "cast(id as string) as source")
-    with pytest.raises(ValueError):
-        mixing.mix(docs)
+def test_blocks_grow_beyond_their_bound(spark):
+    docs = spark.range(5000).selectExpr("id as doc_id", "cast(id as string) as text", "if(id < 4000, 'hot', 'cold') as source")
+    rows = mixing.mix(docs, {"hot": 3, "cold": 1}, block_rows=1, max_blocks=100).collect()
+    _check(rows, 5000)
+    assert max(r.slot for r in rows) == 99 and max(Counter(r.slot for r in rows).values()) == 50
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 1 / 3, "b": 2 / 3}, {"a": 0.9999, "b": 1e-4}, {f"s{i}": random.Random(i).random() for i in range(20)}])
+def test_deviation_at_every_slot(weights):
+    total, n = sum(Fraction(w) for w in weights.values()), 100_000
+    names, at = mixing.timetable({s: int(Fraction(w) / total * n) + 2 for s, w in weights.items()}, weights)
+    share, seen = [Fraction(weights[s]) / total for s in names], [0] * len(names)
+    off = [0.0] * len(names)
+    for t, i in enumerate(at["source"][: n - 50], 1):
+        seen[i] += 1
+        off = [max(o, abs(x - t * float(w))) for o, x, w in zip(off, seen, share)]
+    assert max(off) < 1 + 1e-6
 
 
 @pytest.mark.parametrize("hot", [1 / 3, 0.5])
@@ -114,17 +103,17 @@ def test_timetable_keeps_tiny_weights_over_many_blocks():
 
 
 def test_queries_mix_any_number_of_sources(spark, tmp_path):
-    """700 sources, unweighted and each to a weight of its own."""
-    docs = spark.range(2800).selectExpr("id as doc_id", "cast(id as string) as text", "'en' as lang", "concat('s', id % 700) as source", "1L as n_chars")
+    """5,000 sources, unweighted and each to a weight of its own."""
+    docs = spark.range(20000).selectExpr("id as doc_id", "cast(id as string) as text", "'en' as lang", "concat('s', id % 5000) as source", "1L as n_chars")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = mixing.op7_mixing(spark, str(tmp_path)).collect()
-    _check(rows, 2800)
-    assert len({r.source for r in rows}) == 700
-    assert mixing.in_mixed_order(docs).count() == 2800
-    weights = {f"s{i}": 1 + i % 3 for i in range(700)}
-    listed = sorted(mixing.mix(docs, weights, block_rows=1, max_sources=None).collect(), key=lambda r: r.position)
-    _check(listed, 2800)
-    first = Counter(weights[r.source] for r in listed[:1399])  # a slot before every weight has its whole share
+    _check(rows, 20000)
+    assert len({r.source for r in rows}) == 5000
+    assert mixing.in_mixed_order(docs).count() == 20000
+    weights = {f"s{i}": 1 + i % 3 for i in range(5000)}
+    listed = sorted(mixing.mix(docs, weights, block_rows=1).collect(), key=lambda r: r.position)
+    _check(listed, 20000)
+    first = Counter(weights[r.source] for r in listed[:9999])  # a slot before every weight has its whole share
     assert {w: round(n / len([x for x in weights.values() if x == w])) for w, n in first.items()} == {1: 1, 2: 2, 3: 3}
 
 

@@ -86,7 +86,7 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_run_is_in_the_mixed_order(spark, sf, stages):
     """Rows and positions of the result follow the schedule of the redacted documents."""
     before = spark.createDataFrame(stages[0][3], "doc_id long, text string, lang string, source string, n_chars long")
-    placed = mixing.mix(before, max_sources=None).collect()
+    placed = mixing.mix(before).collect()
     want = [r.doc_id for r in sorted(placed, key=lambda r: r.position)]
     rows = corpus_pipeline.run(spark, sf).collect()
     assert [r.position for r in rows] == list(range(len(want)))
