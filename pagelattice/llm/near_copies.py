@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm import simhash
@@ -45,8 +45,10 @@ SALTS = 32
 #: before that, for so many turns at most and while a share of them links, members are
 #: compared to more pivots, of so many orders.
 PAIRS_A_TOKEN, TURNS, ORDERS, YIELD = 8, 4, 16, 0.05
-_HELD = 1 << 20
-_ALL = (1 << 63) - 1
+#: Up to so many ids are broadcast, 8 MB, instead of moving the texts to them.
+FEW_IDS = 1 << 20
+_HELD = 1 << 19
+_SLICE = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -55,7 +57,7 @@ class _Words(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         found = xxhash.xxh64_intdigest(word, SEED)
         if len(word) <= 64:
@@ -92,6 +94,13 @@ def _prefix(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches, so that few documents' sets are held at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(at, _SLICE)
+
+
 def _kinds(sets: list[np.ndarray]) -> pa.Array:
     return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
 
@@ -131,15 +140,14 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """``(id, kind, n, fp, sketch, hot, cover)``: a set's hash, size, fingerprint and prefix, whose last ``hot``
-    elements are common ones; it holds all of the set's other elements up to ``cover``."""
+    """``(id, kind, n, fp, sketch, hot)``: a set's hash, size, fingerprint and prefix, whose last ``hot`` elements are common."""
     order = np.argsort(common)
     shared = texts.sparkSession.sparkContext.broadcast((common[order], order))  # at most HOT entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
-        for batch in batches:
-            sets, fps, sketch, hot, cover = [], [], [], [], []
+        for batch in sliced(batches):
+            sets, fps, sketch, hot = [], [], [], []
             for text in batch.column(1):
                 s = shingle_hashes(text.as_py())
                 fps.append(simhash.majority(s))
@@ -151,55 +159,72 @@ def _sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 if want <= len(cold):
                     sketch.append(cold[:want])
                     hot.append(0)
-                    cover.append(int(cold[want - 1]) if want else _ALL)
                 else:
                     last = s[is_common]
                     last = last[np.argsort(rank[at[is_common]])][: want - len(cold)]
                     sketch.append(np.concatenate([cold, last]))
                     hot.append(len(last))
-                    cover.append(_ALL)
             columns = [
                 batch.column(0), _kinds(sets), pa.array([len(s) for s in sets], pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)),
-                _lists(sketch), pa.array(hot, pa.int32()), pa.array(cover, pa.int64()),
+                _lists(sketch), pa.array(hot, pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "kind", "n", "fp", "sketch", "hot", "cover"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "kind", "n", "fp", "sketch", "hot"])
 
-    return texts.mapInArrow(run, "id long, kind long, n int, fp long, sketch array<long>, hot int, cover long")
+    return texts.mapInArrow(run, "id long, kind long, n int, fp long, sketch array<long>, hot int")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 512):
-            sets = [shingles(x.as_py()) for x in whole.column(0).slice(start, 512)]
-            yield pa.RecordBatch.from_arrays([_kinds(sets), _lists(sets)], names=["kind", "grams"])
+    for batch in sliced(batches):
+        sets = [shingles(x.as_py()) for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([_kinds(sets), _lists(sets)], names=["kind", "grams"])
+
+
+def _fits(na: str, xa: str, nb: str, xb: str) -> Column:
+    """Whether two sets that first meet at these places of their orders leave room for the overlap they need.
+
+    It holds at the first element two similar sets have in common, so a pair is kept if it holds at any.
+    """
+    need = F.ceil((F.col(na) + F.col(nb)) * 4 / 9)
+    return (F.col(na) - F.col(xa) >= need) & (F.col(nb) - F.col(xb) >= need)
+
+
+def _ordered(a: str, na: str, b: str, nb: str) -> list[Column]:
+    """``a, b, na, nb`` with the smaller kind first."""
+    first = F.col(a) < F.col(b)
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(first, F.col(na)).otherwise(F.col(nb)).alias("na"), F.when(first, F.col(nb)).otherwise(F.col(na)).alias("nb")]
 
 
-def shared_tokens(kinds: DataFrame) -> DataFrame:
+def shared_tokens(prints: DataFrame) -> DataFrame:
     """``(h, part, kind, n, at, pivot)`` of prefix elements that more than one kind has; written once."""
+    kinds = prints.where("n > 0").groupBy("kind").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "hot")])
     exploded = kinds.select("kind", "n", "hot", F.size("sketch").alias("m"), F.posexplode("sketch").alias("at", "h"))
     is_hot = F.col("at") >= F.col("m") - F.col("hot")
     tokens = exploded.select("h", F.when(is_hot, F.pmod("kind", F.lit(SALTS))).otherwise(-1).cast("int").alias("part"), "kind", "n", "at")
     tokens = tokens.repartition("h", "part")  # counted and joined in this one layout
-    found = tokens.groupBy("h", "part").agg(F.count(F.lit(1)).alias("m"), F.min("kind").alias("pivot"))
+    found = tokens.groupBy("h", "part").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("kind", "n", "at")).alias("pivot"))
     found = found.where((F.col("m") > 1) | (F.col("part") >= 0)).drop("m")
     return materialize(tokens.join(found, ["h", "part"]).select("h", "part", "kind", "n", "at", "pivot"), "copies")
 
 
 def pivot_pairs(shared: DataFrame) -> DataFrame:
     """Each kind with the pivot of its shingle's part, and the parts' pivots with the first one."""
-    own = shared.select(F.col("pivot").alias("a"), F.col("kind").alias("b"))
+    own = shared.select("kind", "n", "at", F.col("pivot.kind").alias("p"), F.col("pivot.n").alias("np"), F.col("pivot.at").alias("xp"))
     parts = shared.where("part >= 0").select("h", "pivot").distinct()
-    first = parts.groupBy("h").agg(F.min("pivot").alias("a"))
-    return own.unionByName(parts.join(first, "h").select("a", F.col("pivot").alias("b"))).where("a <> b").distinct()
+    first = parts.groupBy("h").agg(F.min("pivot").alias("p"))
+    heads = parts.join(first, "h").select("pivot.*", F.col("p.kind").alias("p"), F.col("p.n").alias("np"), F.col("p.at").alias("xp"))
+    return own.unionByName(heads).where((F.col("kind") != F.col("p")) & _fits("n", "at", "np", "xp")).select(*_ordered("kind", "n", "p", "np")).distinct()
 
 
-def fingerprint_pairs(kinds: DataFrame) -> DataFrame:
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
     """Kinds whose fingerprints lie on one pigeonring chain; equal fingerprints are paired with one of them."""
-    of = kinds.groupBy("fp").agg(F.min("kind").alias("first"))
+    kinds = prints.where("n > 0").select("kind", "n", "fp").distinct()
+    of = kinds.groupBy("fp").agg(F.min(F.struct("kind", "n")).alias("k"))
     near = simhash.near_pairs(of.select("fp"))
-    equal = kinds.join(of, "fp").select(F.col("first").alias("a"), F.col("kind").alias("b"))
-    apart = near.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return equal.unionByName(apart).where("a <> b").distinct()
+    equal = kinds.join(of, "fp").select("kind", "n", F.col("k.kind").alias("p"), F.col("k.n").alias("np"))
+    apart = near.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+    apart = apart.select(F.col("x.kind").alias("kind"), F.col("x.n").alias("n"), F.col("y.kind").alias("p"), F.col("y.n").alias("np"))
+    close = (5 * F.col("n") >= 4 * F.col("np")) & (5 * F.col("np") >= 4 * F.col("n"))
+    return equal.unionByName(apart).where((F.col("kind") != F.col("p")) & close).select(*_ordered("kind", "n", "p", "np"))
 
 
 def open_tokens(shared: DataFrame, comps: DataFrame) -> DataFrame:
@@ -218,9 +243,9 @@ def open_tokens(shared: DataFrame, comps: DataFrame) -> DataFrame:
 def more_pivot_pairs(opened: DataFrame, turn: int) -> DataFrame:
     """Members outside a shingle's largest component with a pivot inside it, another one each turn."""
     order = F.xxhash64("kind", F.pmod("h", F.lit(ORDERS)), F.lit(turn))
-    pivots = opened.where("component = largest").groupBy("h").agg(F.min_by("kind", order).alias("p"))
-    out = opened.where("component <> largest").join(pivots, "h")
-    return out.select(F.least("kind", "p").alias("a"), F.greatest("kind", "p").alias("b")).distinct()
+    pivots = opened.where("component = largest").groupBy("h").agg(F.min_by(F.struct("kind", "n", "at"), order).alias("p"))
+    out = opened.where("component <> largest").join(pivots, "h").select("kind", "n", "at", F.col("p.kind").alias("p"), F.col("p.n").alias("np"), F.col("p.at").alias("xp"))
+    return out.where(_fits("n", "at", "np", "xp")).select(*_ordered("kind", "n", "p", "np")).distinct()
 
 
 def cross_pairs(opened: DataFrame) -> DataFrame:
@@ -228,24 +253,11 @@ def cross_pairs(opened: DataFrame) -> DataFrame:
 
     Of a shingle's members those outside its largest component are paired with all others.
     """
-    x = opened.where("component <> largest").select("h", F.col("kind").alias("a"), F.col("n").alias("na"), F.col("at").alias("xa"), F.col("component").alias("ca"))
-    y = opened.select("h", F.col("kind").alias("b"), F.col("n").alias("nb"), F.col("at").alias("xb"), F.col("component").alias("cb"), "largest")
-    need = F.ceil((F.col("na") + F.col("nb")) * 4 / 9)
-    fits = (F.col("na") - F.col("xa") >= need) & (F.col("nb") - F.col("xb") >= need)
-    once = (F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b"))
-    met = x.join(y, "h").where((F.col("ca") != F.col("cb")) & once & fits)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def plausible(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """``(a, b, na, nb)`` of the pairs whose sizes and prefixes leave a similarity of 0.8 open."""
-    side = kinds.select("kind", "n", F.slice("sketch", F.lit(1), F.size("sketch") - F.col("hot")).alias("s"), "cover")
-    both = pairs.join(side.toDF("a", "na", "sa", "ca"), "a").join(side.toDF("b", "nb", "sb", "cb"), "b")
-    last = F.least("ca", "cb")
-    known = F.size(F.filter("sa", lambda x: x <= last)) + F.size(F.filter("sb", lambda x: x <= last))
-    differ = known - 2 * F.size(F.array_intersect("sa", "sb"))
-    close = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
-    return both.where(close & (9 * differ <= F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    x = opened.where("component <> largest").select("h", F.col("kind").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"))
+    y = opened.select("h", F.col("kind").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"), "largest")
+    once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
+    met = x.join(y, "h").where((F.col("cx") != F.col("cy")) & once & _fits("nx", "ax", "ny", "ay"))
+    return met.select(*_ordered("x", "nx", "y", "ny")).distinct()
 
 
 class _Verifier:
@@ -263,6 +275,8 @@ class _Verifier:
         # one document of each kind; of repeated ids and null ones all are read
         ids = self.narrow.join(wanted, "kind", "left_semi").groupBy("kind").agg(F.min("id").alias("id"))
         ids = materialize(ids.where("id is not null").select(F.col("id").alias("__id")).distinct(), "copies")
+        if ids.count() <= FEW_IDS:
+            ids = F.broadcast(ids)
         named = self.docs.join(ids, F.col(self.id_col).cast("long") == F.col("__id"), "left_semi")
         texts = named.unionByName(self.docs.where(F.col(self.id_col).isNull())).select(F.col(self.text_col).cast("string").alias("text"))
         sets = texts.mapInArrow(_whole, "kind long, grams array<long>").join(wanted, "kind", "left_semi").dropDuplicates(["kind"])
@@ -285,12 +299,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = materialize(_sketches(texts, common_shingles(texts)), "copies")
-    columns = ("n", "fp", "sketch", "hot", "cover")
-    kinds = materialize(prints.where("n > 0").groupBy("kind").agg(*[F.first(c).alias(c) for c in columns]), "copies")
     narrow = prints.select("id", "kind")
-    shared = shared_tokens(kinds)
+    shared = shared_tokens(prints)
     check = _Verifier(docs, narrow, id_col, text_col)
-    links = check.links(materialize(plausible(pivot_pairs(shared).union(fingerprint_pairs(kinds)).distinct(), kinds), "copies"))
+    links = check.links(materialize(pivot_pairs(shared).union(fingerprint_pairs(prints)).distinct(), "copies"))
     comps = materialize(connected_components(links, "a", "b"), "copies")
     few = PAIRS_A_TOKEN * shared.count()
     for turn in range(TURNS + 1):
@@ -298,14 +310,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         cost = opened.groupBy("h").agg(F.first(F.col("outside") * F.col("members")).alias("c")).agg(F.sum("c")).first()[0] or 0
         if cost <= few or turn == TURNS:
             break
-        pairs = materialize(plausible(more_pivot_pairs(opened, turn), kinds), "copies")
+        pairs = materialize(more_pivot_pairs(opened, turn), "copies")
         links = check.links(pairs)
         found = links.count()
         comps = materialize(connected_components(comps.toDF("a", "b").unionByName(links), "a", "b"), "copies")
         if found < YIELD * pairs.count():
             opened = open_tokens(shared, comps) if found else opened
             break
-    links = check.links(materialize(plausible(cross_pairs(opened), kinds), "copies"))
+    links = check.links(materialize(cross_pairs(opened), "copies"))
     comps = connected_components(comps.toDF("a", "b").unionByName(links), "a", "b")
     named = (
         narrow.groupBy("kind")
@@ -316,7 +328,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_kind = named.join(least, "component").select("kind", "component_id")
     out = materialize(narrow.join(of_kind, "kind").select(F.col("id").alias("doc_id"), "component_id"), "copies")
-    for done in (prints, kinds, shared, *check.tables):
+    for done in (prints, shared, *check.tables):
         discard(done)
     return out
 

@@ -27,6 +27,8 @@ BITS = 64
 MAX_BITS = 2
 SEGMENTS = 5
 _CHUNK = 1 << 15
+#: Up to so many ids that go are broadcast, 9 MB, instead of moving the texts to them.
+FEW_IDS = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -167,6 +169,8 @@ def least_of_each(docs: DataFrame, near: DataFrame, id_col: str = "doc_id", text
     ids = near.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id"))
     ids = ids.agg(F.count(F.lit(1)).alias("__rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("__kept"))
     apart = materialize(ids.where((F.col("__rows") > 1) | ~F.col("__kept")).select("__id", (F.col("__kept") & (F.col("__rows") > 1)).alias("__again")), "apart")
+    if apart.count() <= FEW_IDS:
+        apart = F.broadcast(apart)
     same = docs[id_col].cast("long") == apart["__id"]
     once = docs.join(apart, same, "left_anti")  # rows with a null id among them
     again = docs.join(apart.where("__again"), same, "left_semi")
