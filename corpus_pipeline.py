@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelattice.llm import mixing, near_copies, secrets, sentencepieces, toxicity
-from pagelattice.runtime import materialize
+from pagelattice.runtime import discard, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        done, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(done)  # the next stage is written; nothing reads this one again
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -47,3 +47,20 @@ def test_hot_source_spans_buckets(spark):
     # a cut by position differs from a cut by fraction by one row of each of the six sources at most
     hot = Counter(r.shard for r in rows if r.source == "hot")
     assert max(hot.values()) - min(hot.values()) <= 6
+
+
+def test_null_ids_and_sources_of_one_row_spread_over_buckets(spark, monkeypatch):
+    """No bucket that a task ranks holds more than a few times its share."""
+    largest = []
+    rank = sharding.bucketed_rank
+
+    def watched(df, group, bucket, order, out):
+        sizes = df.groupBy(*group, bucket).count()
+        largest.append(sizes.agg({"count": "max"}).first()[0])
+        return rank(df, group, bucket, order, out)
+
+    monkeypatch.setattr(sharding, "bucketed_rank", watched)
+    docs = spark.range(20_000).selectExpr("cast(if(id % 3 = 0, null, id) as long) as doc_id", "cast(id as string) as text", "if(id % 3 = 0, 'hot', cast(id as string)) as source")
+    rows = sharding.shard_rows(docs).collect()
+    _check(rows, [(None if i % 3 == 0 else i, str(i)) for i in range(20_000)])
+    assert max(largest) <= 3 * 20_000 / 64
