@@ -7,6 +7,8 @@ group ids and the dropped rows. Components run over all buckets at once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,6 +160,13 @@ def cluster_by_item_bbox(groups: DataFrame, tolerance: float = 0.35, bucket: lis
 # -- filters -----------------------------------------------------------------------------
 
 
+Store = Callable[[DataFrame], DataFrame]
+
+
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def layout_panel(bucket: list[str] = BUCKET) -> Column:
     """Whether a path is a drawing's only path in the current population and a rectangle or quad."""
     alone = F.count(F.lit(1)).over(Window.partitionBy(*bucket, "seq")) == 1
@@ -169,30 +178,33 @@ def _large(b: dict[str, Column], fraction: float) -> Column:
     return (page > 0) & (G.area(b) > F.lit(float(fraction)) * page)
 
 
-def split_paths(groups: DataFrame, drop: Column, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) by a path predicate: groups keep their survivors, dropped paths stand alone."""
+def split_paths(groups: DataFrame, drop: Column, bucket: list[str] | None = None, store: Store = _as_is) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) by a path predicate: groups keep their survivors, dropped paths stand alone.
+
+    ``store`` is given the marked rows that both parts are read from, to write them once.
+    """
     bucket = bucket or bucket_of(groups)
-    marked = groups.withColumn("__drop", F.coalesce(drop, F.lit(False)))
+    marked = store(groups.withColumn("__drop", F.coalesce(drop, F.lit(False))))
     kept = marked.where(~F.col("__drop")).drop("__drop")
     kept = kept.withColumn("group_id", F.min("path_id").over(Window.partitionBy(*bucket, "group_id")))
     return kept, marked.where("__drop").drop("__drop").withColumn("group_id", F.col("path_id"))
 
 
-def split_groups(groups: DataFrame, drop, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) whole groups; ``drop`` is given the columns of the group's union box."""
+def split_groups(groups: DataFrame, drop, bucket: list[str] | None = None, store: Store = _as_is) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) whole groups; ``drop`` is given the columns of the group's union box. ``store`` as in ``split_paths``."""
     bucket = bucket or bucket_of(groups)
     w = Window.partitionBy(*bucket, "group_id")
     boxed = groups
     for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max)):
         boxed = boxed.withColumn(f"__{c}", f(c).over(w))
-    boxed = boxed.withColumn("__drop", F.coalesce(drop(G.box("__")), F.lit(False)))
+    boxed = store(boxed.withColumn("__drop", F.coalesce(drop(G.box("__")), F.lit(False))))
     gone = ["__x0", "__y0", "__x1", "__y1", "__drop"]
     return boxed.where(~F.col("__drop")).drop(*gone), boxed.where("__drop").drop(*gone)
 
 
-def filter_layout_panels(groups: DataFrame, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def filter_layout_panels(groups: DataFrame, bucket: list[str] | None = None, store: Store = _as_is) -> tuple[DataFrame, DataFrame]:
     bucket = bucket or bucket_of(groups)
-    return split_paths(groups, layout_panel(bucket), bucket)
+    return split_paths(groups, layout_panel(bucket), bucket, store)
 
 
 def _with_page(groups: DataFrame, pages: DataFrame) -> DataFrame:
@@ -200,21 +212,27 @@ def _with_page(groups: DataFrame, pages: DataFrame) -> DataFrame:
     return groups.join(pages.select(*page, "width", "height"), page).select(*groups.columns, "width", "height")
 
 
-def filter_large_bbox(groups: DataFrame, pages: DataFrame, max_area_fraction: float = 0.2, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def filter_large_bbox(
+    groups: DataFrame, pages: DataFrame, max_area_fraction: float = 0.2, bucket: list[str] | None = None, store: Store = _as_is
+) -> tuple[DataFrame, DataFrame]:
     """Drops paths larger than a fraction of the page; a page without area keeps all."""
     bucket = bucket or bucket_of(groups)
-    kept, dropped = split_paths(_with_page(groups, pages), _large(G.box(), max_area_fraction), bucket)
+    kept, dropped = split_paths(_with_page(groups, pages), _large(G.box(), max_area_fraction), bucket, store)
     return kept.drop("width", "height"), dropped.drop("width", "height")
 
 
-def filter_large_group_bbox(groups: DataFrame, pages: DataFrame, max_area_fraction: float = 0.2, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def filter_large_group_bbox(
+    groups: DataFrame, pages: DataFrame, max_area_fraction: float = 0.2, bucket: list[str] | None = None, store: Store = _as_is
+) -> tuple[DataFrame, DataFrame]:
     """Drops groups whose union box is larger than a fraction of the page."""
     bucket = bucket or bucket_of(groups)
-    kept, dropped = split_groups(_with_page(groups, pages), lambda b: _large(b, max_area_fraction), bucket)
+    kept, dropped = split_groups(_with_page(groups, pages), lambda b: _large(b, max_area_fraction), bucket, store)
     return kept.drop("width", "height"), dropped.drop("width", "height")
 
 
-def filter_aspect_ratio(groups: DataFrame, max_aspect_ratio: float = 10.0, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def filter_aspect_ratio(
+    groups: DataFrame, max_aspect_ratio: float = 10.0, bucket: list[str] | None = None, store: Store = _as_is
+) -> tuple[DataFrame, DataFrame]:
     """Drops groups whose union box is more than so many times longer than wide."""
     bucket = bucket or bucket_of(groups)
-    return split_groups(groups, lambda b: G.aspect_ratio(b["x0"], b["y0"], b["x1"], b["y1"]) > max_aspect_ratio, bucket)
+    return split_groups(groups, lambda b: G.aspect_ratio(b["x0"], b["y0"], b["x1"], b["y1"]) > max_aspect_ratio, bucket, store)

@@ -38,8 +38,10 @@ STEPS: dict[str, tuple[str, ...]] = {
 _LOG = ["step_index", "step", "path_id", "group_id", "status"]
 
 
-def apply_step(name: str, groups: DataFrame, pages: DataFrame, params: Mapping | None = None, bucket: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) of one step. Unknown steps raise ``ValueError``."""
+def apply_step(
+    name: str, groups: DataFrame, pages: DataFrame, params: Mapping | None = None, bucket: list[str] | None = None, store: C.Store = C._as_is
+) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) of one step. Unknown steps raise ``ValueError``. A filter's marked rows go through ``store``."""
     bucket = bucket or C.bucket_of(groups)
     if name not in STEPS:
         raise ValueError(f"unknown step {name!r}")
@@ -48,13 +50,13 @@ def apply_step(name: str, groups: DataFrame, pages: DataFrame, params: Mapping |
     if name == "none":
         return groups, nothing
     if name == "filter_layout_panels":
-        return C.filter_layout_panels(groups, bucket)
+        return C.filter_layout_panels(groups, bucket, store)
     if name == "filter_large_bbox":
-        return C.filter_large_bbox(groups, pages, bucket=bucket, **given)
+        return C.filter_large_bbox(groups, pages, bucket=bucket, store=store, **given)
     if name == "filter_large_group_bbox":
-        return C.filter_large_group_bbox(groups, pages, bucket=bucket, **given)
+        return C.filter_large_group_bbox(groups, pages, bucket=bucket, store=store, **given)
     if name == "filter_aspect_ratio":
-        return C.filter_aspect_ratio(groups, bucket=bucket, **given)
+        return C.filter_aspect_ratio(groups, bucket=bucket, store=store, **given)
     if name == "group_overlapping":
         if "bbox_scope" in given:
             given["scope"] = given.pop("bbox_scope")
@@ -78,7 +80,8 @@ def run_chain(
     groups = C.singletons(with_drawing_stats(paths, bucket))
     out = []
     for name in order or DEFAULT_ORDER:
-        kept, dropped = apply_step(name, groups, pages, (params or {}).get(name), bucket)
+        # what a filter marks is written once, for its kept and dropped rows and all steps after it
+        kept, dropped = apply_step(name, groups, pages, (params or {}).get(name), bucket, lambda df, name=name: materialize(df, f"chain-{name}"))
         if STEPS[name] and not name.startswith("filter"):
             kept = materialize(kept, f"chain-{name}")  # the steps after it read the clusters, not the joins
         out.append((name, kept, dropped))

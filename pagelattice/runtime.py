@@ -6,13 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in local tests.
+#: Used only where the session names no folder and driver and executors are one process, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    A cluster must name one: files that each machine writes to its own disk cannot be read back.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not found and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or f"{LOCAL_CHECKPOINTS}/{spark.sparkContext.applicationId}").rstrip("/")
 
 
