@@ -45,6 +45,8 @@ SALTS = 32
 #: before that, for so many turns at most and while a share of them links, members are
 #: compared to more pivots, of so many orders.
 PAIRS_A_TOKEN, TURNS, ORDERS, YIELD = 8, 4, 16, 0.05
+#: Classes of shingles whose parities are compared, a multiple of 64.
+PARITIES = 256
 #: Up to so many ids are broadcast, 8 MB, instead of moving the texts to them.
 FEW_IDS = 1 << 20
 _HELD = 1 << 19
@@ -140,14 +142,18 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """``(id, kind, n, fp, sketch, hot)``: a set's hash, size, fingerprint and prefix, whose last ``hot`` elements are common."""
+    """``(id, kind, n, fp, sketch, hot, bits)``: a set's hash, size, fingerprint and prefix, whose last ``hot`` elements are common.
+
+    ``bits`` holds the parity of the elements in each of ``PARITIES`` classes: as many bits
+    of two sets differ as elements do at most (Sandes et al., "Bitmap Filter", 2020).
+    """
     order = np.argsort(common)
     shared = texts.sparkSession.sparkContext.broadcast((common[order], order))  # at most HOT entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in sliced(batches):
-            sets, fps, sketch, hot = [], [], [], []
+            sets, fps, sketch, hot, bits = [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_hashes(text.as_py())
                 fps.append(simhash.majority(s))
@@ -156,6 +162,8 @@ def _sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 is_common = known[np.minimum(at, len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
                 cold, want = s[~is_common], _prefix(len(s))
                 sets.append(s)
+                odd = np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 if want <= len(cold):
                     sketch.append(cold[:want])
                     hot.append(0)
@@ -166,11 +174,11 @@ def _sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
                     hot.append(len(last))
             columns = [
                 batch.column(0), _kinds(sets), pa.array([len(s) for s in sets], pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)),
-                _lists(sketch), pa.array(hot, pa.int32()),
+                _lists(sketch), pa.array(hot, pa.int32()), _lists(bits),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "kind", "n", "fp", "sketch", "hot"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "kind", "n", "fp", "sketch", "hot", "bits"])
 
-    return texts.mapInArrow(run, "id long, kind long, n int, fp long, sketch array<long>, hot int")
+    return texts.mapInArrow(run, "id long, kind long, n int, fp long, sketch array<long>, hot int, bits array<long>")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +196,12 @@ def _fits(na: str, xa: str, nb: str, xb: str) -> Column:
     return (F.col(na) - F.col(xa) >= need) & (F.col(nb) - F.col(xb) >= need)
 
 
+def _alike(na: str, bits_a: str, nb: str, bits_b: str) -> Column:
+    """Whether the parities leave a similarity of 0.8 open."""
+    apart = sum((F.bit_count(F.col(bits_a)[k].bitwiseXOR(F.col(bits_b)[k])) for k in range(PARITIES // 64)), F.lit(0))
+    return 9 * apart <= F.col(na) + F.col(nb)
+
+
 def _ordered(a: str, na: str, b: str, nb: str) -> list[Column]:
     """``a, b, na, nb`` with the smaller kind first."""
     first = F.col(a) < F.col(b)
@@ -227,8 +241,8 @@ def fingerprint_pairs(prints: DataFrame) -> DataFrame:
     return equal.unionByName(apart).where((F.col("kind") != F.col("p")) & close).select(*_ordered("kind", "n", "p", "np"))
 
 
-def open_tokens(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """``(h, kind, n, at, component, largest, outside, members)`` of shingles whose members are in several components.
+def open_tokens(shared: DataFrame, comps: DataFrame, parities: DataFrame) -> DataFrame:
+    """``(h, kind, n, at, component, largest, outside, members, bits)`` of shingles whose members are in several components.
 
     ``largest`` is the component with most of the shingle's members, ``outside`` the number of the others.
     """
@@ -237,15 +251,16 @@ def open_tokens(shared: DataFrame, comps: DataFrame) -> DataFrame:
     sizes = own.groupBy("h", "component").agg(F.count(F.lit(1)).alias("m"))
     top = sizes.groupBy("h").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"), F.count(F.lit(1)).alias("k"))
     top = top.where("k > 1").select("h", F.col("top.component").alias("largest"), (F.col("members") - F.col("top.m")).alias("outside"), "members")
-    return materialize(own.join(top, "h"), "copies")
+    return materialize(own.join(top, "h").join(parities, "kind"), "copies")
 
 
 def more_pivot_pairs(opened: DataFrame, turn: int) -> DataFrame:
     """Members outside a shingle's largest component with a pivot inside it, another one each turn."""
     order = F.xxhash64("kind", F.pmod("h", F.lit(ORDERS)), F.lit(turn))
-    pivots = opened.where("component = largest").groupBy("h").agg(F.min_by(F.struct("kind", "n", "at"), order).alias("p"))
-    out = opened.where("component <> largest").join(pivots, "h").select("kind", "n", "at", F.col("p.kind").alias("p"), F.col("p.n").alias("np"), F.col("p.at").alias("xp"))
-    return out.where(_fits("n", "at", "np", "xp")).select(*_ordered("kind", "n", "p", "np")).distinct()
+    pivots = opened.where("component = largest").groupBy("h").agg(F.min_by(F.struct("kind", "n", "at", "bits"), order).alias("p"))
+    out = opened.where("component <> largest").join(pivots, "h")
+    out = out.select("kind", "n", "at", "bits", F.col("p.kind").alias("p"), F.col("p.n").alias("np"), F.col("p.at").alias("xp"), F.col("p.bits").alias("bp"))
+    return out.where(_fits("n", "at", "np", "xp") & _alike("n", "bits", "np", "bp")).select(*_ordered("kind", "n", "p", "np")).distinct()
 
 
 def cross_pairs(opened: DataFrame) -> DataFrame:
@@ -253,10 +268,10 @@ def cross_pairs(opened: DataFrame) -> DataFrame:
 
     Of a shingle's members those outside its largest component are paired with all others.
     """
-    x = opened.where("component <> largest").select("h", F.col("kind").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"))
-    y = opened.select("h", F.col("kind").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"), "largest")
+    x = opened.where("component <> largest").select("h", F.col("kind").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"), F.col("bits").alias("bx"))
+    y = opened.select("h", F.col("kind").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"), F.col("bits").alias("by"), "largest")
     once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
-    met = x.join(y, "h").where((F.col("cx") != F.col("cy")) & once & _fits("nx", "ax", "ny", "ay"))
+    met = x.join(y, "h").where((F.col("cx") != F.col("cy")) & once & _fits("nx", "ax", "ny", "ay") & _alike("nx", "bx", "ny", "by"))
     return met.select(*_ordered("x", "nx", "y", "ny")).distinct()
 
 
@@ -301,12 +316,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = materialize(_sketches(texts, common_shingles(texts)), "copies")
     narrow = prints.select("id", "kind")
     shared = shared_tokens(prints)
+    parities = prints.groupBy("kind").agg(F.first("bits").alias("bits"))
     check = _Verifier(docs, narrow, id_col, text_col)
     links = check.links(materialize(pivot_pairs(shared).union(fingerprint_pairs(prints)).distinct(), "copies"))
     comps = materialize(connected_components(links, "a", "b"), "copies")
     few = PAIRS_A_TOKEN * shared.count()
     for turn in range(TURNS + 1):
-        opened = open_tokens(shared, comps)
+        opened = open_tokens(shared, comps, parities)
         cost = opened.groupBy("h").agg(F.first(F.col("outside") * F.col("members")).alias("c")).agg(F.sum("c")).first()[0] or 0
         if cost <= few or turn == TURNS:
             break
@@ -315,7 +331,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         found = links.count()
         comps = materialize(connected_components(comps.toDF("a", "b").unionByName(links), "a", "b"), "copies")
         if found < YIELD * pairs.count():
-            opened = open_tokens(shared, comps) if found else opened
+            opened = open_tokens(shared, comps, parities) if found else opened
             break
     links = check.links(materialize(cross_pairs(opened), "copies"))
     comps = connected_components(comps.toDF("a", "b").unionByName(links), "a", "b")
