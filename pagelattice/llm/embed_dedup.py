@@ -30,6 +30,8 @@ BLOCK_ROWS = 2048
 #: Bound of the pivot sample over all labels: it is sent to every executor.
 MAX_PIVOTS = 8192
 LEAF = 64
+#: Distances from here on are accurate when taken from dot products.
+FINE = 1e-4
 #: Above the error of distances taken from dot products.
 _SLACK = 1e-7
 
@@ -69,9 +71,9 @@ class CoverTree:
     def _grow(self, centre: int, members: np.ndarray, scale: float) -> None:
         """Open nodes level by level: the net of the next radius holds the parent's centre.
 
-        Distances are taken from differences, which stay exact for vectors that dot products
-        cannot tell apart. The radius of an opened node is above the next scale, so it has
-        two children at least and the tree ends.
+        At small scales distances are taken from differences, which stay exact for vectors
+        that dot products cannot tell apart. The radius of an opened node is above the next
+        scale, so there it has two children at least and the tree ends.
         """
         todo = [(self._add(centre, members), scale)]
         while todo:
@@ -87,8 +89,11 @@ class CoverTree:
             at, kids = int(np.flatnonzero(members == self.centre[node])[0]), []
             while True:
                 near = left.copy()
-                gap = points[left] - points[at]
-                near[left] = np.sqrt(np.einsum("ij,ij->i", gap, gap)) <= scale
+                if scale > FINE:
+                    near[left] = points[left] @ points[at] >= 1.0 - scale * scale / 2
+                else:
+                    gap = points[left] - points[at]
+                    near[left] = np.sqrt(np.einsum("ij,ij->i", gap, gap)) <= scale
                 near[at] = True
                 left &= ~near
                 kids.append(self._add(int(members[at]), members[near]))
