@@ -164,8 +164,18 @@ def nearest_quarter(angle: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """White space runs to one space, trimmed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    """White space runs to one space, trimmed, letters folded so that cases of any script compare equal."""
+    return fold_case(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+
+
+def fold_case(text: Column) -> Column:
+    """Full case folding: upper case brings together what lower case alone leaves apart (ss, long s, final sigma).
+
+    Dotless i has no other case and is kept out of the way meanwhile; the capital sharp s
+    becomes the small one first.
+    """
+    upper = F.translate(F.upper(F.translate(text, "\u0131\u1e9e", "\ue000\u00df")), "\ue000", "\u0131")
+    return F.translate(F.lower(upper), "\u03c2", "\u03c3")
 
 
 def overlap_tolerance(width, height) -> Column:

@@ -130,3 +130,12 @@ def test_display_matrix(one, rotation):
     size = (400, 200) if rotation % 180 == 0 else (200, 400)
     assert [value(one, new[c]) for c in ("x0", "y0", "x1", "y1")] == [0, 0, *size]
     assert math.isclose(abs(m[0] * m[3] - m[1] * m[2]), 4)
+
+
+def test_case_folding(spark):
+    """As Python folds, for the letters of the scripts that have cases, in every place of a word."""
+    letters = [chr(c) for c in [*range(0x20, 0x250), *range(0x370, 0x530), *range(0x531, 0x588), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]]
+    rows = [(t,) for x in letters for t in (x, f"a{x}", f"a{x}b", f"A{x} B")]
+    df = spark.createDataFrame(rows, "t string")
+    got = {r.t: r.f for r in df.select("t", G.fold_case(F.col("t")).alias("f")).collect()}
+    assert {t: (f, t.casefold()) for t, f in got.items() if f != t.casefold()} == {}
