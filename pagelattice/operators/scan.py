@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, StructField, StructType
 
 from pagelattice.functions import geometry as G
 
@@ -172,18 +173,47 @@ def overlay_text(matched: DataFrame) -> DataFrame:
     )
 
 
+def show_value(value: Column, kind: DataType) -> Column:
+    """A value as an inspector shows it: three places, Yes or No, structs in round and arrays in square brackets."""
+    def inner(part: Column, kind: DataType) -> Column:
+        return F.coalesce(show_value(part, kind), F.lit(""))
+
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(value.isNotNull(), F.format_string("%.3f", value))
+    if isinstance(kind, BooleanType):
+        return F.when(value, F.lit("Yes")).when(~value, F.lit("No"))
+    if isinstance(kind, StructType):
+        parts = [inner(value[f.name], f.dataType) for f in kind.fields]
+        return F.when(value.isNotNull(), F.concat(F.lit("("), F.concat_ws(", ", *parts), F.lit(")")))
+    if isinstance(kind, ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: inner(x, kind.elementType)), ", "), F.lit("]"))
+    return value.cast("string")
+
+
 def item_metadata(items: DataFrame) -> DataFrame:
-    """Stored metadata over defaults: kind, shape, the box to two places, a label where there is one."""
+    """Stored metadata over defaults: kind, shape, the box to two places; quad, angle, points and label where there are any.
+
+    Points have two places too, and are shown by ``show_value``.
+    """
+    def places(c: str) -> Column:
+        rounded = F.transform(F.col(c), lambda p: F.struct(F.bround(p["x"], 2).alias("x"), F.bround(p["y"], 2).alias("y")))
+        return show_value(rounded, ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))
+
+    optional = {"quad": places, "angle": lambda c: show_value(F.col(c).cast("double"), DoubleType()), "points": places}
+    geometry = [x for c, show in optional.items() if c in items.columns for x in (F.lit(c), show(c))]
     shown = F.concat_ws(", ", *[F.bround(F.col(c), 2).cast("string") for c in ("x0", "y0", "x1", "y1")])
-    base = F.create_map(F.lit("kind"), F.col("item_kind"), F.lit("shape"), F.lit("rect"), F.lit("bbox"), shown, F.lit("label"), F.col("label"))
+    base = F.create_map(F.lit("kind"), F.col("item_kind"), F.lit("shape"), F.lit("rect"), F.lit("bbox"), shown, *geometry, F.lit("label"), F.col("label"))
     stored = F.coalesce(F.col("metadata"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     fresh = F.map_filter(base, lambda k, v: v.isNotNull() & ~F.map_contains_key(stored, k))
     return items.withColumn("metadata", F.map_concat(fresh, stored))
 
 
-def format_metadata(metadata, preferred: Sequence[str] = ()):
-    """A metadata map as lines ``key: value``: preferred keys first, then the others by name; nulls are skipped."""
+def format_metadata(metadata, preferred: Sequence[str] = (), pretty: bool = False):
+    """A metadata map as lines ``key: value``: preferred keys first, then the others by name; nulls are skipped.
+
+    ``pretty`` shows ``font_size`` as ``Font Size``.
+    """
     keys = F.filter(F.array(*[F.lit(k) for k in preferred]) if preferred else F.array().cast("array<string>"), lambda k: F.map_contains_key(metadata, k))
     rest = F.array_sort(F.array_except(F.map_keys(metadata), keys))
-    lines = F.transform(F.concat(keys, rest), lambda k: F.when(metadata[k].isNotNull(), F.concat(k, F.lit(": "), metadata[k])))
+    lines = F.transform(F.concat(keys, rest), lambda k: F.when(metadata[k].isNotNull(), F.concat(F.initcap(F.translate(k, "_", " ")) if pretty else k, F.lit(": "), metadata[k])))
     return F.array_join(lines, "\n")

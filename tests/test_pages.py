@@ -281,6 +281,16 @@ def test_two_documents_with_equal_pages(spark):
     assert aggregates.build_drawings(paths).count() == 4
 
 
+def test_shown_values_and_optional_geometry(spark):
+    df = spark.sql("""select 'quad' item_kind, 0D x0, 0D y0, 4D x1, 2D y1, cast(null as string) label, map('font_size', '9') metadata, 30.5D angle,
+        array(named_struct('x', 1.005D, 'y', 2D), named_struct('x', cast(null as double), 'y', 3D)) quad, true flag,
+        array(1, 2) numbers, cast(array() as array<double>) none, named_struct('a', 1.5D, 'b', false) pair""")
+    shown = [scan.show_value(F.col(c), df.schema[c].dataType).alias(c) for c in ("angle", "flag", "numbers", "none", "pair", "label")]
+    assert tuple(df.select(shown).first()) == ("30.500", "Yes", "[1, 2]", "[]", "(1.500, No)", None)
+    text = scan.item_metadata(df).select(scan.format_metadata(F.col("metadata"), ["kind"], pretty=True).alias("t")).first().t
+    assert text.split("\n") == ["Kind: quad", "Angle: 30.500", "Bbox: 0.0, 0.0, 4.0, 2.0", "Font Size: 9", "Quad: [(1.000, 2.000), (, 3.000)]", "Shape: rect"]
+
+
 def test_streams(spark, sf, tmp_path):
     from pagelattice.streaming import pages as S
 
