@@ -107,6 +107,11 @@ def _kinds(sets: list[np.ndarray]) -> pa.Array:
     return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
 
 
+def _parities(s: np.ndarray, classes: int) -> np.ndarray:
+    odd = np.bincount(s & (classes - 1), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(found) + 1, np.int32)
     np.cumsum([len(x) for x in found], out=offsets[1:])
@@ -142,10 +147,11 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """``(id, kind, n, fp, sketch, hot, bits)``: a set's hash, size, fingerprint and prefix, whose last ``hot`` elements are common.
+    """``(id, kind, n, fp, sketch, hot, bits, wide)``: a set's hash, size, fingerprint and prefix, whose last ``hot`` elements are common.
 
-    ``bits`` holds the parity of the elements in each of ``PARITIES`` classes: as many bits
-    of two sets differ as elements do at most (Sandes et al., "Bitmap Filter", 2020).
+    ``bits`` holds the parity of the elements in each of ``PARITIES`` classes, ``wide`` that
+    in the next power of two of ``n`` classes: as many bits of two sets differ as
+    elements do at most (Sandes et al., "Bitmap Filter", 2020).
     """
     order = np.argsort(common)
     shared = texts.sparkSession.sparkContext.broadcast((common[order], order))  # at most HOT entries
@@ -153,7 +159,7 @@ def _sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in sliced(batches):
-            sets, fps, sketch, hot, bits = [], [], [], [], []
+            sets, fps, sketch, hot, bits, wide = [], [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_hashes(text.as_py())
                 fps.append(simhash.majority(s))
@@ -162,8 +168,8 @@ def _sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 is_common = known[np.minimum(at, len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
                 cold, want = s[~is_common], _prefix(len(s))
                 sets.append(s)
-                odd = np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                bits.append(_parities(s, PARITIES))
+                wide.append(_parities(s, max(PARITIES, 1 << (len(s) - 1).bit_length()) if len(s) else PARITIES))
                 if want <= len(cold):
                     sketch.append(cold[:want])
                     hot.append(0)
@@ -174,11 +180,11 @@ def _sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
                     hot.append(len(last))
             columns = [
                 batch.column(0), _kinds(sets), pa.array([len(s) for s in sets], pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)),
-                _lists(sketch), pa.array(hot, pa.int32()), _lists(bits),
+                _lists(sketch), pa.array(hot, pa.int32()), _lists(bits), _lists(wide),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "kind", "n", "fp", "sketch", "hot", "bits"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "kind", "n", "fp", "sketch", "hot", "bits", "wide"])
 
-    return texts.mapInArrow(run, "id long, kind long, n int, fp long, sketch array<long>, hot int, bits array<long>")
+    return texts.mapInArrow(run, "id long, kind long, n int, fp long, sketch array<long>, hot int, bits array<long>, wide array<long>")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,11 +281,27 @@ def cross_pairs(opened: DataFrame) -> DataFrame:
     return met.select(*_ordered("x", "nx", "y", "ny")).distinct()
 
 
+def pruned(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs whose wide parities leave a similarity of 0.8 open; no set is moved for the others.
+
+    Sizes of a pair are within a fifth, so one has at most twice the classes of the other,
+    and two of its halves fold into the fewer classes.
+    """
+    def folded(c: str, to: Column) -> Column:
+        half = F.transform(F.sequence(F.lit(0), to - 1), lambda i: F.col(c)[i].bitwiseXOR(F.col(c)[i + to]))
+        return F.when(F.size(c) == to, F.col(c)).otherwise(half)
+
+    both = pairs.join(wide.toDF("a", "wa"), "a").join(wide.toDF("b", "wb"), "b")
+    to = F.least(F.size("wa"), F.size("wb"))
+    apart = F.aggregate(F.zip_with(folded("wa", to), folded("wb", to), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return both.where(9 * apart <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb")
+
+
 class _Verifier:
     """Checks pairs on all shingles; the sets of kinds are read from the documents once each."""
 
-    def __init__(self, docs: DataFrame, narrow: DataFrame, id_col: str, text_col: str) -> None:
-        self.docs, self.narrow, self.id_col, self.text_col = docs, narrow, id_col, text_col
+    def __init__(self, docs: DataFrame, narrow: DataFrame, wide: DataFrame, id_col: str, text_col: str) -> None:
+        self.docs, self.narrow, self.wide, self.id_col, self.text_col = docs, narrow, wide, id_col, text_col
         self.sets: DataFrame | None = None
         self.tables: list[DataFrame] = []
 
@@ -300,6 +322,7 @@ class _Verifier:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of ``(a, b, na, nb)`` whose shingle sets have a similarity of 0.8 or more, as ``(a, b)``."""
+        pairs = materialize(pruned(pairs, self.wide), "copies")
         self._read(pairs.select(F.col("a").alias("kind")).union(pairs.select("b")).distinct())
         both = pairs.join(self.sets.toDF("a", "ga"), "a").join(self.sets.toDF("b", "gb"), "b")
         same = F.size(F.array_intersect("ga", "gb"))
@@ -317,7 +340,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     narrow = prints.select("id", "kind")
     shared = shared_tokens(prints)
     parities = prints.groupBy("kind").agg(F.first("bits").alias("bits"))
-    check = _Verifier(docs, narrow, id_col, text_col)
+    wide = prints.groupBy("kind").agg(F.first("wide").alias("wide"))
+    check = _Verifier(docs, narrow, wide, id_col, text_col)
     links = check.links(materialize(pivot_pairs(shared).union(fingerprint_pairs(prints)).distinct(), "copies"))
     comps = materialize(connected_components(links, "a", "b"), "copies")
     few = PAIRS_A_TOKEN * shared.count()
