@@ -174,7 +174,7 @@ def overlay_text(matched: DataFrame) -> DataFrame:
 
 
 def show_value(value: Column, kind: DataType) -> Column:
-    """A value as an inspector shows it: three places, Yes or No, structs in round and arrays in square brackets."""
+    """A value as a viewer shows it: three places, Yes or No, structs in round and arrays in square brackets."""
     def inner(part: Column, kind: DataType) -> Column:
         return F.coalesce(show_value(part, kind), F.lit(""))
 
