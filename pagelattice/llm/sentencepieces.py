@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_ENTRIES = 300_000
+#: Entries of a cache's generation: at most four of these and the pairs' stay in a worker, about 150 MB.
+CACHE_ENTRIES = 100_000
 CACHE_KEY = 64
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
