@@ -108,13 +108,13 @@ matched AS (SELECT w.*, b.span_ord, coalesce(b.font, '') AS font, coalesce(b.siz
 """
 
 
-def _matched(spark, sf):
-    return joins.match_spans(X.words(spark, sf), scan.flatten_spans(X.raw_spans(spark, sf)))
+def _matched(spark, sf, *keep):
+    return joins.match_page_spans(X.whole_pages(spark, sf), X.unpack_pages, X.WORD_SCHEMA, keep)
 
 
 @register("word_span_match", _with("words spans", f"{_MATCH} SELECT page_index, ord, span_ord, font, font_size, dir_x, dir_y, orientation_source FROM matched"))
 def _word_span_match(spark, sf):
-    return _matched(spark, sf).select("page_index", "ord", "span_ord", "font", "font_size", "dir_x", "dir_y", "orientation_source")
+    return _matched(spark, sf, "ord").select("page_index", "ord", "span_ord", "font", "font_size", "dir_x", "dir_y", "orientation_source")
 
 
 _ANGLE = "CASE WHEN abs(dir_x) < 1e-9 AND abs(dir_y) < 1e-9 THEN 0 ELSE degrees(atan2(dir_y, dir_x)) END"
@@ -128,7 +128,7 @@ _ANGLE = "CASE WHEN abs(dir_x) < 1e-9 AND abs(dir_y) < 1e-9 THEN 0 ELSE degrees(
   CASE WHEN abs(y1 - y0) > 1e-9 THEN round_even((x1 - x0) / (y1 - y0), 4) END AS aspect_ratio FROM matched"""),
 )
 def _overlay_text(spark, sf):
-    return scan.overlay_text(_matched(spark, sf))
+    return scan.overlay_text(_matched(spark, sf, "ord", "text", *G.box()))
 
 
 _QUAD = """
@@ -141,7 +141,7 @@ quads AS (SELECT page_index, ord, a0*ux-c0*uy+0 AS ul_x, a0*uy+c0*ux+0 AS ul_y,
 
 
 def _quads(spark, sf):
-    return _matched(spark, sf).select(
+    return _matched(spark, sf, "ord", *G.box()).select(
         "page_index", "ord", G.oriented_quad(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("dir_x"), F.col("dir_y")).alias("q")
     )
 
@@ -156,7 +156,8 @@ def _oriented_quad(spark, sf):
   round_even(CASE WHEN abs(ur_x-ul_x) < 1e-9 AND abs(ur_y-ul_y) < 1e-9 THEN 0 ELSE degrees(atan2(ur_y-ul_y, ur_x-ul_x)) END, 3) AS angle,
   round_even(sqrt(pow(ur_x-ul_x, 2)+pow(ur_y-ul_y, 2)), 3) AS width, round_even(sqrt(pow(ll_x-ul_x, 2)+pow(ll_y-ul_y, 2)), 3) AS height FROM quads"""))
 def _quad_metrics(spark, sf):
-    rows = _quads(spark, sf).select("page_index", "ord", F.transform("q", lambda p: F.struct((p["x"] + 0.0).alias("x"), (p["y"] + 0.0).alias("y"))).alias("q"))
+    corners = F.array(*[F.struct((F.col("q")[i]["x"] + 0.0).alias("x"), (F.col("q")[i]["y"] + 0.0).alias("y")) for i in range(4)])
+    rows = _quads(spark, sf).select("page_index", "ord", corners.alias("q"))  # a lambda would be interpreted, with all that it reads
     return rows.select("page_index", "ord", *[v.alias(k) for k, v in G.quad_metadata(F.col("q")).items()])
 
 
@@ -793,7 +794,7 @@ UNION ALL SELECT page_index, 1, ord, 'word', text, x0, y1, greatest(font_size, 1
   CAST(((round_even({_ANGLE} / 90, 0)::INTEGER % 4) + 4) % 4 * 90 AS INTEGER) FROM matched
 UNION ALL SELECT page_index, 2, ord, 'result', text, x0, y1, greatest(high, 4), CAST(((round_even(rotation_used / 90, 0)::INTEGER % 4) + 4) % 4 * 90 AS INTEGER) FROM results WHERE trim(text) <> ''"""))
 def _reconstruction(spark, sf):
-    words = _matched(spark, sf).withColumn("angle", G.point_angle(F.lit(0.0), F.lit(0.0), F.col("dir_x"), F.col("dir_y")))
+    words = _matched(spark, sf, "ord", "text", *G.box()).withColumn("angle", G.point_angle(F.lit(0.0), F.lit(0.0), F.col("dir_x"), F.col("dir_y")))
     words = words.withColumn("origin_x", F.lit(None).cast("double")).withColumn("origin_y", F.lit(None).cast("double"))
     voted = voting.vote_exact(X.readings(spark, sf)).join(voting.best_rotation(X.readings(spark, sf)), "cluster_id")
     results = voted.selectExpr(

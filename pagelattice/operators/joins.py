@@ -8,9 +8,13 @@ part of the join key, and a crowded page is spread over its cells.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagelattice.functions import geometry as G
 from pagelattice.operators.scan import page_keys
@@ -170,6 +174,130 @@ def match_spans(words: DataFrame, spans: DataFrame, cell: float = CELL) -> DataF
     )
 
 
+#: Pairs compared at once, and bytes of pages unpacked at once; a page is never cut.
+_PAIRS, _BYTES = 1 << 19, 1 << 20
+
+
+def best_spans(words: np.ndarray, spans: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each word's best span (-1: none) and its score, for the ``(rows, 4)`` boxes of one page.
+
+    Spans whose extents share a power of two are sorted by where they begin; a word can
+    only meet those that begin before its end and after the last whose predecessors all end
+    before its start. Of the two axes the one with fewer such candidates is taken.
+    """
+    best, top = np.full(len(words), -1), np.zeros(len(words))
+    live = np.flatnonzero((words[:, 2] > words[:, 0]) & (words[:, 3] > words[:, 1]))
+    solid = np.flatnonzero((spans[:, 2] > spans[:, 0]) & (spans[:, 3] > spans[:, 1]))
+    if not len(live) or not len(solid):
+        return best, top
+    w, s, rank_of = words[live], spans[solid], rank[solid]
+    size = np.maximum((w[:, 2] - w[:, 0]) * (w[:, 3] - w[:, 1]), 1e-9)
+    plans = []
+    for a in (0, 1):
+        ranges = []
+        kinds = np.frexp(s[:, a + 2] - s[:, a])[1]
+        for kind in np.unique(kinds):
+            rows = np.flatnonzero(kinds == kind)
+            rows = rows[np.argsort(s[rows, a], kind="stable")]
+            first = np.searchsorted(np.maximum.accumulate(s[rows, a + 2]), w[:, a], "right")
+            ranges.append((rows, first, np.maximum(np.searchsorted(s[rows, a], w[:, a + 2], "left") - first, 0)))
+        plans.append((sum(int(n.sum()) for _, _, n in ranges), ranges))
+    got, score = np.full(len(w), -1), np.zeros(len(w))
+    for rows, first, n in min(plans, key=lambda p: p[0])[1]:
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(w):
+            before = ends[at] - n[at]
+            stop = max(at + 1, int(np.searchsorted(ends, before + _PAIRS, "right")))
+            k = np.repeat(np.arange(at, stop), n[at:stop])
+            j = rows[np.arange(len(k)) + np.repeat(first[at:stop] - (ends[at:stop] - n[at:stop] - before), n[at:stop])]
+            at = stop
+            dx = np.minimum(w[k, 2], s[j, 2]) - np.maximum(w[k, 0], s[j, 0])
+            dy = np.minimum(w[k, 3], s[j, 3]) - np.maximum(w[k, 1], s[j, 1])
+            meet = np.flatnonzero((dx > 0) & (dy > 0))
+            k, j = k[meet], j[meet]
+            share = dx[meet] * dy[meet] / size[k]
+            order = np.lexsort((rank_of[j], -share, k))
+            order = order[np.concatenate([[True], k[order][1:] != k[order][:-1]])] if len(order) else order
+            k, j, share = k[order], j[order], share[order]
+            better = (share > score[k]) | ((share == score[k]) & (share > 0) & (rank_of[j] < rank_of[got[k]]))
+            got[k[better]], score[k[better]] = j[better], share[better]
+    hit = got >= 0
+    best[live[hit]], top[live[hit]] = solid[got[hit]], score[hit]
+    return best, top
+
+
+def _share_by_ord(ord_: np.ndarray, best: np.ndarray, top: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Words of one ordinal in a page - its text came in several rows - have their best span in common."""
+    if not len(ord_) or (np.diff(ord_) > 0).all():
+        return best
+    order = np.lexsort((np.where(best < 0, 0, rank[best]) if len(rank) else best, -top, ord_))
+    lead = np.concatenate([[True], ord_[order][1:] != ord_[order][:-1]])
+    out = np.empty_like(best)
+    out[order] = best[order][np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+    return out
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows > 1 and batch.nbytes > _BYTES:
+        half = batch.num_rows // 2
+        yield from _cut(batch.slice(0, half))
+        yield from _cut(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
+
+
+def _boxes(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy().astype(np.float64) for c in ("x0", "y0", "x1", "y1")], axis=1)
+
+
+def match_page_spans(pages: DataFrame, unpack: Callable[[pa.RecordBatch], tuple[pa.Table, pa.Table]], words: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """:func:`match_spans` for pages that come whole, a row each: nothing is dealt out, joined or sorted.
+
+    ``unpack`` makes of some pages' rows their words and spans as flat tables whose column
+    ``page`` counts those rows upwards; ``words`` is the schema of the words' other columns, of
+    which ``keep`` come out. Spans without font, size or direction get ``flatten_spans``'
+    defaults. A page without a key has no spans, as none joins it.
+    """
+    page = page_keys(pages)
+    shown = [f for f in StructType.fromDDL(words).fields if keep is None or f.name in keep]
+    names = [f.name for f in shown]
+    found = ["span_ord", "font", "size", "dir_x", "dir_y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _cut(whole)):
+            w, s = unpack(batch)
+            row, of = w.column("page").to_numpy(), s.column("page").to_numpy()
+            boxes, sides = _boxes(w), _boxes(s)
+            ord_, rank = w.column("ord").to_numpy(), s.column("span_ord").to_numpy()
+            best = np.full(len(row), -1)
+            known = np.ones(batch.num_rows, bool)
+            for c in page:
+                known &= batch.column(c).is_valid().to_numpy(zero_copy_only=False)
+            count = np.arange(batch.num_rows + 1)
+            wa, sa = np.searchsorted(row, count), np.searchsorted(of, count)
+            for k in np.flatnonzero(known & (np.diff(wa) > 0) & (np.diff(sa) > 0)):
+                a, b, c, d = wa[k], wa[k + 1], sa[k], sa[k + 1]
+                hit, top = best_spans(boxes[a:b], sides[c:d], rank[c:d])
+                hit = _share_by_ord(ord_[a:b], hit, top, rank[c:d])
+                best[a:b] = np.where(hit < 0, -1, hit + c)
+            spot = pa.array(best, mask=best < 0)
+            columns = [batch.column(c).take(pa.array(row)) for c in page]
+            columns += [w.column(c).combine_chunks() for c in names] + [s.column(c).combine_chunks().take(spot) for c in found]
+            yield pa.RecordBatch.from_arrays(columns, names=[*page, *names, *found])
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in [*[pages.schema[c] for c in page], *shown]]
+    out = pages.mapInArrow(run, ", ".join([*kinds, "span_ord long, font string, size double, dir_x double, dir_y double"]))
+    return out.select(
+        *page, *names, "span_ord",
+        F.coalesce("font", F.lit("")).alias("font"),
+        F.coalesce("size", F.lit(0.0)).alias("font_size"),
+        F.coalesce("dir_x", F.lit(1.0)).alias("dir_x"),
+        F.coalesce("dir_y", F.lit(0.0)).alias("dir_y"),
+        F.when(F.col("span_ord").isNull(), F.lit("fallback")).otherwise(F.lit("text-span")).alias("orientation_source"),
+    )
+
+
 def with_drawing_stats(paths: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """Path count and box of each path's drawing, by one window over the drawing."""
     w = Window.partitionBy(*keys, seq)
