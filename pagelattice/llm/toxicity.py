@@ -6,9 +6,11 @@ interleaved segments of the text, and its three largest segment values go, with
 text's length, through one hidden layer. Word hashes of a whole batch are differences of
 one running polynomial sum, so no word is ever a Python object.
 
-The embeddings start from the labelled rows' log-odds and are trained with all else by
-Adam. Scores are scaled on a part of the labelled rows that the fit does not see, which
-also gives a threshold for each language.
+The embeddings start from the log-odds of a bounded sample of labelled rows and are trained
+on it with all else by Adam. Where there are more labelled rows, rounds over all of them
+follow: shards of rows train the shared arrays apart, whose mean is the next round's start.
+Scores are scaled on a part of the labelled rows that the fit does not see, which also gives
+a threshold for each language.
 """
 
 from __future__ import annotations
@@ -16,19 +18,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.runtime import discard, materialize
+
 BUCKETS = 1 << 16
 DIM, FILTERS, WIDTHS, HIDDEN = 8, 8, (1, 2, 3), 16
 SEGMENTS, RUN, TOP = 8, 4, 3
 PREFIXES = (4, 5, 6, 7)
-#: Bounds of the labelled sample the classifier is fitted on: rows of either class, characters
+#: Bounds of the labelled sample the fit begins with: rows of either class, characters
 #: of a text and of all texts of a class.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, TRAIN_TOTAL = 2500, 4500, 200_000, 24_000_000
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 64, 0.01, 1e-4, 7
+#: Rounds over all labelled rows and their rate; characters of a shard, and shards at most.
+ROUNDS, ROUND_RATE, SHARD_CHARS, SHARDS = 2, 0.002, 8_000_000, 32
+#: Bits of the filter of labelled ids at most, and steps of a logit in the scale's counts.
+ID_BITS, STEPS = 1 << 26, 256
 #: Languages with fewer labelled rows of either class aside from the fit keep ``THRESHOLD``.
 LEAST_ROWS = 12
 _PIECE = 1 << 20
@@ -236,22 +246,12 @@ class Network:
         self.hidden[0 : TOP * FILTERS * len(WIDTHS) : FILTERS * len(WIDTHS)] = np.abs(self.hidden[0 : TOP * FILTERS * len(WIDTHS) : FILTERS * len(WIDTHS)])
 
     def fit(self, units: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
-        names = ["embed", "conv", "bias", "hidden", "hidden_bias", "out", "out_bias"]
-        moment = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in names}
-        step = 0
+        steps = _Adam(self)
         for epoch in range(EPOCHS):
             order = rng.permutation(len(units))
             for s in range(0, len(order), BATCH):
-                step += 1
-                grads = self._gradients([units[i] for i in order[s : s + BATCH]], y[order[s : s + BATCH]], weight[order[s : s + BATCH]])
-                rate = RATE * (1 - 0.9 * epoch / EPOCHS)
-                for k in names:
-                    g, (m, v), p = grads[k], moment[k], getattr(self, k)
-                    g = g + DECAY * p
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-                self.embed[0] = 0
+                at = order[s : s + BATCH]
+                steps.take([units[i] for i in at], y[at], weight[at], RATE * (1 - 0.9 * epoch / EPOCHS))
 
     def _gradients(self, units: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         n, f, pad = len(units), FILTERS * len(WIDTHS), max(WIDTHS) - 1
@@ -296,6 +296,28 @@ class Network:
         return grads
 
 
+_ARRAYS = ("embed", "conv", "bias", "hidden", "hidden_bias", "out", "out_bias")
+
+
+class _Adam:
+    """Steps of a network's arrays along their gradients, with running moments."""
+
+    def __init__(self, net: Network) -> None:
+        self.net, self.step = net, 0
+        self.moment = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in _ARRAYS}
+
+    def take(self, units: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        self.step += 1
+        grads = self.net._gradients(units, y, weight)
+        for k in _ARRAYS:
+            g, (m, v), p = grads[k], self.moment[k], getattr(self.net, k)
+            g = g + DECAY * p
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-6)
+        self.net.embed[0] = 0
+
+
 def train(texts: list[str | None], labels: list[int], langs: list[str | None], weights: list[float] | None = None, seed: int = SEED) -> Network:
     """Fit on four fifths of the rows; scale scores and set the languages' thresholds on the rest."""
     rng = np.random.default_rng(seed)
@@ -351,12 +373,12 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    """Fit on a bounded sample of labelled rows that are not held out.
+    """Fit on the labelled rows that are not held out.
 
-    The sample takes the labels of lowest hash, ``TRAIN_TOXIC`` toxic and
-    ``TRAIN_CLEAN`` others at most, as far as ``TRAIN_TOTAL`` characters of a class go;
-    its ids are joined to ``docs`` by broadcast, so only the sample's texts move. Texts
-    above ``TRAIN_CHARS`` are not learnt from (all are scored).
+    ``train`` begins with a sample, the labels of lowest hash, ``TRAIN_TOXIC`` toxic and
+    ``TRAIN_CLEAN`` others at most, as far as ``TRAIN_TOTAL`` characters of a class go
+    without texts above ``TRAIN_CHARS``; its ids are joined to ``docs`` by broadcast, so only
+    the sample's texts move. If that is not all, ``train_on_all`` goes on.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
@@ -368,15 +390,18 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = {r["__toxic"]: r["n"] for r in known.groupBy("__toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = [known.where(F.col("__toxic") == k).orderBy(rank, "__id").limit(n) for k, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     sample = picked[0].unionByName(picked[1])  # TRAIN_TOXIC + TRAIN_CLEAN rows at most
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g"))
-    texts = texts.where(F.length(F.coalesce("t", F.lit(""))) <= TRAIN_CHARS)
-    sized = texts.select("__id", F.length("t").alias("n")).join(F.broadcast(sample), "__id").groupBy("__id", "__toxic").agg(F.max("n").alias("n"))
+    every = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g"))
+    texts = every.where(F.length(F.coalesce("t", F.lit(""))) <= TRAIN_CHARS)
+    sized = every.select("__id", F.length("t").alias("n")).join(F.broadcast(sample), "__id").groupBy("__id", "__toxic").agg(F.max(F.coalesce("n", F.lit(0))).alias("n"))
     spent = {0: 0, 1: 0}
-    ids = []
+    ids, left_out = [], sum(totals.values()) > sum(min(totals.get(k, 0), n) for k, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)))
     for r in sized.orderBy(rank, "__id").collect():
-        spent[r["__toxic"]] += r["n"] or 0
-        if spent[r["__toxic"]] <= TRAIN_TOTAL:
+        if r["n"] <= TRAIN_CHARS:
+            spent[r["__toxic"]] += r["n"]
+        if r["n"] <= TRAIN_CHARS and spent[r["__toxic"]] <= TRAIN_TOTAL:
             ids.append((r["__id"], r["__toxic"]))
+        else:
+            left_out = True
     chosen = docs.sparkSession.createDataFrame(ids, "__id long, __toxic int")
     # of a repeated id the least text counts, whatever the order of the rows
     rows = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__toxic").agg(F.min(F.struct("t", "g")).alias("r")).select("__id", "__toxic", "r.*").collect()
@@ -384,7 +409,151 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = {k: max(1, sum(r["__toxic"] == k for r in rows)) for k in (0, 1)}
     weigh = {k: totals.get(k, 1) / seen[k] for k in (0, 1)}
     mean = sum(weigh[r["__toxic"]] for r in rows) / max(1, len(rows))
-    return train([r["t"] for r in rows], [r["__toxic"] for r in rows], [r["g"] for r in rows], [weigh[r["__toxic"]] / mean for r in rows])
+    net = train([r["t"] for r in rows], [r["__toxic"] for r in rows], [r["g"] for r in rows], [weigh[r["__toxic"]] / mean for r in rows])
+    if left_out and isinstance(net, Network):
+        train_on_all(net, every, known, sum(totals.values()))
+    return net
+
+
+def _listed(known: DataFrame, n: int):
+    """A column that is true for all ids of ``known`` and few others: a bitmap of hashes, ``ID_BITS`` at most."""
+    bits = min(ID_BITS, 1 << max(10, (8 * n).bit_length()))
+    place = F.pmod(F.xxhash64("__id"), F.lit(bits))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            seen[batch.column(0).to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["m"])
+
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in known.select(place.alias("b")).coalesce(8).mapInArrow(mark, "m binary").collect():
+        bitmap |= np.frombuffer(bytes(r["m"]), np.uint8)
+    shared = known.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB at most
+
+    @F.pandas_udf("boolean")
+    def listed(b: pd.Series) -> pd.Series:
+        b = b.to_numpy()
+        return pd.Series((shared.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return listed(place)
+
+
+def train_on_all(net: Network, texts: DataFrame, known: DataFrame, n: int) -> None:
+    """Train ``net`` on over all ``n`` ``known`` ids with a text, then scale its scores and set its thresholds.
+
+    A shard's rows come in the order of their hashes, so the result does not depend on how
+    the tables lie. A fifth of the rows is aside from the fit; the scale and the thresholds
+    come from all of them, counted by steps of the logit. Texts above a piece of
+    ``_PIECE`` bytes are only looked at where they are aside.
+    """
+    spark = texts.sparkSession
+    mine = texts.where(F.col("__id").isNotNull() & ~held_out(F.col("__id")) & _listed(known, n))
+    size = mine.agg(F.sum(F.length("t"))).first()[0] or 0
+    shards = max(1, min(SHARDS, -(-size // SHARD_CHARS)))
+    # labels and texts of an id meet in its shard, so texts move once; of a repeated id the least text counts
+    both = known.select("__id", "__toxic", F.lit(None).cast("struct<t:string,g:string>").alias("r")).unionByName(
+        mine.select("__id", F.lit(None).cast("int").alias("__toxic"), F.struct("t", "g").alias("r"))
+    )
+    order = F.xxhash64("__id", F.lit(SEED))
+    rows = (
+        both.withColumn("shard", F.pmod(F.xxhash64("__id"), F.lit(shards)).cast("int"))
+        .repartition(shards, "shard")
+        .groupBy("shard", "__id")
+        .agg(F.max("__toxic").alias("__toxic"), F.min("r").alias("r"))
+        .where(F.col("__toxic").isNotNull() & F.col("r").isNotNull())
+        .select("shard", "__toxic", "r.t", "r.g", (F.pmod(order, F.lit(5)) == 0).alias("aside"), order.alias("at"), "__id")
+        .sortWithinPartitions("shard", "at", "__id")
+        .persist(StorageLevel.DISK_ONLY)
+    )
+    try:
+        for _ in range(ROUNDS):
+            _round(net, rows.where("not aside").select("shard", "__toxic", "t"))
+        _rescale(net, rows.where("aside").select("g", "__toxic", "t"))
+    finally:
+        rows.unpersist()
+
+
+def _round(net: Network, rows: DataFrame) -> None:
+    """Every shard trains the arrays on its rows; their mean by rows is the new state."""
+    shared = rows.sparkSession.sparkContext.broadcast({k: getattr(net, k) for k in _ARRAYS})  # about 2 MB
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, steps, units, y, held, n = None, None, None, [], [], 0, 0
+
+        def flush() -> None:
+            nonlocal units, y, held
+            if units:
+                steps.take(units, np.array(y, np.float64), np.ones(len(y)), ROUND_RATE)
+            units, y, held = [], [], 0
+
+        def result() -> pa.RecordBatch:
+            flush()
+            data = b"".join(getattr(own, k).tobytes() for k in _ARRAYS)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["shard", "n", "arrays"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = batch.column(0)[i].as_py()
+                if shard != at:
+                    if at is not None and n:
+                        yield result()
+                    at, own, n = shard, Network.__new__(Network), 0
+                    for k in _ARRAYS:
+                        setattr(own, k, shared.value[k].copy())
+                    steps = _Adam(own)
+                folded = fold(batch.column(2)[i].as_py())
+                if len(folded) > _PIECE:
+                    continue
+                if len(units) == BATCH or held + len(folded) > _PIECE:
+                    flush()
+                units.append(word_units(folded))
+                y.append(batch.column(1)[i].as_py())
+                held, n = held + len(folded), n + 1
+        if at is not None and n:
+            yield result()
+
+    found = materialize(rows.mapInArrow(learn, "shard int, n long, arrays binary"), "toxicity-round")
+    total, sums = 0, {k: np.zeros(getattr(net, k).shape) for k in _ARRAYS}
+    for r in found.orderBy("shard").toLocalIterator():  # one shard's arrays after the other, SHARDS at most
+        at, total = 0, total + r["n"]
+        for k in _ARRAYS:
+            p = getattr(net, k)
+            sums[k] += r["n"] * np.frombuffer(r["arrays"], p.dtype, p.size, at).reshape(p.shape)
+            at += p.nbytes
+    if total:
+        for k in _ARRAYS:
+            setattr(net, k, (sums[k] / total).astype(getattr(net, k).dtype))
+    discard(found)
+    shared.destroy()
+
+
+def _rescale(net: Network, rows: DataFrame) -> None:
+    """Scale and thresholds from the rows' logits, counted by language, label and step."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(at, _SLICE)
+                z = shared.value.logits(*shared.value.pooled([fold(t) for t in batch.column(2).to_pylist()])).astype(np.float64)
+                step = np.floor(np.clip(z, -30, 30) * STEPS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(step)], names=["g", "toxic", "step"])
+
+    counts = rows.mapInArrow(place, "g string, toxic int, step int").groupBy("g", "toxic", "step").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts.sort(key=lambda r: (r["g"] or "", r["toxic"], r["step"]))
+    shared.destroy()
+    y, w = np.array([r["toxic"] for r in counts], np.float64), np.array([r["n"] for r in counts], np.float64)
+    z, lang = (np.array([r["step"] for r in counts], np.float64) + 0.5) / STEPS, [r["g"] for r in counts]
+    if not 0 < (w * y).sum() < w.sum():
+        return
+    net.scale, net.shift = _platt(z, y, w)
+    score = 1 / (1 + np.exp(-(net.scale * z + net.shift)))
+    net.thresholds = {}
+    for g in sorted(set(lang) - {None}):
+        own = np.array([x == g for x in lang])
+        if min((w * y)[own].sum(), (w * (1 - y))[own].sum()) >= LEAST_ROWS:
+            net.thresholds[g] = _threshold(score[own], y[own], w[own])
 
 
 _SLICE = 512

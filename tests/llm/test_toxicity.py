@@ -182,3 +182,24 @@ def test_labels_without_two_classes(spark, odd_docs, toxic):
     net = T.fit_on(odd_docs, labels)
     rows = T.score_rows(odd_docs, net).collect()
     assert {r.rejected for r in rows} == {toxic == 1}
+
+
+def test_rows_beyond_the_sample_are_learnt_from(spark, monkeypatch):
+    texts, labels, langs = _labelled(400, 5)
+    texts[8], texts[9] = texts[8] * 40, None
+    rows = [(i, t, g) for i, (t, g) in enumerate(zip(texts, langs))] + [(5, "a repeated id", "de"), (1000, "no label", "de"), (None, "no id", "de")]
+    known = spark.createDataFrame(list(enumerate(labels)) + [(5000, 1)], "doc_id long, toxic int")
+    for name, value in (("TRAIN_TOXIC", 30), ("TRAIN_CLEAN", 50), ("TRAIN_CHARS", 5000), ("SHARD_CHARS", 30_000)):
+        monkeypatch.setattr(T, name, value)
+    seen, once, rescale = [], T._round, T._rescale
+    monkeypatch.setattr(T, "_round", lambda net, rows: (seen.append(("fit", rows.count())), once(net, rows)))
+    monkeypatch.setattr(T, "_rescale", lambda net, rows: (seen.append(("aside", rows.count())), rescale(net, rows)))
+    nets = [T.fit_on(spark.createDataFrame(x, "doc_id long, text string, lang string").repartition(n), known) for x, n in ((rows, 1), (rows[::-1], 5))]
+    free = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(400))
+    for at in (0, T.ROUNDS + 1):
+        fit, aside = seen[at], seen[at + T.ROUNDS]
+        assert (fit[0], aside[0]) == ("fit", "aside") and fit[1] + aside[1] == free and aside[1] > 20
+    assert all((getattr(nets[0], k) == getattr(nets[1], k)).all() for k in T._ARRAYS)
+    assert (nets[0].scale, nets[0].shift, nets[0].thresholds) == (nets[1].scale, nets[1].shift, nets[1].thresholds)
+    texts, labels, _ = _labelled(300, 6)
+    assert ((nets[0].score(texts) >= T.THRESHOLD) == (np.array(labels) == 1)).mean() > 0.95
