@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.llm import simhash
 from pagelattice.operators.components import connected_components
-from pagelattice.runtime import discard, materialize
+from pagelattice.runtime import discard, keeps, materialize, tidy
 
 SHINGLE = 5
 SEED = 42
@@ -68,6 +68,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+keeps(__name__, _WORDS.clear)
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -140,7 +141,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def common_shingles(texts: DataFrame) -> np.ndarray:
     """The commonest shingles of the column ``text``, rarest first, ``HOT`` at most; runs of all documents are counted."""
-    counts = texts.select("text").mapInArrow(_repeated, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(tidy(__name__, _repeated), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     least = max(HOT_LEAST, texts.count() // HOT_SHARE)
     top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(HOT)
     return np.array([r["h"] for r in top.collect()][::-1], np.int64)
@@ -184,7 +185,7 @@ def _sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "kind", "n", "fp", "sketch", "hot", "bits", "wide"])
 
-    return texts.mapInArrow(run, "id long, kind long, n int, fp long, sketch array<long>, hot int, bits array<long>, wide array<long>")
+    return texts.mapInArrow(tidy(__name__, run), "id long, kind long, n int, fp long, sketch array<long>, hot int, bits array<long>, wide array<long>")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +317,7 @@ class _Verifier:
             ids = F.broadcast(ids)
         named = self.docs.join(ids, F.col(self.id_col).cast("long") == F.col("__id"), "left_semi")
         texts = named.unionByName(self.docs.where(F.col(self.id_col).isNull())).select(F.col(self.text_col).cast("string").alias("text"))
-        sets = texts.mapInArrow(_whole, "kind long, grams array<long>").join(wanted, "kind", "left_semi").dropDuplicates(["kind"])
+        sets = texts.mapInArrow(tidy(__name__, _whole), "kind long, grams array<long>").join(wanted, "kind", "left_semi").dropDuplicates(["kind"])
         self.tables.append(materialize(sets, "copies"))
         self.sets = self.tables[-1] if self.sets is None else self.sets.unionByName(self.tables[-1])
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.runtime import tidy
+
 #: In the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "slack", "stripe", "google", "pem")
 
@@ -212,7 +214,7 @@ def redact_rows(docs: DataFrame, text_col: str = "text", length_col: str | None
             new = pa.array([redact(x.as_py()) for x in column], column.type)
             yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(len(names))], names=names)
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(tidy(__name__, run), schema)
     if length_col in names:
         same = F.col(text_col).isNull()
         out = out.withColumn(length_col, F.when(same, F.col(length_col)).otherwise(F.length(text_col)).cast(schema[length_col].dataType))

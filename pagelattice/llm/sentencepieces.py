@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.runtime import keeps, tidy
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries of a cache's generation: at most four of these and the pairs' stay in a worker, about 150 MB.
@@ -294,6 +296,7 @@ class _Words(RecentCache):
 
 
 _CODECS: dict[int, Codec] = {}
+keeps(__name__, _CODECS.clear)
 
 
 def _codec(model: bytes) -> Codec:
@@ -353,7 +356,7 @@ def encode_rows(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_crc32 long, round_trip boolean" + more)
+    return rows.mapInArrow(tidy(__name__, run), "doc_id long, n_tokens long, ids array<int>, decoded_crc32 long, round_trip boolean" + more)
 
 
 def decode_rows(encoded: DataFrame, model: bytes | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -370,7 +373,7 @@ def decode_rows(encoded: DataFrame, model: bytes | None = None, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return rows.mapInArrow(tidy(__name__, run), "doc_id long, text string")
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:

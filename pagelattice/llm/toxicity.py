@@ -18,13 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.runtime import discard, materialize
+from pagelattice.runtime import discard, keeps, materialize, tidy
 
 BUCKETS = 1 << 16
 DIM, FILTERS, WIDTHS, HIDDEN = 8, 8, (1, 2, 3), 16
@@ -57,6 +56,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _POW: list[np.ndarray] = []
+keeps(__name__, _POW.clear)
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -431,10 +431,10 @@ def _listed(known: DataFrame, n: int):
         bitmap |= np.frombuffer(bytes(r["m"]), np.uint8)
     shared = known.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB at most
 
-    @F.pandas_udf("boolean")
-    def listed(b: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def listed(b: pa.Array) -> pa.Array:
         b = b.to_numpy()
-        return pd.Series((shared.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8) & 1).astype(bool))
+        return pa.array((shared.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8) & 1).astype(bool))
 
     return listed(place)
 
@@ -513,7 +513,7 @@ def _round(net: Network, rows: DataFrame) -> None:
         if at is not None and n:
             yield result()
 
-    found = materialize(rows.mapInArrow(learn, "shard int, n long, arrays binary"), "toxicity-round")
+    found = materialize(rows.mapInArrow(tidy(__name__, learn), "shard int, n long, arrays binary"), "toxicity-round")
     total, sums = 0, {k: np.zeros(getattr(net, k).shape) for k in _ARRAYS}
     for r in found.orderBy("shard").toLocalIterator():  # one shard's arrays after the other, SHARDS at most
         at, total = 0, total + r["n"]
@@ -540,7 +540,7 @@ def _rescale(net: Network, rows: DataFrame) -> None:
                 step = np.floor(np.clip(z, -30, 30) * STEPS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(step)], names=["g", "toxic", "step"])
 
-    counts = rows.mapInArrow(place, "g string, toxic int, step int").groupBy("g", "toxic", "step").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = rows.mapInArrow(tidy(__name__, place), "g string, toxic int, step int").groupBy("g", "toxic", "step").agg(F.count(F.lit(1)).alias("n")).collect()
     counts.sort(key=lambda r: (r["g"] or "", r["toxic"], r["step"]))
     shared.destroy()
     y, w = np.array([r["toxic"] for r in counts], np.float64), np.array([r["n"] for r in counts], np.float64)
@@ -579,7 +579,7 @@ def score_rows(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(limit, pa.float64())], names=["doc_id", "score", "lang_threshold"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g"))
-    return rows.mapInArrow(run, "doc_id long, score double, lang_threshold double").select(
+    return rows.mapInArrow(tidy(__name__, run), "doc_id long, score double, lang_threshold double").select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
@@ -603,7 +603,7 @@ def without_toxic(docs: DataFrame, net: Network, text_col: str = "text", lang_co
                 limit = [shared.value.thresholds.get(g, THRESHOLD) for g in batch.column(lang_at).to_pylist()]
                 yield batch.filter(pa.array(score < np.array(limit)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(__name__, run), docs.schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder and driver and executors are one process, as in tests.
@@ -56,3 +59,41 @@ def discard(df: DataFrame | None) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: What each operator keeps in a Python worker between tasks, as functions that drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """A worker serves one operator after the other; ``forget`` runs once another one begins there."""
+    _KEPT[owner] = forget
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, which allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _enter(owner: str) -> None:
+    for other, forget in _KEPT.items():
+        if other != owner:
+            forget()
+    _trim()
+
+
+def tidy(owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, in a worker that holds no other operator's caches, and no freed memory after it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _enter(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return tidied
