@@ -12,7 +12,7 @@ import pytest
 from pagelattice.operators import joins
 
 #: Bytes shuffled for each row that comes out, at most; words alone took 20.
-QUERIES = {"quad_metrics": 4, "oriented_quad": 4}
+QUERIES = {"quad_metrics": 4, "oriented_quad": 4, "word_span_match": 4, "overlay_text": 4, "reconstruction_drawlist": 8}
 
 
 def _shuffled(spark) -> int:
