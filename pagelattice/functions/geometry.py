@@ -45,16 +45,21 @@ def quad_metadata(quad: Column) -> dict[str, Column]:
     }
 
 
+def places(value: Column, n: int) -> Column:
+    """Half-even rounding to ``n`` places; whole numbers are known without decimal arithmetic."""
+    return F.when(value == F.rint(value), value + F.lit(0.0)).otherwise(F.bround(value, n))
+
+
 def rect_metadata(x0, y0, x1, y1) -> dict[str, Column]:
     """Position, extent and area to three places, aspect ratio to four (null for a flat box)."""
     w, h = num(x1) - num(x0), num(y1) - num(y0)
     return {
-        "x": F.bround(num(x0), 3),
-        "y": F.bround(num(y0), 3),
-        "width": F.bround(w, 3),
-        "height": F.bround(h, 3),
-        "area": F.bround(w * h, 3),
-        "aspect_ratio": F.when(F.abs(h) > EPS, F.bround(w / h, 4)),
+        "x": places(num(x0), 3),
+        "y": places(num(y0), 3),
+        "width": places(w, 3),
+        "height": places(h, 3),
+        "area": places(w * h, 3),
+        "aspect_ratio": F.when(F.abs(h) > EPS, places(w / h, 4)),
     }
 
 

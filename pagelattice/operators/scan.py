@@ -167,8 +167,8 @@ def overlay_text(matched: DataFrame) -> DataFrame:
     spanned = F.col("orientation_source") == "text-span"
     return matched.select(
         *page_keys(matched), "ord", "text", F.when(spanned, "quad").otherwise("rect").alias("shape"),
-        F.bround(F.when(spanned, G.point_angle(F.lit(0.0), F.lit(0.0), F.col("dir_x"), F.col("dir_y"))).otherwise(F.lit(0.0)), 3).alias("angle"),
-        F.bround("dir_x", 5).alias("dir_x"), F.bround("dir_y", 5).alias("dir_y"), F.bround("font_size", 3).alias("font_size"), "font",
+        G.places(F.when(spanned, G.point_angle(F.lit(0.0), F.lit(0.0), F.col("dir_x"), F.col("dir_y"))).otherwise(F.lit(0.0)), 3).alias("angle"),
+        G.places(F.col("dir_x"), 5).alias("dir_x"), G.places(F.col("dir_y"), 5).alias("dir_y"), G.places(F.col("font_size"), 3).alias("font_size"), "font",
         *[v.alias(k) for k, v in rect.items()],
     )
 

@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pagelattice.functions import geometry as G
 from pagelattice.operators import joins
+from pyspark.sql import functions as F
 
 #: Bytes shuffled for each row that comes out, at most; words alone took 20.
 QUERIES = {"quad_metrics": 4, "oriented_quad": 4, "word_span_match": 4, "overlay_text": 4, "reconstruction_drawlist": 8}
@@ -68,3 +70,9 @@ def test_best_spans_of_any_boxes(pairs, monkeypatch):
                 if dx > 0 and dy > 0 and not np.isnan([*w, *s]).any():
                     found.append((-dx * dy / max((w[2] - w[0]) * (w[3] - w[1]), 1e-9), rank[k], k))
             assert (j, share) == ((min(found)[2], -min(found)[0]) if found else (-1, 0))
+
+
+def test_whole_numbers_round_as_others_do(spark):
+    df = spark.createDataFrame([(x,) for x in (None, 0.0, -0.0, 7.0, -3.0, 2.0005, 2.0015, -0.0004, 1e15, 1e300, 0.1 + 0.2)], "v double")
+    rows = df.selectExpr("v", "bround(v, 3) as wanted").withColumn("got", G.places(F.col("v"), 3)).collect()
+    assert all(r.got == r.wanted for r in rows) and len(rows) == 11
