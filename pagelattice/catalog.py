@@ -801,4 +801,4 @@ def _reconstruction(spark, sf):
         "cluster_id div 16 as page_index", "cluster_id as ord", "text", "rotation_used", "cast(cluster_id % 16 * 10 as double) as x0",
         "cast(cluster_id % 9 * 20 as double) as y0", "cast(cluster_id % 9 * 20 + cluster_id % 7 as double) as y1",
     )
-    return drawlist.reconstruction(aggregates.build_drawings(X.paths(spark, sf)), words, results)
+    return drawlist.reconstruction(aggregates.build_drawings(X.unnumbered_paths(spark, sf), "line"), words, results)

@@ -9,17 +9,22 @@ from pagelattice.functions import geometry as G
 from pagelattice.operators.scan import page_keys
 
 
-def build_drawings(paths: DataFrame) -> DataFrame:
-    """One row per drawing: union box, first member's style, whether dashed, its members in order."""
+def build_drawings(paths: DataFrame, order: str = "path_id") -> DataFrame:
+    """One row per drawing: union box, style of the first member by ``order``, whether dashed, its members in order.
+
+    Each part of the style is an aggregate of its own, so those not read take no room. Paths
+    without ``path_id`` give no members.
+    """
     page = page_keys(paths)
-    first = F.min_by(F.struct("layer_key", "color_key", "stroke_width", "dashes"), "path_id")
+    style = [F.min_by(c, order).alias(c) for c in ("layer_key", "color_key", "stroke_width", "dashes")]
+    members = [F.array_sort(F.collect_list("path_id")).alias("members")] if "path_id" in paths.columns else []
     out = paths.groupBy(*page, "seq").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.count(F.lit(1)).alias("n_paths"), first.alias("s"), F.array_sort(F.collect_list("path_id")).alias("members"),
+        F.count(F.lit(1)).alias("n_paths"), *style, *members,
     )
     return out.select(
-        *page, "seq", "x0", "y0", "x1", "y1", "n_paths", "s.layer_key", "s.color_key", "s.stroke_width",
-        G.is_dashed(F.col("s.dashes")).alias("dashed"), "members",
+        *page, "seq", "x0", "y0", "x1", "y1", "n_paths", "layer_key", "color_key", "stroke_width",
+        G.is_dashed(F.col("dashes")).alias("dashed"), *["members"] * len(members),
     )
 
 

@@ -10,17 +10,17 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pagelattice.functions import geometry as G
-from pagelattice.operators import joins
+from pagelattice.operators import aggregates, joins
 from pyspark.sql import functions as F
 
 #: Bytes shuffled for each row that comes out, at most; words alone took 20.
 QUERIES = {"quad_metrics": 4, "oriented_quad": 4, "word_span_match": 4, "overlay_text": 4, "reconstruction_drawlist": 8}
 
 
-def _shuffled(spark) -> int:
+def _shuffled(spark, what: str = "Bytes") -> int:
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), f"shuffleWrite{what}")() for i in range(stages.size()))
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -31,6 +31,24 @@ def test_words_stay_where_their_page_is(spark, sf, name, tmp_path):
     assert rows > 10_000 and _shuffled(spark) - before < QUERIES[name] * rows
 
 
+def test_lines_of_drawings_stay_where_they_lie(spark, sf, tmp_path):
+    before = _shuffled(spark, "Records")
+    driver.queries()["reconstruction_drawlist"](spark, sf).write.parquet(f"{tmp_path}/out")
+    drawings = spark.read.parquet(f"{tmp_path}/out").where("item = 'drawing'").count()
+    others = sum(pq.read_metadata(f"{sf}/{t}.parquet").num_rows * n for t, n in (("documents", 1), ("events", 2)))
+    assert _shuffled(spark, "Records") - before <= 2 * drawings + others < pq.read_metadata(f"{sf}/lineitem.parquet").num_rows
+
+
+def test_drawings_by_any_order(spark):
+    rows = [(0, 4, 7, "a", 2.0, 5.0, None), (0, 4, 3, "b", None, 6.0, "[3] 0"), (0, 4, 9, "c", 1.0, 4.0, ""), (1, 4, 2, "d", 3.0, 1.0, "[] 0")]
+    df = spark.createDataFrame(rows, "page_index long, seq long, line int, layer_key string, stroke_width double, x0 double, dashes string")
+    df = df.selectExpr("*", "x0 as y0", "x0 + 1 as x1", "x0 + 2 as y1", "'-' as color_key")
+    got = {r.page_index: r for r in aggregates.build_drawings(df, "line").collect()}
+    assert "members" not in got[0].asDict() and [(r.layer_key, r.stroke_width, r.x0, r.y1, r.n_paths, r.dashed) for r in (got[0], got[1])] == [
+        ("b", None, 4.0, 8.0, 3, True), ("d", 3.0, 1.0, 3.0, 1, False),
+    ]
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_repeated_and_missing_documents(spark, sf, name, tmp_path):
     for f in os.listdir(sf):
