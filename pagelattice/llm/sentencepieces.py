@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a streaming Viterbi over the piece lattice.
 
-One forward pass keeps, for each boundary in a window of the longest piece's length,
-the best arc that ends there. A boundary through which the backpointers of all
+An automaton reads the text once and names the pieces that end at each character; one
+forward pass over them keeps, for each boundary in a window of the longest piece's
+length, the best arc that ends there. A boundary through which the backpointers of all
 boundaries of the window pass can no longer change, so its ids are committed and what
 lies before it is forgotten: memory is bounded for texts of any length.
 
@@ -20,9 +21,12 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
+from operator import add
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,13 +101,13 @@ class Codec:
         self.single = {p for p in self.ids if len(p) == 1}
         if self.kind == BPE and not self.single.issuperset(chain.from_iterable(self.ids)):
             raise ValueError("a piece holds a character that is no piece itself")
-        #: nested dictionaries by character; key 0 holds the id of the piece that ends there
-        self.trie: dict = {}
+        #: finds all pieces that end at a character, the longest first
+        self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            node = self.trie
-            for ch in piece:
-                node = node.setdefault(ch, {})
-            node[0] = i
+            self.automaton.add_word(piece, i)
+        self.automaton.make_automaton()
+        #: of pieces; at -1 that of an unknown character, at -2 that of no arc
+        self.lengths = [*(len(p) for p, _, _ in self.pieces), 0, 1]
         self.unk = next(i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN)
         self.unk_score = min(self.scores[i] for i in self.ids.values()) - 10.0
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == BYTE}
@@ -117,7 +121,9 @@ class Codec:
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()
             for p, _, k in self.pieces
         ]
-        self._pairs: dict[int, bool] = {}
+        #: by the left piece, whether a right one keeps apart from it
+        self._pairs: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self._known_pairs = 0
         self._bare, self._word = _Words(self, ""), _Words(self, SPACE)
         self._newline = tuple(self._stream("\n"))
 
@@ -137,13 +143,15 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _compatible(self, left: int, right: int) -> bool:
-        """Whether piece ``left`` (-1: a text start or an unknown character) keeps apart from ``right``."""
+    def _compatible(self, left: int, right: int, row: dict[int, bool]) -> bool:
+        """Whether piece ``left`` (-1: a text start or an unknown character) keeps apart from ``right``; noted in its ``row``."""
         want = [self.pieces[i][0] for i in (left, right) if i >= 0]
         ok = self._merged("".join(want)) == want
-        if len(self._pairs) >= 4 * CACHE_ENTRIES:
+        if self._known_pairs >= 4 * CACHE_ENTRIES:
             self._pairs.clear()
-        self._pairs[left << 32 | right] = ok
+            self._known_pairs = 0
+        self._known_pairs += 1
+        row[right] = ok
         return ok
 
     def _spell(self, piece: str, after_unknown: bool) -> tuple[int, ...]:
@@ -151,73 +159,98 @@ class Codec:
             return tuple(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
         return () if after_unknown else (self.unk,)  # a run of unknown characters is one unknown piece
 
+    def _found(self, text: str) -> Iterator[tuple[int, int]]:
+        """``(place of the last character, piece)`` of all pieces in ``text``, which is read part by part.
+
+        Each part is searched with what a piece may reach back to: the library's own way to go
+        on in another string (``set``) crashes.
+        """
+        step = 4 * self.longest
+        for start in range(0, len(text), step):
+            before = min(start, self.longest - 1)
+            for at, piece in self.automaton.iter(text[start - before : start + step]):
+                if at >= before:
+                    yield start - before + at, piece
+
+    def _back(self, text: str, base: int, arc: list[int], k: int, unknown: bool) -> list[int]:
+        """Ids of the path to boundary ``base + k``; ``unknown``: an unknown character was the last before it."""
+        lengths, path, at = self.lengths, [], base
+        while k:
+            path.append(arc[k])
+            k -= lengths[arc[k]]
+        path.reverse()
+        if -1 not in path:
+            return path
+        out: list[int] = []
+        for piece in path:
+            at += lengths[piece]
+            out += (piece,) if piece >= 0 else self._spell(text[at - 1], unknown)
+            unknown = piece < 0
+        return out
+
     def _stream(self, text: str) -> Iterator[int]:
         """Ids of ``text`` (spaces escaped), committed as soon as no later character can change them."""
-        trie, pairs, longest, bpe = self.trie, self._pairs, self.longest, self.kind == BPE
-        base = 0
-        # of boundary base + k: the piece of its surviving arc (-1: an unknown character), its length, its sum
-        unknown, j, end = False, 0, len(text)
-        room = min(end, 4 * longest) + longest + 1
-        arc, size, best = [-2] * room, [0] * room, [0.0] * room
-        arc[0] = -1
-
-        def committed(to: int) -> list[int]:
-            nonlocal unknown
-            steps, k = [], to - base
-            while k:
-                steps.append(k)
-                k -= size[k]
-            out: list[int] = []
-            for k in reversed(steps):
-                if arc[k] >= 0:
-                    out.append(arc[k])
-                    unknown = False
-                else:
-                    out += self._spell(text[base + k - 1], unknown)
-                    unknown = True
-            return out
-
-        while j < end:
-            k = j - base
-            if k + longest >= len(arc):
-                arc += [-2] * room
-                size += [0] * room
-                best += [0.0] * room
-            left, here = arc[k], best[k]
-            before = left << 32
-            node, i, m = trie, j, k
-            while i < end:
-                node = node.get(text[i])
-                if node is None:
+        return chain.from_iterable(self._runs(text))
+
+    def _runs(self, text: str) -> Iterator[list[int]]:
+        end = len(text)
+        if not end:
+            return
+        pairs, lengths, scores, longest, bpe = self._pairs, self.lengths, self.scores, self.longest, self.kind == BPE
+        most = 4 * longest
+        # of boundary base + k: the piece of its surviving arc (-1: an unknown character, -2: none), its sum or what is known to follow it
+        arc, best, after = [-1], [0.0], [pairs[-1]]
+        base, j, k, got, unknown = 0, 0, 1, False, False  # boundary base + k, behind character j, is open; whether it has got an arc
+        found = self.automaton.iter(text) if end <= most else self._found(text)
+        for at, piece in chain(found, ((end, -1),)):
+            if j < at:  # no further piece ends with character j
+                while j < at:
+                    if not got:
+                        odd = text[j] not in self.single
+                        arc.append(-1 if odd else -2)
+                        if bpe:
+                            after.append(pairs[arc[k]])
+                        else:
+                            best.append(best[k - 1] + self.unk_score)
+                    elif not bpe and text[j] not in self.single and best[k - 1] + self.unk_score > best[k]:
+                        arc[k], best[k] = -1, best[k - 1] + self.unk_score
+                    j += 1
+                    k += 1
+                    got = False
+                    if k > most:
+                        live = {x for x in range(k - longest, k) if arc[x] != -2}
+                        while len(live) > 1:  # every later path goes through one of these
+                            x = max(live)
+                            live.remove(x)
+                            live.add(x - lengths[arc[x]])
+                        x = live.pop()
+                        if x:
+                            yield self._back(text, base, arc, x, unknown)
+                            unknown = arc[x] == -1
+                            arc, best, after, base, k = arc[x:], best[x:], after[x:], base + x, k - x
+                if at == end:
                     break
-                i, m = i + 1, m + 1
-                piece = node.get(0)
-                if piece is None:
+            if bpe:
+                if got:  # from the longest piece that fits
                     continue
-                if bpe:
-                    if arc[m] == -2:
-                        ok = pairs.get(before | piece)
-                        if ok is None:
-                            ok = self._compatible(left, piece)
-                        if ok:
-                            arc[m], size[m] = piece, m - k
-                elif arc[m] == -2 or here + self.scores[piece] > best[m]:
-                    arc[m], size[m], best[m] = piece, m - k, here + self.scores[piece]
-            if text[j] not in self.single and (arc[k + 1] == -2 or not bpe and here + self.unk_score > best[k + 1]):
-                arc[k + 1], size[k + 1], best[k + 1] = -1, 1, here + self.unk_score
-            j += 1
-            if j - base >= 4 * longest:
-                live = {x for x in range(j - base, min(len(arc), end - base + 1)) if arc[x] != -2}
-                while len(live) > 1:  # every later path goes through one of these
-                    x = max(live)
-                    live.remove(x)
-                    live.add(x - size[x])
-                k = live.pop()
-                if k:
-                    yield from committed(base + k)
-                    arc, size, best, base = arc[k:], size[k:], best[k:], base + k
-                    size[0] = 0
-        yield from committed(end)
+                start = k - lengths[piece]
+                ok = after[start].get(piece)
+                if ok is None:
+                    ok = self._compatible(arc[start], piece, after[start])
+                if ok:
+                    arc.append(piece)
+                    after.append(pairs[piece])
+                    got = True
+            else:
+                start = k - lengths[piece]
+                total = best[start] + scores[piece]
+                if not got:
+                    arc.append(piece)
+                    best.append(total)
+                    got = True
+                elif total > best[k]:
+                    arc[k], best[k] = piece, total
+        yield self._back(text, base, arc, k - 1, unknown)
 
     # -- whole texts ---------------------------------------------------------------
 
@@ -286,9 +319,9 @@ class _Words(RecentCache):
         if len(text) > CACHE_KEY or not codec.byte_fallback:
             return tuple(codec._stream(text))
         linked = codec.linked
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in linked]
-        if not cuts:
+        if linked.issuperset(map(add, text, text[1:])):
             return tuple(codec._stream(text))
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in linked]
         bare, out = codec._bare, list(self[text[len(self.lead) : cuts[0]]] if cuts[0] >= len(self.lead) else ())
         for a, b in zip(cuts, [*cuts[1:], len(text)]):
             out += bare[text[a:b]]

@@ -1,5 +1,6 @@
 import random
 import struct
+import sys
 
 import pytest
 import sentencepiece
@@ -58,6 +59,41 @@ def test_stream_commits_before_the_end(codec):
     assert Watched.read < 8 * codec.longest
 
 
+def test_text_is_read_part_by_part(codec):
+    class Watched(str):
+        read = 0
+
+        def __getitem__(self, i):
+            Watched.read = max(Watched.read, i if isinstance(i, int) else len(self) if i.stop is None else i.stop)
+            return str.__getitem__(self, i)
+
+    text = Watched(S.SPACE + "internationalization" * 400)
+    first = codec._stream(text)
+    ids = [next(first)]
+    assert 0 < Watched.read <= 8 * codec.longest
+    assert ids + list(first) == list(codec._stream(str(text)))
+
+
+def test_few_steps_a_character(codec):
+    """The automaton reads; what is left to interpret is a few calls a character (ten when tries were walked)."""
+    words = [S.SPACE + w for w in "cióncoqueue internationalization whereathth ershor anderstndly osasmiez thanofanininnt".split()]
+    for w in words:
+        list(codec._stream(w))  # pairs are known now
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        for w in words:
+            list(codec._stream(w))
+    finally:
+        sys.setprofile(None)
+    assert calls < 5 * sum(map(len, words))
+
+
 def test_round_trip(codec):
     for text in _texts():
         if S.SPACE not in text:
