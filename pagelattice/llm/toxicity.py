@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.runtime import discard, keeps, materialize, tidy
+from pagelattice.runtime import discard, keeps, materialize, tidied, tidy
 
 BUCKETS = 1 << 16
 DIM, FILTERS, WIDTHS, HIDDEN = 8, 8, (1, 2, 3), 16
@@ -36,6 +36,8 @@ THRESHOLD = 0.3
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 64, 0.01, 1e-4, 7
 #: Rounds over all labelled rows and their rate; characters of a shard, and shards at most.
 ROUNDS, ROUND_RATE, SHARD_CHARS, SHARDS = 2, 0.002, 8_000_000, 32
+#: Characters of the sample that come to the driver at a time, more or less.
+FETCH_CHARS = 1_000_000
 #: Bits of the filter of labelled ids at most, and steps of a logit in the scale's counts.
 ID_BITS, STEPS = 1 << 26, 256
 #: Languages with fewer labelled rows of either class aside from the fit keep ``THRESHOLD``.
@@ -378,8 +380,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``train`` begins with a sample, the labels of lowest hash, ``TRAIN_TOXIC`` toxic and
     ``TRAIN_CLEAN`` others at most, as far as ``TRAIN_TOTAL`` characters of a class go
     without texts above ``TRAIN_CHARS``; its ids are joined to ``docs`` by broadcast, so only
-    the sample's texts move. If that is not all, ``train_on_all`` goes on.
+    the sample's texts move, to the driver part by part. If that is not all, ``train_on_all`` goes on.
     """
+    with tidied():  # of what the fit holds, the driver keeps the network only
+        return _fit_on(docs, labels, id_col, text_col, lang_col)
+
+
+def _fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> Network:
     known = (
         labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
         .where(F.col("__id").isNotNull() & F.col("__toxic").isin(0, 1) & ~held_out(F.col("__id")))
@@ -404,8 +411,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             left_out = True
     chosen = docs.sparkSession.createDataFrame(ids, "__id long, __toxic int")
     # of a repeated id the least text counts, whatever the order of the rows
-    rows = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__toxic").agg(F.min(F.struct("t", "g")).alias("r")).select("__id", "__toxic", "r.*").collect()
-    rows.sort(key=lambda r: r["__id"])
+    parts = max(1, sum(min(n, TRAIN_TOTAL) for n in spent.values()) // FETCH_CHARS)
+    least = texts.join(F.broadcast(chosen), "__id").repartition(parts, "__id").groupBy("__id", "__toxic").agg(F.min(F.struct("t", "g")).alias("r"))
+    rows = sorted(least.select("__id", "__toxic", "r.*").toLocalIterator(), key=lambda r: r["__id"])
     seen = {k: max(1, sum(r["__toxic"] == k for r in rows)) for k in (0, 1)}
     weigh = {k: totals.get(k, 1) / seen[k] for k in (0, 1)}
     mean = sum(weigh[r["__toxic"]] for r in rows) / max(1, len(rows))

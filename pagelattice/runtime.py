@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,14 +87,25 @@ def _enter(owner: str) -> None:
     _trim()
 
 
+@contextmanager
+def tidied() -> Iterator[None]:
+    """The driver's counterpart of ``tidy``: what operators keep goes after a computation there, and freed memory with it."""
+    try:
+        yield
+    finally:
+        for forget in _KEPT.values():
+            forget()
+        _trim()
+
+
 def tidy(owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for ``mapInArrow``, in a worker that holds no other operator's caches, and no freed memory after it."""
 
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _enter(owner)
         try:
             yield from run(batches)
         finally:
             _trim()
 
-    return tidied
+    return alone

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
+from pagelattice import runtime
 from pagelattice.llm import toxicity as T
 
 
@@ -203,3 +204,20 @@ def test_rows_beyond_the_sample_are_learnt_from(spark, monkeypatch):
     assert (nets[0].scale, nets[0].shift, nets[0].thresholds) == (nets[1].scale, nets[1].shift, nets[1].thresholds)
     texts, labels, _ = _labelled(300, 6)
     assert ((nets[0].score(texts) >= T.THRESHOLD) == (np.array(labels) == 1)).mean() > 0.95
+
+
+def test_the_driver_holds_part_of_the_sample_at_a_time_and_nothing_after(spark, monkeypatch):
+    rows = [(i, ("you idiot " if i % 2 else "kind words ") * (3 + i % 7) + str(i), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    known = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    taken, collected, trimmed, collect, train = [], [], [], type(docs).collect, T.train
+    monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(df.columns) or collect(df))
+    monkeypatch.setattr(T, "train", lambda *a: taken.append(a) or train(*a))
+    monkeypatch.setattr(runtime, "_trim", lambda: trimmed.append(len(T._POW)))
+    nets = []
+    for chars in (T.FETCH_CHARS, 100):
+        monkeypatch.setattr(T, "FETCH_CHARS", chars)
+        nets.append(T.fit_on(docs, known))
+    assert taken[0] == taken[1] and np.array_equal(nets[0].embed, nets[1].embed)
+    assert collected and not any("t" in columns for columns in collected)
+    assert trimmed == [0, 0]
